@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,3 +67,15 @@ def tokens(text: Column) -> Column:
 def snippet(text: Column, length: int = SNIPPET_LENGTH) -> Column:
     """The head of a text, marked with dots when something was cut off."""
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
+
+
+def query_tokens(text: str) -> list[str]:
+    """Tokens of a search argument, by the rules of :func:`tokens`."""
+    kept = dict(zip(_FOLD_FROM, _FOLD_TO)) | {mark: "" for mark in _FOLD_FROM[len(_FOLD_TO) :]}
+    folded = "".join(kept.get(character, character) for character in text).lower()
+
+    def is_token(character: str) -> bool:
+        category = unicodedata.category(character)
+        return category[0] in "LN" or category == "Co"
+
+    return ["".join(run) for inside, run in groupby(folded, is_token) if inside]

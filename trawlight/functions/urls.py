@@ -90,36 +90,49 @@ def _merged_path(base_path: Column, path: Column) -> Column:
     return F.when(plain, path).otherwise(rooted)
 
 
-def url_join(base: Column, href: Column) -> Column:
-    """Join a reference to an http(s) base URL the way a browser or ``urljoin`` does."""
-    text, base_text = _clean(href), _clean(base)
-    own_scheme, base_scheme = F.lower(F.regexp_extract(text, URL_PARTS, 1)), scheme(base)
-    own_netloc, base_netloc = F.regexp_extract(text, URL_PARTS, 2), netloc(base)
-    own_path, base_path = _path(text), _path(base_text)
+def base_parts(base: Column) -> Column:
+    """The parts of a base URL, to be computed once and shared by all links of a page."""
+    text = _clean(base)
+    return F.struct(
+        base.alias("url"),
+        F.lower(F.regexp_extract(text, URL_PARTS, 1)).alias("scheme"),
+        F.regexp_extract(text, URL_PARTS, 2).alias("netloc"),
+        _path(text).alias("path"),
+        F.regexp_extract(text, URL_PARTS, 4).alias("query"),
+    )
+
+
+def join_to(base: Column, href: Column) -> Column:
+    """Join a reference to the parts of an http(s) base URL the way a browser or ``urljoin`` does."""
+    text = _clean(href)
+    own_scheme = F.lower(F.regexp_extract(text, URL_PARTS, 1))
+    own_netloc = F.regexp_extract(text, URL_PARTS, 2)
     own_query = F.regexp_extract(text, URL_PARTS, 4)
     own_fragment = F.regexp_extract(text, URL_PARTS, 5)
-    base_query = F.regexp_extract(base_text, URL_PARTS, 4)
-    site = F.concat(base_scheme, F.lit("://"), base_netloc)
+    own_path = _path(text)
+    site = F.concat(base["scheme"], F.lit("://"), base["netloc"])
+    query = _marked("?", F.when(own_query == "", base["query"]).otherwise(own_query))
     return (
-        F.when(href == "", base)
-        .when((own_scheme != "") & (own_scheme != base_scheme), href)
-        .when(own_netloc != "", F.concat(base_scheme, F.lit("://"), own_netloc, own_path, _query_and_fragment(text)))
-        .when(
-            own_path == "",
-            F.concat(
-                site,
-                base_path,
-                _marked("?", F.when(own_query == "", base_query).otherwise(own_query)),
-                _marked("#", own_fragment),
-            ),
-        )
-        .otherwise(F.concat(site, _merged_path(base_path, own_path), _query_and_fragment(text)))
+        F.when(href.rlike(r"^/[\w/-]*$") & ~href.startswith("//"), F.concat(site, href))
+        .when(href == "", base["url"])
+        .when((own_scheme != "") & (own_scheme != base["scheme"]), href)
+        .when(own_netloc != "", F.concat(base["scheme"], F.lit("://"), own_netloc, own_path, _query_and_fragment(text)))
+        .when(own_path == "", F.concat(site, base["path"], query, _marked("#", own_fragment)))
+        .otherwise(F.concat(site, _merged_path(base["path"], own_path), _query_and_fragment(text)))
     )
 
 
-def url_resolve(base: Column, href: Column) -> Column:
+def url_join(base: Column, href: Column) -> Column:
+    return join_to(base_parts(base), href)
+
+
+def resolve_to(base: Column, href: Column) -> Column:
     """A link target: absolute web addresses verbatim, everything else joined to the page URL."""
-    return F.when(is_absolute(href), href).otherwise(url_join(base, href))
+    return F.when(is_absolute(href), href).otherwise(join_to(base, href))
+
+
+def url_resolve(base: Column, href: Column) -> Column:
+    return resolve_to(base_parts(base), href)
 
 
 def absolute_only(hrefs: Column) -> Column:
