@@ -22,10 +22,11 @@ DOCUMENT_TERM = ""
 
 @dataclass(frozen=True)
 class Index:
-    """Postings, and the number of term buckets when they are stored in buckets."""
+    """Postings; for a stored index also its number of term buckets and its one row of statistics."""
 
     postings: DataFrame
     buckets: int | None = None
+    stats: DataFrame | None = None
 
 
 def occurrences(documents: DataFrame, key: str = "ingest_seq") -> DataFrame:
@@ -76,24 +77,35 @@ def write_index(documents: DataFrame, path: str, buckets: int = 64, slices: int
         .drop("slice")
         .sortWithinPartitions("term_bucket", "term", "doc_id")
         .write.partitionBy("term_bucket")
-        .parquet(path)
+        .parquet(f"{path}/postings")
     )
+    stored = Index(_read_postings(documents.sparkSession, path), buckets)
+    corpus_stats(stored).coalesce(1).write.parquet(f"{path}/stats")
 
 
-def read_index(spark: SparkSession, path: str, buckets: int = 64) -> Index:
+def _read_postings(spark: SparkSession, path: str) -> DataFrame:
     schema = "term string, doc_id bigint, dl int, tf bigint, places array<bigint>, term_bucket int"
-    return Index(spark.read.schema(schema).parquet(path), buckets)
+    return spark.read.schema(schema).parquet(f"{path}/postings")
+
+
+def read_index(spark: SparkSession, path: str, buckets: int = 64) -> Index:
+    stats = spark.read.schema("documents bigint, average_length double").parquet(f"{path}/stats")
+    return Index(_read_postings(spark, path), buckets, stats)
+
+
+def bucketed(terms: DataFrame, index: Index) -> tuple[DataFrame, list[str]]:
+    """Terms with the keys to join them to postings; the bucket key prunes folders at run time."""
+    if not index.buckets:
+        return terms, ["term"]
+    return terms.withColumn("term_bucket", _bucket(F.col("term"), index.buckets)), ["term_bucket", "term"]
 
 
 def posting_list(index: Index, terms: list[str]) -> DataFrame:
     """Postings of the given terms; a stored index opens only their buckets."""
     rows = index.postings.where(F.col("term").isin(terms))
     if index.buckets:
-        wanted = F.array_distinct(F.array(*[_bucket(F.lit(term), index.buckets) for term in terms]))
-        if len(terms) == 1:
-            rows = rows.where(F.col("term_bucket") == _bucket(F.lit(terms[0]), index.buckets))
-        else:
-            rows = rows.where(F.array_contains(wanted, F.col("term_bucket")))
+        wanted = F.array(*[_bucket(F.lit(term), index.buckets) for term in terms])
+        rows = rows.where(F.array_contains(wanted, F.col("term_bucket")))
     return rows
 
 
@@ -104,6 +116,8 @@ def document_lengths(index: Index) -> DataFrame:
 
 def corpus_stats(index: Index) -> DataFrame:
     """One row: the number of documents and their average length in tokens."""
+    if index.stats is not None:
+        return index.stats
     return document_lengths(index).agg(F.count("*").alias("documents"), F.avg("dl").alias("average_length"))
 
 

@@ -61,6 +61,11 @@ def _term_places(index: Index, term: str) -> DataFrame:
     return posting_list(index, [term]).select("doc_id", "dl", "places")
 
 
+def _term_frequency(index: Index, term: str) -> DataFrame:
+    """Hits of an unrestricted term; the places are not read."""
+    return posting_list(index, [term]).select("doc_id", "dl", "tf")
+
+
 def _phrase_places(index: Index, terms: list[str]) -> DataFrame:
     """``(doc_id, dl, places)``: where the terms stand next to each other, in order."""
     if len(terms) == 1:
@@ -94,11 +99,12 @@ def match_term(
     ``columns`` and ``excluded`` restrict the columns; ``initial`` asks for the start of a column.
     Both apply before occurrences and documents are counted.
     """
-    terms = query_tokens(text) or [DOCUMENT_TERM]
-    found = _phrase_places(index, terms)
-    if terms == [DOCUMENT_TERM]:
-        found = found.limit(0)
-    return _score(_counted(found, columns, excluded, initial), index)
+    terms = query_tokens(text)
+    if not terms:
+        return _score(_term_frequency(index, DOCUMENT_TERM).limit(0), index)
+    if len(terms) == 1 and not (columns or excluded or initial):
+        return _score(_term_frequency(index, terms[0]), index)
+    return _score(_counted(_phrase_places(index, terms), columns, excluded, initial), index)
 
 
 match_phrase = match_term

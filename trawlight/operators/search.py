@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlight.functions.text import tokens
-from trawlight.operators.index import DOCUMENT_TERM, Index, corpus_stats
+from trawlight.operators.index import DOCUMENT_TERM, Index, bucketed, corpus_stats
 from trawlight.operators.match import inverse_frequency, saturated
 from trawlight.schemas import SEARCH_HIT
 
@@ -35,41 +35,48 @@ def search(matches: DataFrame, documents: DataFrame, limit: int = DEFAULT_LIMIT)
     return top.join(wide, "doc_id").orderBy("rank", "doc_id").select(*_HIT_COLUMNS, "rank")
 
 
-def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, slices: int = 16) -> DataFrame:
     """``(query_id, doc_id, rank, position)``: best documents holding all tokens of each query.
 
     Each query starts from its rarest term, which bounds the candidates; the other terms are then
     looked up by (term, document). A term that stands everywhere thus never meets all documents
-    with all queries, and its postings spread over the join tasks by document.
+    with all queries. Both joins spread a long posting list: the first by a document slice, for
+    which the few query rows are repeated, the second by document.
     """
     postings = index.postings.where(F.col("term") != DOCUMENT_TERM)
-    wanted = (
-        queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("weight"))
-    )
-    # One row per distinct term of the queries; absent terms keep df 0 and end their query.
-    terms = wanted.select("term").distinct()
-    df = (
-        postings.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
+    tokenised = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
+    counted = tokenised.groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+    wanted, keys = bucketed(counted, index)
+
+    document_counts = (
+        postings.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_df"))
     )
-    known = wanted.join(df, "term", "left").withColumn("df", F.coalesce("_df", F.lit(0))).drop("_df")
-    per_query = known.groupBy("query_id").agg(
-        F.count("*").alias("terms"),
-        F.min(F.struct("df", "term")).alias("rarest"),
-        F.collect_list(F.struct("term", "weight", "df")).alias("all_terms"),
+    per_query = (
+        wanted.join(document_counts, keys, "left")
+        .withColumn("df", F.coalesce("_df", F.lit(0)))
+        .groupBy("query_id")
+        .agg(
+            F.count("*").alias("terms"),
+            F.min(F.struct("df", *keys)).alias("rarest"),
+            F.collect_list(F.struct(*keys, "weight", "df")).alias("all_terms"),
+        )
+        .where(F.col("rarest.df") > 0)
     )
-    answerable = per_query.where(F.col("rarest.df") > 0)
-    candidates = (
-        answerable.select("query_id", "terms", "all_terms", F.col("rarest.term").alias("term"))
-        .join(postings.select("term", "doc_id"), "term")
-        .select("query_id", "terms", "doc_id", F.inline("all_terms"))
+    starts = per_query.select(
+        "query_id",
+        "terms",
+        "all_terms",
+        *[F.col(f"rarest.{key}").alias(key) for key in keys],
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
     )
+    sliced = postings.select(*keys, "doc_id", F.pmod(F.hash("doc_id"), F.lit(slices)).alias("slice"))
+    candidates = starts.join(sliced, [*keys, "slice"]).select("query_id", "terms", "doc_id", F.inline("all_terms"))
+
     stats = corpus_stats(index)
     idf = inverse_frequency(stats.select("documents").scalar(), F.col("df"))
     gain = saturated(F.col("tf"), F.col("dl"), stats.select("average_length").scalar())
     matches = (
-        candidates.join(postings.select("term", "doc_id", "tf", "dl"), ["term", "doc_id"])
+        candidates.join(postings.select(*keys, "doc_id", "tf", "dl"), [*keys, "doc_id"])
         .groupBy("query_id", "doc_id")
         .agg(
             F.sum(F.col("weight") * idf * gain).alias("score"),
