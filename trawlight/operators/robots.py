@@ -43,7 +43,8 @@ def robots_rules(hosts: DataFrame) -> DataFrame:
     """``(netloc, group_seq, agents, rule_seq, allow, path)`` of every group that has rules.
 
     A group starts at an agent line unless an agent line came just before; an empty line ends it.
-    Rules outside a group are ignored. Windows stay within one robots text.
+    Rules outside a group are ignored. A rule that limits the rate instead of deciding on a path
+    has neither ``allow`` nor ``path``, but makes its group count. Windows stay within one text.
     """
     lines = hosts.select("netloc", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line"))
     content = strip(F.regexp_replace("line", "(?s)#.*$", ""))
@@ -76,6 +77,7 @@ def robots_rules(hosts: DataFrame) -> DataFrame:
             F.collect_list(F.when(F.col("kind") == "rule", F.struct("line_no", "key", "value")))
         ).alias("_rules"),
     )
+    decides = F.col("_rule.key").isin(PATH_KEYS)
     return (
         groups.where(F.size("_rules") > 0)
         .select(
@@ -84,15 +86,14 @@ def robots_rules(hosts: DataFrame) -> DataFrame:
             F.transform("_agents", lambda agent: agent["value"]).alias("agents"),
             F.posexplode("_rules").alias("rule_seq", "_rule"),
         )
-        .where(F.col("_rule.key").isin(PATH_KEYS))
         .select(
             "netloc",
             "group_seq",
             "agents",
             "rule_seq",
             # An empty disallow permits everything.
-            ((F.col("_rule.key") == "allow") | (F.col("_rule.value") == "")).alias("allow"),
-            _quote(F.col("_rule.value")).alias("path"),
+            F.when(decides, (F.col("_rule.key") == "allow") | (F.col("_rule.value") == "")).alias("allow"),
+            F.when(decides, _quote(F.col("_rule.value"))).alias("path"),
         )
     )
 

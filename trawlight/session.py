@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
@@ -59,14 +60,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, order: list[str | Column], name: str, start: int = 1) -> DataFrame:
-    """Add a dense 1-step number over a total order.
+def number_and_count(df: DataFrame, order: list[str | Column], name: str, start: int = 1) -> tuple[DataFrame, int]:
+    """Add a dense 1-step number over a total order; also return how many rows there are.
 
     Rows are range-partitioned by the order key and numbered inside their partition; the row
     counts of the partitions before give the offset. The stored table in between pins each row
-    to its partition, so a retried task cannot renumber rows. The broadcast side and the
-    unpartitioned window hold one row per partition.
+    to its partition, so a retried task cannot renumber rows. What reaches the driver and is
+    broadcast is one row per partition.
     """
+    spark = df.sparkSession
     ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -77,14 +79,18 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str, start: int
         .withColumn("_part", F.shiftright("_slot", 33))
         .withColumn("_row", F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        stored.groupBy("_part")
-        .agg((F.max("_row") + 1).alias("_size"))
-        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        stored.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_row") + F.lit(start))
+    sizes = stored.groupBy("_part").agg((F.max("_row") + 1).alias("_size")).orderBy("_part").collect()
+    ends = list(accumulate(row["_size"] for row in sizes))
+    offsets = [(row["_part"], start + end - row["_size"]) for row, end in zip(sizes, ends)]
+    table = spark.createDataFrame(offsets, "_part bigint, _offset bigint")
+    numbered = (
+        stored.join(F.broadcast(table), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_row"))
         .drop("_slot", "_part", "_row", "_offset")
     )
+    return numbered, ends[-1] if ends else 0
+
+
+def number_rows(df: DataFrame, order: list[str | Column], name: str, start: int = 1) -> DataFrame:
+    """Add a dense 1-step number over a total order, without one task that sees all rows."""
+    return number_and_count(df, order, name, start)[0]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from trawlight.schemas import STORED_DOCUMENT
 
 
-def _committed_versions(spark: SparkSession, path: str) -> list[int]:
+def committed_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete snapshots, oldest first."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -29,23 +30,23 @@ def _committed_versions(spark: SparkSession, path: str) -> list[int]:
 
 def create_if_absent(spark: SparkSession, path: str) -> None:
     """Start an empty table unless one exists."""
-    if not _committed_versions(spark, path):
+    if not committed_versions(spark, path):
         write_snapshot(spark.createDataFrame([], STORED_DOCUMENT), path)
 
 
 def read_documents(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The newest committed snapshot, or a given one; an absent table reads as empty."""
-    versions = _committed_versions(spark, path)
+    versions = committed_versions(spark, path)
     if not versions:
         return spark.createDataFrame([], STORED_DOCUMENT)
     chosen = versions[-1] if version is None else version
     return spark.read.schema(STORED_DOCUMENT).parquet(f"{path}/version={chosen}")
 
 
-def write_snapshot(documents: DataFrame, path: str) -> int:
-    """Write the whole table as the next version and return its number."""
-    spark = documents.sparkSession
-    version = (_committed_versions(spark, path) or [0])[-1] + 1
+def write_snapshot(documents: DataFrame, path: str, version: int | None = None) -> int:
+    """Write the whole table as the next version, or a given later one, and return its number."""
+    if version is None:
+        version = (committed_versions(documents.sparkSession, path) or [0])[-1] + 1
     columns = [F.col(field.name).cast(field.dataType) for field in STORED_DOCUMENT]
     documents.select(*columns).write.mode("overwrite").parquet(f"{path}/version={version}")
     return version
