@@ -6,6 +6,7 @@ pages and drops the port, which belongs to the network location.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -15,29 +16,46 @@ from pyspark.sql import types as T
 
 # Scheme, network location, path, query and fragment of a URL reference.
 URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+SCHEME, NETLOC, PATH, QUERY, FRAGMENT = range(5)
+_MARK = "\ufdd0"  # a code point that no text may contain
+
+# Leading control characters and blanks, and tab or newline anywhere, are dropped.
+_DROPPED = r"^[\x00-\x20]+|[\t\r\n]"
+
+# An empty parameter mark at the end of a path.
+_EMPTY_PARAMETERS = r"(?s)^((?:.*/)?[^/;]*);$"
 
 # An absolute web address is kept as it was written; the test is case-sensitive.
 ABSOLUTE_PREFIX = r"^https?://"
 
 
-def _clean(url: Column) -> Column:
-    """Drop leading control characters and blanks, and tab or newline anywhere."""
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def _parts(url: Column) -> Column:
+    """The five parts as an array, found by one match; an absent part is empty."""
+    marked = F.regexp_replace(F.regexp_replace(url, _DROPPED, ""), URL_PARTS, _MARK.join(f"${n}" for n in range(1, 6)))
+    return F.split(marked, _MARK)
+
+
+def _part(url: Column, number: int) -> Column:
+    return F.regexp_extract(F.regexp_replace(url, _DROPPED, ""), URL_PARTS, number + 1)
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(_clean(url), URL_PARTS, 1))
+    return F.lower(_part(url, SCHEME))
 
 
 def netloc(url: Column) -> Column:
     """Host with port and user part, as written."""
-    return F.regexp_extract(_clean(url), URL_PARTS, 2)
+    return _part(url, NETLOC)
 
 
 def path_onwards(url: Column) -> Column:
     """Path, query and fragment; empty queries and fragments leave no mark."""
-    text = _clean(url)
-    return F.concat(_path(text), _query_and_fragment(text))
+    return _let(_parts(url), lambda own: F.concat(_path(own), _query_and_fragment(own)))
 
 
 def is_fetchable(url: Column) -> Column:
@@ -49,32 +67,32 @@ def is_absolute(href: Column) -> Column:
     return href.rlike(ABSOLUTE_PREFIX)
 
 
-def _path(text: Column) -> Column:
-    """The path without an empty parameter mark at its end."""
-    return F.regexp_replace(F.regexp_extract(text, URL_PARTS, 3), r"(?s)^((?:.*/)?[^/;]*);$", "$1")
+def _path(parts: Column) -> Column:
+    return F.regexp_replace(parts[PATH], _EMPTY_PARAMETERS, "$1")
 
 
 def _marked(mark: str, part: Column) -> Column:
     return F.when(part != "", F.concat(F.lit(mark), part)).otherwise("")
 
 
-def _query_and_fragment(text: Column) -> Column:
-    return F.concat(
-        _marked("?", F.regexp_extract(text, URL_PARTS, 4)), _marked("#", F.regexp_extract(text, URL_PARTS, 5))
-    )
+def _query_and_fragment(parts: Column) -> Column:
+    return F.concat(_marked("?", parts[QUERY]), _marked("#", parts[FRAGMENT]))
 
 
-def _merged_path(base_path: Column, path: Column) -> Column:
-    """Resolve a non-empty path against a base path, removing dot segments."""
-    from_root = path.startswith("/")
-    base_parts = F.split(base_path, "/")
-    directory = F.when(F.element_at(base_parts, -1) == "", base_parts).otherwise(
-        F.slice(base_parts, F.lit(1), F.size(base_parts) - 1)
-    )
-    joined = F.concat(directory, F.split(path, "/"))
-    middle = F.filter(F.slice(joined, F.lit(2), F.size(joined) - 2), lambda part: part != "")
-    relative = F.concat(F.slice(joined, 1, 1), middle, F.slice(joined, -1, 1))
-    segments = F.when(from_root, F.split(path, "/")).otherwise(relative)
+def _segments(base_path: Column, path: Column) -> Column:
+    """Path segments of a non-empty reference path, taken against the folder of the base."""
+
+    def under_base(joined: Column) -> Column:
+        middle = F.filter(F.slice(joined, F.lit(2), F.size(joined) - 2), lambda part: part != "")
+        return F.concat(F.slice(joined, 1, 1), middle, F.slice(joined, -1, 1))
+
+    folder = F.regexp_replace(base_path, "[^/]+$", "")
+    relative = _let(F.split(F.concat(F.regexp_replace(folder, "^$", "/"), path), "/"), under_base)
+    return F.when(path.startswith("/"), F.split(path, "/")).otherwise(relative)
+
+
+def _without_dots(segments: Column) -> Column:
+    """Join segments to a rooted path, walking up at double dots."""
     nothing = F.array().cast("array<string>")
     walked = F.aggregate(
         segments,
@@ -83,43 +101,47 @@ def _merged_path(base_path: Column, path: Column) -> Column:
         .when(part == ".", done)
         .otherwise(F.concat(done, F.array(part))),
     )
-    ends_on_dots = F.element_at(segments, -1).isin(".", "..")
-    resolved = F.array_join(F.concat(walked, F.when(ends_on_dots, F.array(F.lit(""))).otherwise(nothing)), "/")
-    plain = from_root & ~path.contains("/.")
-    rooted = F.when(resolved.startswith("/"), resolved).otherwise(F.concat(F.lit("/"), resolved))
-    return F.when(plain, path).otherwise(rooted)
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(nothing)
+    return F.regexp_replace(F.array_join(F.concat(walked, end), "/"), "^(?!/)", "/")
 
 
 def base_parts(base: Column) -> Column:
     """The parts of a base URL, to be computed once and shared by all links of a page."""
-    text = _clean(base)
-    return F.struct(
-        base.alias("url"),
-        F.lower(F.regexp_extract(text, URL_PARTS, 1)).alias("scheme"),
-        F.regexp_extract(text, URL_PARTS, 2).alias("netloc"),
-        _path(text).alias("path"),
-        F.regexp_extract(text, URL_PARTS, 4).alias("query"),
+    return _let(
+        _parts(base),
+        lambda own: F.struct(
+            base.alias("url"),
+            F.lower(own[SCHEME]).alias("scheme"),
+            F.concat(F.lower(own[SCHEME]), F.lit("://"), own[NETLOC]).alias("site"),
+            _path(own).alias("path"),
+            own[QUERY].alias("query"),
+        ),
     )
 
 
 def join_to(base: Column, href: Column) -> Column:
     """Join a reference to the parts of an http(s) base URL the way a browser or ``urljoin`` does."""
-    text = _clean(href)
-    own_scheme = F.lower(F.regexp_extract(text, URL_PARTS, 1))
-    own_netloc = F.regexp_extract(text, URL_PARTS, 2)
-    own_query = F.regexp_extract(text, URL_PARTS, 4)
-    own_fragment = F.regexp_extract(text, URL_PARTS, 5)
-    own_path = _path(text)
-    site = F.concat(base["scheme"], F.lit("://"), base["netloc"])
-    query = _marked("?", F.when(own_query == "", base["query"]).otherwise(own_query))
-    return (
-        F.when(href.rlike(r"^/[\w/-]*$") & ~href.startswith("//"), F.concat(site, href))
-        .when(href == "", base["url"])
-        .when((own_scheme != "") & (own_scheme != base["scheme"]), href)
-        .when(own_netloc != "", F.concat(base["scheme"], F.lit("://"), own_netloc, own_path, _query_and_fragment(text)))
-        .when(own_path == "", F.concat(site, base["path"], query, _marked("#", own_fragment)))
-        .otherwise(F.concat(site, _merged_path(base["path"], own_path), _query_and_fragment(text)))
-    )
+
+    def joined(own: Column) -> Column:
+        other_scheme = (own[SCHEME] != "") & (F.lower(own[SCHEME]) != base["scheme"])
+        return (
+            F.when(href == "", base["url"])
+            .when(other_scheme, href)
+            .when(
+                own[NETLOC] != "",
+                F.concat(base["scheme"], F.lit("://"), own[NETLOC], _path(own), _query_and_fragment(own)),
+            )
+            .otherwise(F.concat(base["site"], _let(_path(own), lambda path: on_site(own, path))))
+        )
+
+    def on_site(own: Column, path: Column) -> Column:
+        query = _marked("?", F.when(own[QUERY] == "", base["query"]).otherwise(own[QUERY]))
+        same_page = F.concat(base["path"], query, _marked("#", own[FRAGMENT]))
+        resolved = _let(_segments(base["path"], path), _without_dots)
+        return F.when(path == "", same_page).otherwise(F.concat(resolved, _query_and_fragment(own)))
+
+    plain = href.rlike(r"^/[\w-][\w/-]*$")
+    return F.when(plain, F.concat(base["site"], href)).otherwise(_let(_parts(href), joined))
 
 
 def url_join(base: Column, href: Column) -> Column:
