@@ -448,7 +448,7 @@ _sql["ft_match_phrase"] = _search(
     f"{_RANK} a GROUP BY doc_id",
 )
 _sql["ft_match_prefix"] = _search(
-    [_phrase("a", "SELECT doc_id, count(*) AS tf FROM words WHERE starts_with(term, 'thei') GROUP BY doc_id")],
+    [_phrase("a", "SELECT doc_id, count(*) AS tf FROM words WHERE starts_with(term, 'tha') GROUP BY doc_id")],
     f"{_RANK} a GROUP BY doc_id",
 )
 

@@ -21,7 +21,7 @@ from trawlight.operators import search as s
 from trawlight.operators.index import build_index, corpus_stats, document_frequencies
 from trawlight.operators.pages import link_edges
 from trawlight.plans.crawl_job import metasearch_query
-from trawlight.session import number_rows, scratch_path
+from trawlight.session import materialise, number_rows, scratch_path
 from trawlight.sources import documents as store
 from trawlight.sources.engines import engine_results
 from trawlight.sources.pages import fetched_only, page_fetch
@@ -209,7 +209,7 @@ def disallowed_filter(spark, sf_dir):
 
 def _crawl(spark, sf_dir, **bounds) -> c.Crawl:
     links = t.page_links(spark, sf_dir).where(F.col("status") == 200).select("url", "links")
-    return c.crawl(links, t.crawl_seeds(spark, sf_dir), **bounds)
+    return c.crawl(materialise(links, "links"), t.crawl_seeds(spark, sf_dir), **bounds)
 
 
 def _link_entries(spark, sf_dir) -> DataFrame:
@@ -437,7 +437,7 @@ def ft_match_phrase(spark, sf_dir):
 
 @query
 def ft_match_prefix(spark, sf_dir):
-    return _hits(m.match_prefix(_pages(spark, sf_dir), "thei"))
+    return _hits(m.match_prefix(_pages(spark, sf_dir), "tha"))
 
 
 @query

@@ -93,7 +93,7 @@ def crawl(
 
     ``page_links (url, links)`` holds the pages that can be fetched, one row each, with their
     resolved links in order; a visited URL without a row is a failed attempt, which still uses up
-    budget. Joining whole link arrays keeps both join keys unique. ``seeds (url, depth, pos)``
+    budget. It is read once per wave and should be a stored table. Joining whole link arrays keeps both join keys unique. ``seeds (url, depth, pos)``
     may repeat URLs. The loop runs once per wave; each wave is stored, so lineage does not grow.
     """
     by_order = ["parent_pos", "kind", "idx"]

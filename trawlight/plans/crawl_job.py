@@ -46,10 +46,10 @@ def page_table(store: DataFrame, robots: DataFrame | None, agent: str) -> DataFr
     return page_parse(pages)
 
 
-def link_table(parsed: DataFrame) -> DataFrame:
-    """``(url, links)`` with every link joined to its page, as the queue holds it."""
-    based = parsed.select("url", base_parts(F.col("url")).alias("_base"), "links")
-    return based.select("url", F.transform("links", lambda link: join_to(F.col("_base"), link)).alias("links"))
+def with_queue_links(parsed: DataFrame) -> DataFrame:
+    """Parsed pages with every link joined to its page once more, as the queue holds it."""
+    based = parsed.withColumn("_base", base_parts(F.col("url")))
+    return based.withColumn("links", F.transform("links", lambda link: join_to(F.col("_base"), link))).drop("_base")
 
 
 def run_crawl(
@@ -72,7 +72,7 @@ def run_crawl(
     Pages are read and parsed once and stored as a narrow table; the waves then only touch URLs
     and links, and the documents are joined from the parsed table at the end.
     """
-    parsed = materialise(page_table(store, robots, agent), "parsed")
+    parsed = materialise(with_queue_links(page_table(store, robots, agent)), "parsed")
     backend = make_backend if summaries else None
     first_seed = seeds.agg(F.min_by("url", "pos")).first()[0]
 
@@ -88,7 +88,7 @@ def run_crawl(
         return merged.select(F.col("query_id").alias("pos"), F.row_number().over(in_order).alias("idx"), "url")
 
     result = order.crawl(
-        link_table(parsed),
+        parsed.select("url", "links"),
         seeds,
         max_depth,
         max_pages,
