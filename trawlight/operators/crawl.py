@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlight.session import materialise, number_and_count
+from trawlight.session import materialise, number_and_count, scratch_path
 
 # Defaults of the crawl parameters.
 MAX_DEPTH = 3
@@ -94,38 +94,46 @@ def crawl(
     ``page_links (url, links)`` holds the pages that can be fetched, one row each, with their
     resolved links in order; a visited URL without a row is a failed attempt, which still uses up
     budget. It is read once per wave and should be a stored table. Joining whole link arrays keeps both join keys unique. ``seeds (url, depth, pos)``
-    may repeat URLs. The loop runs once per wave; each wave is stored, so lineage does not grow.
+    may repeat URLs.
+
+    The loop runs once per wave. Frontiers and attempts are stored as one folder per wave of two
+    tables, so a wave reads its predecessors as one scan and no plan grows with their number.
     """
+    spark = page_links.sparkSession
+    root = scratch_path(spark, "crawl")
     by_order = ["parent_pos", "kind", "idx"]
-    start_entries = seeds.select(
+    entries = seeds.select(
         F.col("pos").alias("parent_pos"), F.lit(OWN_LINK).alias("kind"), F.lit(0).alias("idx"), "depth", "url"
     )
-    frontier, size = number_and_count(first_enqueued(start_entries), by_order, "pos")
-    frontiers, visited = [], []
+    seen = spark.createDataFrame([], "url string")
     next_pos, good_so_far, wave = 1, 0, 0
+    frontiers = []
     while True:
-        frontier = frontier.select("url", "depth", F.lit(wave).alias("wave"), "pos")
-        frontiers.append(frontier)
+        new = not_seen(first_enqueued(entries), seen)
+        frontier, size = number_and_count(new, by_order, "pos", next_pos, f"{root}/frontier/wave={wave}")
+        frontiers.append(frontier.select("url", "depth", F.lit(wave).alias("wave"), "pos"))
         if size == 0 or next_pos > max_pages:
             break
         attempts = materialise(
             frontier.where(F.col("pos") <= max_pages)
             .join(page_links.select("url", "links"), "url", "left")
-            .withColumn("ok", F.col("links").isNotNull()),
+            .select("url", "depth", "pos", F.col("links").isNotNull().alias("ok"), "links"),
             "attempts",
+            f"{root}/attempts/wave={wave}",
         )
-        visited.append(attempts.select("url", "depth", "wave", "pos", "ok"))
         entries = own_link_entries(attempts, max_depth)
         if expand is not None:
             triggers, good_so_far = triggering_pages(attempts, interval, good_so_far)
             entries = entries.unionByName(search_entries(expand(triggers)))
-        seen = reduce(DataFrame.unionByName, frontiers)
+        seen = spark.read.schema("url string").parquet(f"{root}/frontier")
         next_pos, wave = next_pos + size, wave + 1
-        frontier, size = number_and_count(not_seen(first_enqueued(entries), seen), by_order, "pos", next_pos)
-    enqueued = reduce(DataFrame.unionByName, frontiers)
-    if not visited:
-        visited.append(enqueued.limit(0).withColumn("ok", F.lit(False)))
-    return Crawl(reduce(DataFrame.unionByName, visited), enqueued.where(F.col("pos") > max_pages))
+    visited = frontiers[0].limit(0).withColumn("ok", F.lit(False))
+    if wave:
+        stored = spark.read.schema("url string, depth int, pos bigint, ok boolean, wave int")
+        visited = stored.parquet(f"{root}/attempts").select("url", "depth", "wave", "pos", "ok")
+    # Only the last wave worked on, and the one it enqueued, can reach beyond the budget.
+    queued = reduce(DataFrame.unionByName, frontiers[-2:]).where(F.col("pos") > max_pages)
+    return Crawl(visited, queued)
 
 
 def crawl_stats(result: Crawl) -> DataFrame:

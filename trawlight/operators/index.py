@@ -8,8 +8,11 @@ over the texts produces everything that ranking needs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from trawlight.schemas import SEARCHABLE
 
 COLUMN_STEP = 1 << 32
 DOCUMENT_TERM = ""
+POSTING_SCHEMA = "term string, doc_id bigint, dl int, tf bigint, places array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -29,30 +33,66 @@ class Index:
     stats: DataFrame | None = None
 
 
-def occurrences(documents: DataFrame, key: str = "ingest_seq") -> DataFrame:
-    """``(doc_id, dl, term, place)``: one row per token of the searchable columns present."""
+def _tokenised(documents: DataFrame, key: str) -> DataFrame:
+    """``doc_id``, ``dl`` and one token array per searchable column present."""
     columns = [name for name in SEARCHABLE if name in documents.columns]
-    tokenised = documents.select(F.col(key).alias("doc_id"), *[tokens(F.col(name)).alias(name) for name in columns])
+    split = documents.select(F.col(key).cast("bigint").alias("doc_id"), *[tokens(F.col(name)).alias(name) for name in columns])
     length = sum((F.size(name) for name in columns), F.lit(0))
-    parts = [F.struct(F.lit(SEARCHABLE.index(name)).alias("column"), F.col(name).alias("terms")) for name in columns]
-    document = F.struct(F.lit(-1).alias("column"), F.array(F.lit(DOCUMENT_TERM)).alias("terms"))
-    exploded = tokenised.select("doc_id", length.alias("dl"), F.explode(F.array(*parts, document)).alias("part"))
-    return exploded.select("doc_id", "dl", "part.column", F.posexplode("part.terms").alias("pos", "term")).select(
-        "doc_id", "dl", "term", (F.col("column") * F.lit(COLUMN_STEP) + F.col("pos")).alias("place")
-    )
+    return split.select("doc_id", length.alias("dl"), *columns)
 
 
-def _collect_places(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys, "term", "doc_id").agg(
-        F.max("dl").alias("dl"),
-        F.count("*").alias("tf"),
-        F.array_sort(F.collect_list("place")).alias("places"),
-    )
+def _group_tokens(tokenised: DataFrame) -> DataFrame:
+    """Postings of each document, grouped inside the scan task.
+
+    Texts are tokenised in the JVM. Grouping the tokens of a row there would mean exploding them
+    all and aggregating them back through object buffers that sort and shuffle every token; the
+    Arrow batches need one integer sort and leave only finished postings to be shuffled.
+    """
+    names = tokenised.columns[2:]
+    steps = [SEARCHABLE.index(name) * COLUMN_STEP for name in names]
+    document_term, document_place, chunk_rows = DOCUMENT_TERM, -COLUMN_STEP, 512
+
+    def group(rows: pa.RecordBatch) -> pa.RecordBatch:
+        count = rows.num_rows
+        numbers = np.arange(count)
+        terms, owners, places = [pa.array([document_term] * count, pa.string())], [numbers], [np.full(count, document_place)]
+        for name, step in zip(names, steps):
+            lists = rows.column(name)
+            lengths = np.diff(lists.offsets.to_numpy())
+            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            terms.append(lists.flatten().cast(pa.string()))
+            owners.append(np.repeat(numbers, lengths))
+            places.append(step + np.arange(len(starts)) - starts)
+        encoded = pa.concat_arrays(terms).dictionary_encode()
+        owner, place = np.concatenate(owners), np.concatenate(places)
+        owned_term = owner * len(encoded.dictionary) + encoded.indices.to_numpy()
+        # Stable: the places of a term stay in column and position order.
+        order = np.argsort(owned_term, kind="stable")
+        first = np.flatnonzero(np.diff(owned_term[order], prepend=-1))
+        ends = np.append(first[1:], len(order))
+        rows_of, heads = owner[order[first]], order[first]
+        return pa.RecordBatch.from_arrays(
+            [
+                encoded.dictionary.take(encoded.indices.take(pa.array(heads))),
+                rows.column("doc_id").take(pa.array(rows_of)),
+                rows.column("dl").take(pa.array(rows_of)),
+                pa.array(ends - first, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int64())),
+            ],
+            names=["term", "doc_id", "dl", "tf", "places"],
+        )
+
+    def group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, chunk_rows):
+                yield group(batch.slice(start, chunk_rows))
+
+    return tokenised.mapInArrow(group_batches, POSTING_SCHEMA)
 
 
 def build_index(documents: DataFrame, key: str = "ingest_seq") -> Index:
-    """The index as a lazy view; filters on the term reach the token stream before the shuffle."""
-    return Index(_collect_places(occurrences(documents, key)))
+    """The index as a lazy view; it needs no shuffle."""
+    return Index(_group_tokens(_tokenised(documents, key)))
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -66,15 +106,10 @@ def write_index(documents: DataFrame, path: str, buckets: int = 64, slices: int
     document is spread over ``slices`` tasks and files instead of filling one. The folder of a
     bucket prunes by term, and the sort inside the files lets row-group statistics do the rest.
     """
-    placed = (
-        occurrences(documents, key)
-        .withColumn("term_bucket", _bucket(F.col("term"), buckets))
-        .withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
-        .repartition("term_bucket", "slice")
-    )
     (
-        _collect_places(placed, "term_bucket", "slice")
-        .drop("slice")
+        build_index(documents, key)
+        .postings.withColumn("term_bucket", _bucket(F.col("term"), buckets))
+        .repartition("term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
         .sortWithinPartitions("term_bucket", "term", "doc_id")
         .write.partitionBy("term_bucket")
         .parquet(f"{path}/postings")
@@ -84,8 +119,7 @@ def write_index(documents: DataFrame, path: str, buckets: int = 64, slices: int
 
 
 def _read_postings(spark: SparkSession, path: str) -> DataFrame:
-    schema = "term string, doc_id bigint, dl int, tf bigint, places array<bigint>, term_bucket int"
-    return spark.read.schema(schema).parquet(f"{path}/postings")
+    return spark.read.schema(f"{POSTING_SCHEMA}, term_bucket int").parquet(f"{path}/postings")
 
 
 def read_index(spark: SparkSession, path: str, buckets: int = 64) -> Index:

@@ -34,6 +34,11 @@ def saturated(tf: Column, dl: Column, average_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average_length))
 
 
+def total(scores: Column) -> Column:
+    """Sum of scores that does not depend on the order of the rows, so that equal documents tie."""
+    return F.sum(scores.cast("decimal(38,18)")).cast("double")
+
+
 def _score(hits: DataFrame, index: Index, counted: DataFrame | None = None) -> DataFrame:
     """Score phrase hits ``(doc_id, dl, tf)``; ``counted`` are the rows that make up df.
 
@@ -152,7 +157,7 @@ def match_near(index: Index, terms: list[str], distance: int = 10) -> DataFrame:
 
 def _added_up(parts: tuple[DataFrame, ...]) -> DataFrame:
     rows = reduce(DataFrame.unionByName, parts)
-    return rows.groupBy("doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("parts"))
+    return rows.groupBy("doc_id").agg(total(F.col("score")).alias("score"), F.count("*").alias("parts"))
 
 
 def match_all(*parts: DataFrame) -> DataFrame:

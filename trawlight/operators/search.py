@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawlight.functions.text import tokens
 from trawlight.operators.index import DOCUMENT_TERM, Index, bucketed, corpus_stats
-from trawlight.operators.match import inverse_frequency, saturated
+from trawlight.operators.match import inverse_frequency, saturated, total
 from trawlight.schemas import SEARCH_HIT
 
 DEFAULT_LIMIT = 10
@@ -79,7 +79,7 @@ def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, s
         candidates.join(postings.select(*keys, "doc_id", "tf", "dl"), [*keys, "doc_id"])
         .groupBy("query_id", "doc_id")
         .agg(
-            F.sum(F.col("weight") * idf * gain).alias("score"),
+            total(F.col("weight") * idf * gain).alias("score"),
             F.count("*").alias("found"),
             F.max("terms").alias("terms"),
         )

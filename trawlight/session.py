@@ -48,19 +48,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/trawlight/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to shared storage and return the stored table.
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once to shared storage, by default to a new path, and return the stored table.
 
     Cuts the lineage like a checkpoint, but runs the plan once instead of twice and gives a
     columnar table that later steps prune.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
+    path = path or scratch_path(spark, label)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_and_count(df: DataFrame, order: list[str | Column], name: str, start: int = 1) -> tuple[DataFrame, int]:
+def number_and_count(
+    df: DataFrame, order: list[str | Column], name: str, start: int = 1, path: str | None = None
+) -> tuple[DataFrame, int]:
     """Add a dense 1-step number over a total order; also return how many rows there are.
 
     Rows are range-partitioned by the order key and numbered inside their partition; the row
@@ -75,7 +77,7 @@ def number_and_count(df: DataFrame, order: list[str | Column], name: str, start:
         .withColumn("_slot", F.monotonically_increasing_id())
     )
     stored = (
-        materialise(ranged, "numbered")
+        materialise(ranged, "numbered", path)
         .withColumn("_part", F.shiftright("_slot", 33))
         .withColumn("_row", F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)))
     )
