@@ -27,7 +27,8 @@ TAG = r"""<[a-z/!?][^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*>"""
 
 # The start tag of a link, and its target in any of the three quoting styles.
 LINK_TAG = r"""(?is)<a\s[^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*>"""
-HREF = r"""(?is)^<a\s(?:[^>]*?\s)??href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+_OTHER_ATTRIBUTE = r"""[^\s=>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))?+\s*+"""
+HREF = rf"""(?is)^<a\s+(?:{_OTHER_ATTRIBUTE})*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
 
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 

@@ -35,12 +35,13 @@ def _fold_pairs() -> tuple[str, str]:
     dropped = set()
     for code in range(0xB5, 0x3000):
         letter = chr(code)
-        base, *marks = unicodedata.normalize("NFD", letter)
+        folded = letter.casefold() if len(letter.casefold()) == 1 else letter
+        base, *marks = unicodedata.normalize("NFD", folded)
         if marks and base.isascii() and base.isalpha() and letter not in _UNFOLDED:
             pairs[letter] = base.lower()
             dropped.update(marks)
-        elif not marks and len(letter.casefold()) == 1 and letter.casefold() not in (letter, letter.lower()):
-            pairs[letter] = letter.casefold()
+        elif folded not in (letter, letter.lower()):
+            pairs[letter] = folded
     return "".join(pairs) + "".join(sorted(dropped)), "".join(pairs.values())
 
 
