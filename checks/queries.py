@@ -21,7 +21,7 @@ from trawlight.operators import search as s
 from trawlight.operators.index import build_index, corpus_stats, document_frequencies
 from trawlight.operators.pages import link_edges
 from trawlight.plans.crawl_job import metasearch_query
-from trawlight.session import materialise, number_rows, scratch_path
+from trawlight.session import materialise, number_rows, scratch_path, spread
 from trawlight.sources import documents as store
 from trawlight.sources.engines import engine_results
 from trawlight.sources.pages import fetched_only, page_fetch
@@ -379,7 +379,7 @@ def doc_delete(spark, sf_dir):
 @query
 def ft_tokenize(spark, sf_dir):
     token = F.explode(tokens(F.col("text"))).alias("token")
-    rows = t.table(spark, sf_dir, "documents").select("doc_id", token)
+    rows = spread(t.table(spark, sf_dir, "documents")).select("doc_id", token)
     return rows.groupBy("token").agg(F.count("*").alias("occurrences"), F.max("doc_id").alias("last_doc"))
 
 

@@ -9,7 +9,7 @@ from trawlight.functions.text import snippet
 from trawlight.functions.urls import netloc, path_onwards
 from trawlight.operators.index import Index, read_index, write_index
 from trawlight.operators.pages import page_parse
-from trawlight.session import scratch_path
+from trawlight.session import scratch_path, spread
 
 STAMP = "2024-01-01T00:00:00Z"
 AGENT = "fetchbot/0.1"
@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    """Pages, with their parsing spread over the cores if the file has too few splits."""
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long documents: whole text as body, source as engine."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("http://d/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("lang").alias("title"),
         F.col("text").alias("body"),

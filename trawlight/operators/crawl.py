@@ -96,8 +96,10 @@ def crawl(
     budget. It is read once per wave and should be a stored table. Joining whole link arrays keeps both join keys unique. ``seeds (url, depth, pos)``
     may repeat URLs.
 
-    The loop runs once per wave. Frontiers and attempts are stored as one folder per wave of two
-    tables, so a wave reads its predecessors as one scan and no plan grows with their number.
+    The loop runs once per wave. Frontiers and good pages are stored as one folder per wave of two
+    tables, so a wave reads its predecessors as one scan and no plan in the loop grows with their
+    number. The frontier is joined from its files, so a small one is broadcast to the link table
+    and only a large one shuffles it.
     """
     spark = page_links.sparkSession
     root = scratch_path(spark, "crawl")
@@ -114,23 +116,23 @@ def crawl(
         frontiers.append(frontier.select("url", "depth", F.lit(wave).alias("wave"), "pos"))
         if size == 0 or next_pos > max_pages:
             break
+        taken = frontier.where(F.col("pos") <= max_pages).select("url", "depth", "pos")
         attempts = materialise(
-            frontier.where(F.col("pos") <= max_pages)
-            .join(page_links.select("url", "links"), "url", "left")
-            .select("url", "depth", "pos", F.col("links").isNotNull().alias("ok"), "links"),
-            "attempts",
-            f"{root}/attempts/wave={wave}",
-        )
+            taken.join(page_links.select("url", "links"), "url"), "good", f"{root}/good/wave={wave}"
+        ).withColumn("ok", F.lit(True))
         entries = own_link_entries(attempts, max_depth)
         if expand is not None:
             triggers, good_so_far = triggering_pages(attempts, interval, good_so_far)
             entries = entries.unionByName(search_entries(expand(triggers)))
         seen = spark.read.schema("url string").parquet(f"{root}/frontier")
         next_pos, wave = next_pos + size, wave + 1
-    visited = frontiers[0].limit(0).withColumn("ok", F.lit(False))
+    enqueued = reduce(DataFrame.unionByName, frontiers)
     if wave:
-        stored = spark.read.schema("url string, depth int, pos bigint, ok boolean, wave int")
-        visited = stored.parquet(f"{root}/attempts").select("url", "depth", "wave", "pos", "ok")
+        good = spark.read.schema("url string").parquet(f"{root}/good").select("url", F.lit(True).alias("_good"))
+        visited = enqueued.where(F.col("pos") <= max_pages).join(good, "url", "left")
+        visited = visited.withColumn("ok", F.col("_good").isNotNull()).drop("_good")
+    else:
+        visited = enqueued.limit(0).withColumn("ok", F.lit(False))
     # Only the last wave worked on, and the one it enqueued, can reach beyond the budget.
     queued = reduce(DataFrame.unionByName, frontiers[-2:]).where(F.col("pos") > max_pages)
     return Crawl(visited, queued)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlight.functions.text import tokens
-from trawlight.operators.index import DOCUMENT_TERM, Index, bucketed, corpus_stats
+from trawlight.operators.index import Index, bucketed, corpus_stats
 from trawlight.operators.match import inverse_frequency, saturated, total
 from trawlight.schemas import SEARCH_HIT
+from trawlight.session import materialise
 
 DEFAULT_LIMIT = 10
 _HIT_COLUMNS = [name for name in SEARCH_HIT.names if name != "rank"]
@@ -43,14 +44,14 @@ def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, s
     with all queries. Both joins spread a long posting list: the first by a document slice, for
     which the few query rows are repeated, the second by document.
     """
-    postings = index.postings.where(F.col("term") != DOCUMENT_TERM)
     tokenised = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
     counted = tokenised.groupBy("query_id", "term").agg(F.count("*").alias("weight"))
     wanted, keys = bucketed(counted, index)
+    # Stored, so that the planner knows its size and broadcasts it to the index if it is small.
+    wanted = materialise(wanted, "query-terms")
+    postings = index.postings.join(wanted.select(*keys).distinct(), keys, "left_semi")
 
-    document_counts = (
-        postings.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_df"))
-    )
+    document_counts = materialise(postings.groupBy(*keys).agg(F.count("*").alias("_df")), "query-df")
     per_query = (
         wanted.join(document_counts, keys, "left")
         .withColumn("df", F.coalesce("_df", F.lit(0)))
@@ -62,6 +63,7 @@ def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, s
         )
         .where(F.col("rarest.df") > 0)
     )
+    per_query = materialise(per_query, "query-plan")
     starts = per_query.select(
         "query_id",
         "terms",

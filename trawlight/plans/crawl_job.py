@@ -95,6 +95,7 @@ def run_crawl(
         expand if engines is not None else None,
         metasearch_interval,
     )
-    good = result.visited.where("ok").select("url", "pos")
+    # Stored, so that a small crawl is broadcast to the parsed pages instead of shuffling them.
+    good = materialise(result.visited.where("ok").select("url", "pos"), "visited")
     pages = good.join(parsed.select("url", "title", "text", "snippet"), "url")
     return CrawlJob(result, order.crawl_documents(with_summary(pages, backend), timestamp))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from itertools import accumulate
@@ -67,10 +68,10 @@ def number_and_count(
 
     Rows are range-partitioned by the order key and numbered inside their partition; the row
     counts of the partitions before give the offset. The stored table in between pins each row
-    to its partition, so a retried task cannot renumber rows. What reaches the driver and is
-    broadcast is one row per partition.
+    to its partition, so a retried task cannot renumber rows. One number per partition reaches
+    the driver and comes back as an array literal, not as a join, so the result keeps the size of
+    its files as statistics: the planner broadcasts it later on only if that size is small.
     """
-    spark = df.sparkSession
     ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -83,16 +84,25 @@ def number_and_count(
     )
     sizes = stored.groupBy("_part").agg((F.max("_row") + 1).alias("_size")).orderBy("_part").collect()
     ends = list(accumulate(row["_size"] for row in sizes))
-    offsets = [(row["_part"], start + end - row["_size"]) for row, end in zip(sizes, ends)]
-    table = spark.createDataFrame(offsets, "_part bigint, _offset bigint")
-    numbered = (
-        stored.join(F.broadcast(table), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_row"))
-        .drop("_slot", "_part", "_row", "_offset")
-    )
-    return numbered, ends[-1] if ends else 0
+    offsets = [0] * (sizes[-1]["_part"] + 1 if sizes else 0)
+    for row, end in zip(sizes, ends):
+        offsets[row["_part"]] = start + end - row["_size"]
+    table = F.from_json(F.lit(json.dumps(offsets)), "array<bigint>")
+    numbered = stored.withColumn(name, F.get(table, F.col("_part").cast("int")) + F.col("_row"))
+    return numbered.drop("_slot", "_part", "_row"), ends[-1] if ends else 0
 
 
 def number_rows(df: DataFrame, order: list[str | Column], name: str, start: int = 1) -> DataFrame:
     """Add a dense 1-step number over a total order, without one task that sees all rows."""
     return number_and_count(df, order, name, start)[0]
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a file scan over the cores when it has too few splits for them.
+
+    Meant for small tables in few files that go through expensive expressions. A table with at
+    least one split per core passes unchanged, so large tables are never shuffled here. Give it a
+    plain scan: counting the splits must not run anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
