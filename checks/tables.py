@@ -9,12 +9,13 @@ from trawlight.functions.text import snippet
 from trawlight.functions.urls import netloc, path_onwards
 from trawlight.operators.index import Index, read_index, write_index
 from trawlight.operators.pages import page_parse
-from trawlight.session import scratch_path, spread
+from trawlight.session import materialise, scratch_path, spread
 
 STAMP = "2024-01-01T00:00:00Z"
 AGENT = "fetchbot/0.1"
 
-_indexes: dict[tuple[str, str, str], Index] = {}
+# Tables written once per application to the shared scratch folder.
+_stored: dict[tuple[str, str, str], DataFrame | Index] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,15 +70,23 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_index(spark: SparkSession, sf_dir: str, corpus: str) -> Index:
-    """The index of a corpus, written once per application to the shared scratch folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, corpus)
-    if key not in _indexes:
+def stored_documents(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
+    """The document table of a corpus, as a search reads it."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"documents of {corpus}")
+    if key not in _stored:
         documents = {"pages": page_documents, "documents": text_documents}[corpus](spark, sf_dir)
+        _stored[key] = materialise(documents, f"documents-{corpus}")
+    return _stored[key]
+
+
+def stored_index(spark: SparkSession, sf_dir: str, corpus: str) -> Index:
+    """The inverted index over the stored documents of a corpus."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"index of {corpus}")
+    if key not in _stored:
         path = scratch_path(spark, f"index-{corpus}")
-        write_index(documents, path, buckets=16, slices=4)
-        _indexes[key] = read_index(spark, path, buckets=16)
-    return _indexes[key]
+        write_index(stored_documents(spark, sf_dir, corpus), path, buckets=16)
+        _stored[key] = read_index(spark, path, buckets=16)
+    return _stored[key]
 
 
 def robots_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

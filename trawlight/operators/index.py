@@ -99,13 +99,17 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(documents: DataFrame, path: str, buckets: int = 64, slices: int = 8, key: str = "ingest_seq") -> None:
+def write_index(
+    documents: DataFrame, path: str, buckets: int = 64, slices: int | None = None, key: str = "ingest_seq"
+) -> None:
     """Store the index for pruned reads.
 
     One shuffle places rows by (term bucket, document slice): a term that stands in every
-    document is spread over ``slices`` tasks and files instead of filling one. The folder of a
-    bucket prunes by term, and the sort inside the files lets row-group statistics do the rest.
+    document is spread over ``slices`` tasks and files instead of filling one, by default over as
+    many as there are shuffle partitions. The folder of a bucket prunes by term, and the sort
+    inside the files lets row-group statistics do the rest.
     """
+    slices = slices or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         build_index(documents, key)
         .postings.withColumn("term_bucket", _bucket(F.col("term"), buckets))

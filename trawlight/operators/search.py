@@ -36,7 +36,7 @@ def search(matches: DataFrame, documents: DataFrame, limit: int = DEFAULT_LIMIT)
     return top.join(wide, "doc_id").orderBy("rank", "doc_id").select(*_HIT_COLUMNS, "rank")
 
 
-def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, slices: int = 16) -> DataFrame:
+def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, slices: int = 32) -> DataFrame:
     """``(query_id, doc_id, rank, position)``: best documents holding all tokens of each query.
 
     Each query starts from its rarest term, which bounds the candidates; the other terms are then
