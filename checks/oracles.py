@@ -300,6 +300,37 @@ left_over AS (
 SELECT (SELECT count(*) FROM done) AS pages_visited, (SELECT count(*) FROM done WHERE ok) AS pages_good,
     (SELECT count(*) FROM left_over) AS urls_queued
 """
+# Each round sees the whole queue so far: the last wave as queue, all of it as recurring.queue.
+_sql["crawl_seed_expansion"] = _with(PARSED, LINKS, STORE, _PAGE_LINKS, _GOOD_LINKS, _WAVE0, """found AS (
+    SELECT p.url, 0 AS idx, 'http://found.example.org/' || CAST(p.page_id AS VARCHAR) AS target FROM pages p
+    UNION ALL
+    SELECT p.url, 1, o.url FROM pages p JOIN pages o
+        ON o.page_id = (p.page_id * 3 + 1) % (SELECT count(*) FROM pages)
+)""", """queue(url, depth, wave, pos) USING KEY (url) AS (
+    SELECT url, depth, wave, pos FROM w0
+    UNION
+    SELECT url, depth, wave, (SELECT max(pos) FROM recurring.queue) + row_number() OVER (ORDER BY place) AS pos
+    FROM (
+        SELECT url, arg_min(depth, place) AS depth, min(wave) AS wave, min(place) AS place
+        FROM (
+            SELECT l.link AS url, q.depth + 1 AS depth, q.wave + 1 AS wave, (q.pos * 2) * 2000000 + l.idx AS place
+            FROM queue q JOIN good_links l ON l.url = q.url WHERE q.depth < 1
+            UNION ALL
+            SELECT f.target, 0, q.wave + 1, (q.pos * 2 + 1) * 2000000 + f.idx
+            FROM queue q
+            JOIN (
+                SELECT r.url, row_number() OVER (ORDER BY r.pos) AS n
+                FROM recurring.queue r JOIN store s ON s.url = r.url WHERE s.status = 200
+            ) good ON good.url = q.url
+            JOIN found f ON f.url = q.url
+            WHERE good.n % 5 = 0
+        )
+        WHERE url NOT IN (SELECT url FROM recurring.queue)
+        GROUP BY url
+    )
+)""") + """
+SELECT url, depth, wave, pos, url IN (SELECT url FROM store WHERE status = 200) AS ok FROM queue
+"""
 _sql["crawl_meta_trigger"] = _with(STORE) + """
 SELECT * FROM (
     SELECT url, page_id AS pos, row_number() OVER (ORDER BY page_id) AS n FROM store WHERE status = 200 AND html <> ''

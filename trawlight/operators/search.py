@@ -49,7 +49,12 @@ def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, s
     wanted, keys = bucketed(counted, index)
     # Stored, so that the planner knows its size and broadcasts it to the index if it is small.
     wanted = materialise(wanted, "query-terms")
-    postings = index.postings.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    postings = index.postings
+    if index.buckets:
+        # At most one row per bucket; the folders without a wanted term are not listed at all.
+        used = [row[0] for row in wanted.select("term_bucket").distinct().collect()]
+        postings = postings.where(F.col("term_bucket").isin(used))
+    postings = postings.join(wanted.select(*keys).distinct(), keys, "left_semi")
 
     document_counts = materialise(postings.groupBy(*keys).agg(F.count("*").alias("_df")), "query-df")
     per_query = (
