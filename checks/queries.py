@@ -472,7 +472,7 @@ def ft_topk(spark, sf_dir):
 def ft_hit_projection(spark, sf_dir):
     index = _pages(spark, sf_dir)
     both = m.match_all(m.match_term(index, "the"), m.match_term(index, "tion"))
-    return s.search(both, t.stored_documents(spark, sf_dir, "pages")).withColumn("rank", F.round("rank", 6))
+    return s.search(both, t.stored_documents(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
 
 
 @query

@@ -70,21 +70,21 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_documents(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
-    """The document table of a corpus, as a search reads it."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"documents of {corpus}")
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed pages as a document table, as a search reads it."""
+    key = (spark.sparkContext.applicationId, sf_dir, "page documents")
     if key not in _stored:
-        documents = {"pages": page_documents, "documents": text_documents}[corpus](spark, sf_dir)
-        _stored[key] = materialise(documents, f"documents-{corpus}")
+        _stored[key] = materialise(page_documents(spark, sf_dir), "page-documents")
     return _stored[key]
 
 
 def stored_index(spark: SparkSession, sf_dir: str, corpus: str) -> Index:
-    """The inverted index over the stored documents of a corpus."""
+    """The inverted index of the pages or of the long documents."""
     key = (spark.sparkContext.applicationId, sf_dir, f"index of {corpus}")
     if key not in _stored:
+        documents = {"pages": stored_documents, "documents": text_documents}[corpus](spark, sf_dir)
         path = scratch_path(spark, f"index-{corpus}")
-        write_index(stored_documents(spark, sf_dir, corpus), path, buckets=16)
+        write_index(documents, path, buckets=16)
         _stored[key] = read_index(spark, path, buckets=16)
     return _stored[key]
 
