@@ -5,7 +5,10 @@ import sqlite3
 
 import pytest
 
-from trawlight.operators.index import build_index, corpus_stats, read_index, write_index
+from trawlight.operators.documents import latest_per_url, replaced_documents, upsert
+from trawlight.operators.index import (
+    build_index, corpus_stats, read_index, store_index, updated_index, write_index,
+)
 from trawlight.operators.match import (
     match_all, match_any, match_near, match_not, match_phrase, match_prefix, match_term,
 )
@@ -35,6 +38,7 @@ def corpus(spark, tmp_path_factory):
         " values (?, ?, ?, ?, ?, ?, ?, ?)",
         rows,
     )
+    engine.commit()
     documents = spark.createDataFrame(rows, STORED_DOCUMENT)
     path = str(tmp_path_factory.mktemp("index"))
     write_index(documents, f"{path}/index", buckets=8, slices=2)
@@ -131,3 +135,39 @@ def test_equal_documents_tie_by_insertion(spark):
     queries = spark.createDataFrame([(1, "delta gamma beta alpha")], "query_id bigint, query string")
     hits = search_batch(queries, index, 5).orderBy("position").collect()
     assert [h.doc_id for h in hits] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_index_follows_upserts(spark, corpus, tmp_path, stored):
+    engine, documents, index = corpus
+    changed = [(f"u{n}", "new title", "zebra a b fresh", "s", None, "crawler", "2025", 1000 + n) for n in (3, 7, 11, 500)]
+    # One URL comes twice; the later row counts.
+    rows = [(*row[:-1], 1000 + n) for n, row in enumerate([*changed[:1], *changed])]
+    incoming = spark.createDataFrame(rows, STORED_DOCUMENT)
+
+    fresh_engine = sqlite3.connect(":memory:")
+    engine.backup(fresh_engine)
+    for row in map(tuple, incoming.orderBy("ingest_seq").collect()):
+        fresh_engine.execute("delete from pages where url = ?", (row[0],))
+        fresh_engine.execute(
+            "insert into pages(url, title, body, snippet, llm_summary, source_engine, crawled_timestamp, rowid)"
+            " values (?, ?, ?, ?, ?, ?, ?, ?)",
+            row,
+        )
+
+    after = updated_index(index, replaced_documents(documents, incoming), latest_per_url(incoming))
+    if stored:
+        store_index(after, f"{tmp_path}/after", buckets=8, slices=2)
+        after = read_index(spark, f"{tmp_path}/after", buckets=8)
+    for expression, matches in {
+        "fresh": match_term(after, "fresh"),
+        "zebra a": match_all(match_term(after, "zebra"), match_term(after, "a")),
+        "app*": match_prefix(after, "app"),
+        '"a b"': match_phrase(after, "a b"),
+    }.items():
+        expected = dict(fresh_engine.execute("select rowid, rank from pages where pages match ?", (expression,)))
+        got = {r.doc_id: r["rank"] for r in ranked(matches).collect()}
+        assert set(got) == set(expected)
+        assert all(abs(got[n] - expected[n]) < 1e-12 for n in got)
+    table = upsert(documents, incoming)
+    assert table.count() == fresh_engine.execute("select count(*) from pages").fetchone()[0]

@@ -47,6 +47,12 @@ def delete_by_url(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return documents.join(keys.select("url").where(F.col("url").isNotNull()).distinct(), "url", "left_anti")
 
 
+def replaced_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``doc_id`` of the stored documents that an upsert replaces, for the index."""
+    keys = incoming.select("url").where(F.col("url").isNotNull()).distinct()
+    return existing.join(keys, "url", "left_semi").select(F.col("ingest_seq").alias("doc_id"))
+
+
 def next_sequence(existing: DataFrame) -> int:
     """The first unused insert sequence of a table."""
     return (existing.agg(F.max("ingest_seq")).first()[0] or 0) + 1

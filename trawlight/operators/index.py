@@ -99,29 +99,47 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(
-    documents: DataFrame, path: str, buckets: int = 64, slices: int | None = None, key: str = "ingest_seq"
-) -> None:
-    """Store the index for pruned reads.
+def updated_index(index: Index, removed: DataFrame, added: DataFrame, key: str = "ingest_seq") -> Index:
+    """The index after documents were replaced: a lazy view over the old postings and the new texts.
+
+    ``removed (doc_id)`` are documents that left the table, ``added`` those that came in. Only the
+    new texts are tokenised.
+    """
+    gone = removed.select("doc_id").distinct()
+    fresh = build_index(added, key).postings
+    if index.buckets:
+        fresh = fresh.withColumn("term_bucket", _bucket(F.col("term"), index.buckets))
+    return Index(index.postings.join(gone, "doc_id", "left_anti").unionByName(fresh), index.buckets)
+
+
+def store_index(index: Index, path: str, buckets: int = 64, slices: int | None = None) -> None:
+    """Store an index for pruned reads, at a new path.
 
     One shuffle places rows by (term bucket, document slice): a term that stands in every
     document is spread over ``slices`` tasks and files instead of filling one, by default over as
     many as there are shuffle partitions. The folder of a bucket prunes by term, and the sort
     inside the files lets row-group statistics do the rest.
     """
-    slices = slices or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = index.postings.sparkSession
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        build_index(documents, key)
-        .postings.withColumn("term_bucket", _bucket(F.col("term"), buckets))
+        index.postings.withColumn("term_bucket", _bucket(F.col("term"), buckets))
         .repartition("term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
         .sortWithinPartitions("term_bucket", "term", "doc_id")
         .write.partitionBy("term_bucket")
         .parquet(f"{path}/postings")
     )
-    stored = Index(_read_postings(documents.sparkSession, path), buckets)
+    stored = Index(_read_postings(spark, path), buckets)
     corpus_stats(stored).coalesce(1).write.parquet(f"{path}/stats")
 
 
+def write_index(
+    documents: DataFrame, path: str, buckets: int = 64, slices: int | None = None, key: str = "ingest_seq"
+) -> None:
+    """Index documents and store the result."""
+    store_index(build_index(documents, key), path, buckets, slices)
+
+
 def _read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{POSTING_SCHEMA}, term_bucket int").parquet(f"{path}/postings")
 
