@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlight.llm import mixing, packing, simhash, token_file, topk
+from trawlight.llm import (
+    fertility,
+    interpolation,
+    licenses,
+    mixing,
+    packing,
+    quality_model,
+    simhash,
+    token_file,
+    topk,
+    toxicity,
+)
 from trawlight.llm.common import table
 from trawlight.llm.tokens import default_vocabulary
 from trawlight.session import scratch_path
@@ -18,11 +29,27 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("_copy").alias("copy"), "source", "lang", "n_chars", "text")
@@ -36,7 +63,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
-    for query in (op1_token_file, op5_topk, op7_mixing, op8_simhash, op9_packing)
+    for query in (
+        op1_token_file,
+        op2_quality_classifier,
+        op3_quality_rules,
+        op4_license_scan,
+        op5_topk,
+        op6_toxicity,
+        op7_mixing,
+        op8_simhash,
+        op9_packing,
+        op10_interpolation,
+    )
 }

@@ -35,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 _SPELLED = _byte_letters()
 
 END_ID = 1
-_KEPT_WORDS = 900_000
+_KEPT_WORDS = 500_000
 _BLOCK_BYTES = 8 << 20
 
 
