@@ -35,7 +35,7 @@ from trawlight.session import materialise
 FOLDS = 7
 HELD_OUT = 2
 DELETED = 4
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _END, _START = 1, 2
 _BUCKETS = 64
 _CELL = 4  # cells per doubling of a probability
