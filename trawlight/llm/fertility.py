@@ -34,8 +34,8 @@ WIDTH = 8.0
 LEAST_DEVIATION = {"piece_chars": 0.01, "byte_chars": 0.01, "fallback": 0.01, "entropy": 0.01}
 MEASURES = tuple(LEAST_DEVIATION)
 
-_BLOCK_BYTES = 8 << 20
-_KEPT_WORDS = 400_000
+_BLOCK_BYTES = 4 << 20
+_KEPT_WORDS = 100_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _TYPES = {name: LongType() for name in (*_COUNTS, "size_class")} | {name: DoubleType() for name in MEASURES}
 _TYPES["base_failed"] = BooleanType()
@@ -198,6 +198,7 @@ def with_measures(docs: DataFrame, files: tuple[str, str, str] | None = None) ->
                 found["size_class"] = np.frexp(found["n_words"])[1]
                 columns = [*batch.columns, *(pa.array(found[name], _ARROW[name]) for name in added)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *(f"_tl_{name}" for name in added)])
+        _vocabularies(files).known.clear()  # the worker goes on to other stages
 
     schema = StructType([*docs.schema, *(StructField(f"_tl_{name}", _TYPES[name]) for name in added)])
     return docs.mapInArrow(measure, schema)

@@ -35,8 +35,8 @@ def _byte_letters() -> dict[int, str]:
 _SPELLED = _byte_letters()
 
 END_ID = 1
-_KEPT_WORDS = 500_000
-_BLOCK_BYTES = 8 << 20
+_KEPT_WORDS = 200_000
+_BLOCK_BYTES = 4 << 20
 
 
 class _Memo(dict):
