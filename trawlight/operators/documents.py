@@ -23,14 +23,14 @@ def documents_from_json(rows: DataFrame, column: str, keep: list[str]) -> DataFr
 def latest_per_url(documents: DataFrame) -> DataFrame:
     """The row with the highest ``ingest_seq`` of each URL; rows without a URL all stay.
 
-    Rows without a URL are told apart by their sequence, so one pass serves both kinds. The
-    row-number filter keeps at most one row per URL and task before the shuffle, so a URL with
-    very many versions does not gather in one task.
+    Rows without a URL go past the window, whatever their sequence. The row-number filter keeps at
+    most one row per URL and task before the shuffle, so a URL with very many versions does not
+    gather in one task.
     """
-    nameless = F.when(F.col("url").isNull(), F.col("ingest_seq"))
-    newest_first = Window.partitionBy("url", nameless).orderBy(F.desc("ingest_seq"))
-    numbered = documents.withColumn("_version", F.row_number().over(newest_first))
-    return numbered.where(F.col("_version") == 1).drop("_version")
+    newest_first = Window.partitionBy("url").orderBy(F.desc("ingest_seq"))
+    named = documents.where(F.col("url").isNotNull()).withColumn("_version", F.row_number().over(newest_first))
+    newest = named.where(F.col("_version") == 1).drop("_version")
+    return newest.unionByName(documents.where(F.col("url").isNull()))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ DEFAULT_RESULTS_PER_ENGINE = 10
 
 
 def select_engines(results: DataFrame, engines: list[str] | None = None) -> DataFrame:
-    """Results of the chosen engines; all known ones by default."""
-    return results.where(F.col("source_engine").isin(ENGINE_ORDER if engines is None else engines))
+    """Results of the chosen engines; all known ones by default. Unknown names have no effect."""
+    chosen = [name for name in ENGINE_ORDER if engines is None or name in engines]
+    return results.where(F.col("source_engine").isin(chosen))
 
 
 def limit_per_engine(results: DataFrame, limit: int = DEFAULT_RESULTS_PER_ENGINE) -> DataFrame:
