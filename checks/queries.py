@@ -26,7 +26,7 @@ from trawlight.sources import documents as store
 from trawlight.sources.engines import engine_results
 from trawlight.sources.pages import fetched_only, page_fetch
 from trawlight.sources.seeds import read_seeds
-from trawlight.streaming.upsert import read_current, start_upserts
+from trawlight.streaming.upsert import compact, read_current, start_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -360,10 +360,13 @@ def doc_batch_atomic(spark, sf_dir):
 def doc_stream_upsert(spark, sf_dir):
     source, path = scratch_path(spark, "stream-source"), scratch_path(spark, "stream-table")
     events = t.table(spark, sf_dir, "events")
-    events.repartitionByRange(4, "event_id").write.parquet(source)
+    # Newest events first: late batches must not replace newer rows.
+    events.repartitionByRange(4, F.desc("event_id")).write.parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     documents = t.event_documents(spark, sf_dir, stream)
+    store.create_if_absent(spark, path)
     start_upserts(documents, path, scratch_path(spark, "stream-state"), available_now=True).awaitTermination()
+    compact(spark, path, 1)
     return read_current(spark, path)
 
 

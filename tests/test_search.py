@@ -80,6 +80,19 @@ CASES = {
     "NEAR(a b)": lambda i: match_near(i, ["a", "b"]),
     "NEAR(a b c, 2)": lambda i: match_near(i, ["a", "b", "c"], 2),
     "NEAR(a b c, 5)": lambda i: match_near(i, ["a", "b", "c"], 5),
+    'NEAR("a b" c, 3)': lambda i: match_near(i, ["a b", "c"], 3),
+    'NEAR(c "a b", 0)': lambda i: match_near(i, ["c", "a b"], 0),
+    'NEAR("a b" "c d" e, 6)': lambda i: match_near(i, ["a b", "c d", "e"], 6),
+    'NEAR("?" a, 3)': lambda i: match_near(i, ["?", "a"], 3),
+    'NEAR("?", 3)': lambda i: match_near(i, ["?"], 3),
+    "title : NEAR(a b)": lambda i: match_near(i, ["a", "b"], columns=["title"]),
+    "{title body} : NEAR(a b, 1)": lambda i: match_near(i, ["a", "b"], 1, columns=["title", "body"]),
+    "- body : NEAR(a b)": lambda i: match_near(i, ["a", "b"], excluded=["body"]),
+    '"a app" *': lambda i: match_prefix(i, "a app"),
+    '"a b app" *': lambda i: match_prefix(i, "a b app"),
+    'body : "a app" *': lambda i: match_prefix(i, "a app", columns=["body"]),
+    "^app*": lambda i: match_prefix(i, "app", initial=True),
+    '"?" *': lambda i: match_prefix(i, "?"),
 }
 
 
@@ -171,3 +184,24 @@ def test_index_follows_upserts(spark, corpus, tmp_path, stored):
         assert all(abs(got[n] - expected[n]) < 1e-12 for n in got)
     table = upsert(documents, incoming)
     assert table.count() == fresh_engine.execute("select count(*) from pages").fetchone()[0]
+
+
+def test_near_and_prefix_with_phrases_on_dense_texts(spark):
+    rnd = random.Random(11)
+    text = lambda n: " ".join(rnd.choice(["a", "ab", "b", "c", "d"]) for _ in range(rnd.randint(0, n)))
+    rows = [(f"u{n}", text(4), text(12), "s", None, "e", "x", n) for n in range(1, 81)]
+    engine = sqlite3.connect(":memory:")
+    engine.execute(ENGINE_TABLE)
+    engine.executemany("insert into pages values (?, ?, ?, ?, ?, ?, ?)", [row[:-1] for row in rows])
+    index = build_index(spark.createDataFrame(rows, STORED_DOCUMENT))
+    for expression, matches in {
+        'NEAR("a b" c, 1)': match_near(index, ["a b", "c"], 1),
+        'NEAR(c "a b" d, 2)': match_near(index, ["c", "a b", "d"], 2),
+        'NEAR("b c" "c d", 0)': match_near(index, ["b c", "c d"], 0),
+        'body : NEAR("a b" c, 1)': match_near(index, ["a b", "c"], 1, columns=["body"]),
+        '"c a" *': match_prefix(index, "c a"),
+    }.items():
+        expected = dict(engine.execute("select rowid, rank from pages where pages match ?", (expression,)))
+        got = {r.doc_id: r["rank"] for r in ranked(matches).collect()}
+        assert expected and set(got) == set(expected)
+        assert all(abs(got[n] - expected[n]) < 1e-12 for n in got)

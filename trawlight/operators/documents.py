@@ -42,6 +42,24 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return delete_by_url(existing, incoming).unionByName(latest_per_url(incoming))
 
 
+def upsert_newer(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Upsert where the row with the higher ``ingest_seq`` stays, wherever it comes from.
+
+    A missing sequence counts as the lowest; of equal ones the incoming row stays. Rows without a
+    URL all stay. Only keys and sequences of the table are compared, so its texts are not shuffled
+    when the incoming keys are few.
+    """
+    newest = latest_per_url(incoming)
+    lowest = F.lit(-(1 << 63))
+    new = newest.where(F.col("url").isNotNull()).select(
+        F.col("url").alias("_url"), F.coalesce("ingest_seq", lowest).alias("_new")
+    )
+    newer = (existing["url"] == F.col("_url")) & (F.coalesce(existing["ingest_seq"], lowest) > F.col("_new"))
+    replaced = (existing["url"] == F.col("_url")) & (F.coalesce(existing["ingest_seq"], lowest) <= F.col("_new"))
+    stale = existing.join(new, newer, "left_semi").select("url")
+    return existing.join(new, replaced, "left_anti").unionByName(newest.join(stale, "url", "left_anti"))
+
+
 def delete_by_url(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """Drop the documents whose URL occurs in ``keys``; a NULL URL matches nothing."""
     return documents.join(keys.select("url").where(F.col("url").isNotNull()).distinct(), "url", "left_anti")

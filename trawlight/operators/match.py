@@ -87,6 +87,10 @@ def _phrase_places(index: Index, terms: list[str]) -> DataFrame:
     return reduce(follow, enumerate(terms[1:], 1), _term_places(index, terms[0])).where(F.size("places") > 0)
 
 
+def _nothing(index: Index) -> DataFrame:
+    return _score(_term_frequency(index, DOCUMENT_TERM).limit(0), index)
+
+
 def _counted(found: DataFrame, columns, excluded, initial) -> DataFrame:
     kept = found.withColumn("places", _restrict(F.col("places"), columns, excluded, initial))
     return kept.select("doc_id", "dl", F.size("places").alias("tf")).where(F.col("tf") > 0)
@@ -106,7 +110,7 @@ def match_term(
     """
     terms = query_tokens(text)
     if not terms:
-        return _score(_term_frequency(index, DOCUMENT_TERM).limit(0), index)
+        return _nothing(index)
     if len(terms) == 1 and not (columns or excluded or initial):
         return _score(_term_frequency(index, terms[0]), index)
     return _score(_counted(_phrase_places(index, terms), columns, excluded, initial), index)
@@ -116,41 +120,78 @@ match_phrase = match_term
 
 
 def match_prefix(
-    index: Index, prefix: str, columns: list[str] | None = None, excluded: list[str] | None = None
+    index: Index,
+    prefix: str,
+    columns: list[str] | None = None,
+    excluded: list[str] | None = None,
+    initial: bool = False,
 ) -> DataFrame:
-    """Documents with a term that starts with ``prefix``; all such terms are one phrase."""
-    start = "".join(query_tokens(prefix))
-    wanted = (F.col("term") != DOCUMENT_TERM) & F.col("term").startswith(start)
-    places = _restrict(F.col("places"), columns, excluded, False)
-    found = index.postings.where(wanted & F.lit(start != "")).select("doc_id", "dl", F.size(places).alias("tf"))
-    hits = found.where(F.col("tf") > 0).groupBy("doc_id").agg(F.max("dl").alias("dl"), F.sum("tf").alias("tf"))
-    return _score(hits, index)
+    """Documents with a term that starts with ``prefix``; all such terms are one phrase.
 
+    Of several tokens the last is the prefix, and the others stand before it as a phrase. Without
+    a token nothing matches.
+    """
+    tokens = query_tokens(prefix)
+    if not tokens:
+        return _nothing(index)
+    *before, start = tokens
+    wanted = (F.col("term") != DOCUMENT_TERM) & F.col("term").startswith(start)
+    if not before:
+        places = _restrict(F.col("places"), columns, excluded, initial)
+        found = index.postings.where(wanted).select("doc_id", "dl", F.size(places).alias("tf"))
+        hits = found.where(F.col("tf") > 0).groupBy("doc_id").agg(F.max("dl").alias("dl"), F.sum("tf").alias("tf"))
+        return _score(hits, index)
+    starts = F.transform("places", lambda place: place - len(before))
+    ends = index.postings.where(wanted).select("doc_id", starts.alias("_starts"))
+    # One array per document, no longer than its text.
+    ends = ends.groupBy("doc_id").agg(F.flatten(F.collect_list("_starts")).alias("_starts"))
+    phrase = _phrase_places(index, before).join(ends, "doc_id")
+    found = phrase.select("doc_id", "dl", F.array_intersect("places", "_starts").alias("places"))
+    return _score(_counted(found, columns, excluded, initial), index)
+
+
+def _spans(places: Column, first: int, last: int) -> Column:
+    """All places from ``first`` to ``last`` relative to each of the given ones, each once."""
+    return F.array_distinct(F.flatten(F.transform(places, lambda x: F.sequence(x + first, x + last))))
+
+
+def match_near(
+    index: Index,
+    terms: list[str],
+    distance: int = 10,
+    columns: list[str] | None = None,
+    excluded: list[str] | None = None,
+) -> DataFrame:
+    """Documents where all terms stand in one column with at most ``distance`` tokens between them.
 
-def match_near(index: Index, terms: list[str], distance: int = 10) -> DataFrame:
-    """Documents where all terms stand in one column within ``distance`` tokens of each other.
-
-    An occurrence counts when some window of the allowed width contains it and every other term;
-    df ignores the distance.
+    A term of several tokens is a phrase; one without a token is left out, and nothing matches when
+    none is left. An occurrence counts when it fits into a window with occurrences of all others:
+    none ends more than ``distance`` tokens before the start of the last one. df ignores the
+    distance, but not the columns.
     """
-    names = [query_tokens(term)[0] for term in terms]
-    lists = [_term_places(index, name) for name in names]
+    phrases = [tokens for tokens in map(query_tokens, terms) if tokens]
+    if not phrases:
+        return _nothing(index)
+    lists = [
+        _phrase_places(index, tokens)
+        .withColumn("places", _restrict(F.col("places"), columns, excluded, False))
+        .where(F.size("places") > 0)
+        for tokens in phrases
+    ]
     both = lists[0].withColumnRenamed("places", "p0")
     for number, other in enumerate(lists[1:], 1):
         both = both.join(other.select("doc_id", F.col("places").alias(f"p{number}")), "doc_id")
-    everything = [F.col(f"p{number}") for number in range(len(names))]
-    # Starts of windows that contain every term: each term has a place at most `distance + 1` later.
-    reach = [F.flatten(F.transform(p, lambda x: F.sequence(x - (distance + 1), x))) for p in everything]
-    starts = reduce(F.array_intersect, reach)
-    covered = F.flatten(F.transform(starts, lambda x: F.sequence(x, x + (distance + 1))))
-    both = both.withColumn("_covered", F.array_distinct(covered))
+    everything = [(F.col(f"p{number}"), distance + len(tokens)) for number, tokens in enumerate(phrases)]
+    # Last starts that suit every phrase: each has a place there or at most its width before.
+    suited = [_spans(p, 0, width) for p, width in everything]
+    both = both.withColumn("_last", reduce(F.array_intersect, suited))
+
+    def counted(p: Column, width: int) -> Column:
+        return F.size(F.array_intersect(p, _spans(F.col("_last"), -width, 0)))
+
     scored = [
-        _score(
-            both.select("doc_id", "dl", F.size(F.array_intersect(p, F.col("_covered"))).alias("tf")).where("tf > 0"),
-            index,
-            counted=lists[number],
-        )
-        for number, p in enumerate(everything)
+        _score(both.select("doc_id", "dl", counted(p, width).alias("tf")).where("tf > 0"), index, counted=lists[number])
+        for number, (p, width) in enumerate(everything)
     ]
     return match_all(*scored)
 

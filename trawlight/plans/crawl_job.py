@@ -83,7 +83,8 @@ def run_crawl(
             metasearch_query(F.col("title"), F.col("llm_summary"), first_seed, query_from_summary).alias("query"),
         )
         asked = rewrite_queries(queries, make_backend).select("query_id", F.col("enhanced").alias("query"))
-        merged = merge_results(engines(asked), results_per_engine)
+        # Stored, so that a backend answers once and every engine is asked the same.
+        merged = merge_results(engines(materialise(asked, "asked")), results_per_engine)
         in_order = Window.partitionBy("query_id").orderBy("engine_seq", "position")
         return merged.select(F.col("query_id").alias("pos"), F.row_number().over(in_order).alias("idx"), "url")
 

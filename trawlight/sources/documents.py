@@ -1,31 +1,53 @@
 """Document table: versioned snapshots on shared storage, and point reads.
 
 A snapshot is written to a new folder and becomes visible when Spark's commit marker appears in
-it, so a failed write leaves the previous snapshot in place.
+it, so a failed write leaves the previous snapshot in place. Its folder name holds its number and
+how many micro-batches of a stream it has taken in; both appear at once with the marker.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlight.schemas import STORED_DOCUMENT
 
+_SNAPSHOT = re.compile(r"version=(\d+)\.batches=(\d+)")
+
+
+def _folder(spark: SparkSession, path: str):
+    """File system and path object of a folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    files, root = _folder(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(root)] if files.exists(root) else []
+
+
+def committed_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` that hold a complete write."""
+    files, _ = _folder(spark, path)
+    return [name for name in _names(spark, path) if files.exists(_folder(spark, f"{path}/{name}/_SUCCESS")[1])]
+
+
+def _snapshots(spark: SparkSession, path: str) -> dict[int, int]:
+    """Number of folded micro-batches of each complete snapshot, oldest snapshot first."""
+    found = [_SNAPSHOT.fullmatch(name) for name in committed_folders(spark, path)]
+    return dict(sorted((int(match[1]), int(match[2])) for match in found if match))
+
 
 def committed_versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete snapshots, oldest first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(root)]
-    return sorted(
-        int(name.removeprefix("version="))
-        for name in names
-        if name.startswith("version=")
-        and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS"))
-    )
+    return list(_snapshots(spark, path))
+
+
+def folded_batches(spark: SparkSession, path: str) -> int:
+    """How many micro-batches the newest snapshot has taken in."""
+    return ([0] + list(_snapshots(spark, path).values()))[-1]
 
 
 def create_if_absent(spark: SparkSession, path: str) -> None:
@@ -36,19 +58,28 @@ def create_if_absent(spark: SparkSession, path: str) -> None:
 
 def read_documents(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The newest committed snapshot, or a given one; an absent table reads as empty."""
-    versions = committed_versions(spark, path)
-    if not versions:
+    snapshots = _snapshots(spark, path)
+    if not snapshots:
         return spark.createDataFrame([], STORED_DOCUMENT)
-    chosen = versions[-1] if version is None else version
-    return spark.read.schema(STORED_DOCUMENT).parquet(f"{path}/version={chosen}")
+    chosen = list(snapshots)[-1] if version is None else version
+    return spark.read.schema(STORED_DOCUMENT).parquet(f"{path}/version={chosen}.batches={snapshots[chosen]}")
+
 
+def write_snapshot(documents: DataFrame, path: str, batches: int | None = None) -> int:
+    """Write the whole table as the next version and return its number.
 
-def write_snapshot(documents: DataFrame, path: str, version: int | None = None) -> int:
-    """Write the whole table as the next version, or a given later one, and return its number."""
-    if version is None:
-        version = (committed_versions(documents.sparkSession, path) or [0])[-1] + 1
+    ``batches`` is the number of folded micro-batches, by default as before. A number is claimed by
+    creating a file that must not exist yet, so of two writers that want it one fails.
+    """
+    spark = documents.sparkSession
+    claimed = [int(name) for name in _names(spark, f"{path}/claims") if name.isdigit()]
+    version = max([0, *claimed, *committed_versions(spark, path)]) + 1
+    files, claim = _folder(spark, f"{path}/claims/{version}")
+    if not files.createNewFile(claim):
+        raise FileExistsError(f"another writer has taken version {version} of {path}")
+    folded = folded_batches(spark, path) if batches is None else batches
     columns = [F.col(field.name).cast(field.dataType) for field in STORED_DOCUMENT]
-    documents.select(*columns).write.mode("overwrite").parquet(f"{path}/version={version}")
+    documents.select(*columns).write.mode("errorifexists").parquet(f"{path}/version={version}.batches={folded}")
     return version
 
 

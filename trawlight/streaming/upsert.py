@@ -1,23 +1,22 @@
 """Document table fed by a stream.
 
 Each micro-batch becomes one folder of the newest row per URL. Writing a folder again gives the
-same folder, so a replayed batch changes nothing. Reading merges the folders over the last
-snapshot; compacting folds them into a new one, whose version is the number of folded batches.
-A batch therefore costs its own size, not that of the table.
+same folder, so a replayed batch changes nothing. Reading merges the folders that are not folded
+yet over the last snapshot; compacting folds them into a new one, which remembers how many it has
+taken in. In both places the higher ``ingest_seq`` wins, so compacting never changes the table.
+A batch therefore costs its own size, not that of the table. A table belongs to one stream
+checkpoint, whose batch numbers count on from 0.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from trawlight.operators.documents import latest_per_url, upsert
+from trawlight.operators.documents import latest_per_url, upsert_newer
 from trawlight.schemas import STORED_DOCUMENT
-from trawlight.sources.documents import committed_versions, read_documents, write_snapshot
-
-_DELTA = T.StructType([*STORED_DOCUMENT.fields, T.StructField("batch", T.LongType())])
+from trawlight.sources.documents import committed_folders, folded_batches, read_documents, write_snapshot
 
 
 def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -34,17 +33,31 @@ def start_upserts(documents: DataFrame, path: str, checkpoint: str, available_no
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The table as of the last stored batch."""
-    folded = (committed_versions(spark, path) or [0])[-1]
+def _stored_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the micro-batches that are completely written."""
+    return sorted(int(name.removeprefix("batch=")) for name in committed_folders(spark, f"{path}/deltas"))
+
+
+def _merged(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
     base = read_documents(spark, path)
-    deltas = spark.read.schema(_DELTA).parquet(f"{path}/deltas").where(F.col("batch") >= folded).drop("batch")
-    return upsert(base, deltas)
+    if not batches:
+        return base
+    folders = [f"{path}/deltas/batch={number}" for number in batches]
+    return upsert_newer(base, spark.read.schema(STORED_DOCUMENT).parquet(*folders))
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The table as of the last stored batch; without any, the last snapshot."""
+    folded = folded_batches(spark, path)
+    return _merged(spark, path, [number for number in _stored_batches(spark, path) if number >= folded])
 
 
 def compact(spark: SparkSession, path: str, batches: int) -> None:
-    """Fold the first ``batches`` micro-batches into a snapshot."""
-    deltas = spark.read.schema(_DELTA).parquet(f"{path}/deltas").where(F.col("batch") < batches)
-    folded = (committed_versions(spark, path) or [0])[-1]
-    pending = deltas.where(F.col("batch") >= folded).drop("batch")
-    write_snapshot(upsert(read_documents(spark, path), pending), path, batches)
+    """Fold the micro-batches below number ``batches`` into a snapshot; all must be stored."""
+    folded = folded_batches(spark, path)
+    pending = list(range(folded, batches))
+    missing = sorted(set(pending) - set(_stored_batches(spark, path)))
+    if missing:
+        raise ValueError(f"batches {missing} of {path} are not stored yet")
+    if pending:
+        write_snapshot(_merged(spark, path, pending), path, batches)
