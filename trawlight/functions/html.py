@@ -7,7 +7,7 @@ page is cut into its text nodes in a single pass that stays in the JVM.
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,29 +35,53 @@ HREF = rf"""(?is)^<a\s+(?:{_OTHER_ATTRIBUTE})*?href\s*=\s*(?:"([^"]*)"|'([^']*)'
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 
 # A character reference; the closing semicolon may be missing.
-REFERENCE = r"(&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);?)"
+REFERENCE = r"(&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?)"
 _MARK = "\ufdd0"  # a code point that no text may contain
 _REPLACEMENT = "\ufffd"
 
-_NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
+_NAMED = json.dumps(html5)
+# Names that stand without a semicolon, the longest match first.
+_OPEN_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name)))
+# Numbers 128 to 159 mean Windows-1252, where that defines them.
+_WINDOWS = [bytes([code]).decode("cp1252", "ignore") or chr(code) for code in range(128, 160)]
+_TOO_HIGH = 0x110000
+
+
+def _number(digits: Column, base: int, most: int) -> Column:
+    """The value of digits without leading zeros; more than ``most`` of them are no code point."""
+    value = F.coalesce(F.conv(digits, base, 10).try_cast("bigint"), F.lit(0))
+    return F.when(F.length(digits) > most, F.lit(_TOO_HIGH)).otherwise(value)
 
 
 def _character(code: Column) -> Column:
-    """The character of a code point; what is not one becomes the replacement character."""
+    """The character of a code point; control and non-characters vanish, what is no code point is replaced."""
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(_REPLACEMENT)
+    unseen = (
+        code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+        | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    windows = F.get(F.array(*[F.lit(character) for character in _WINDOWS]), (code - 128).cast("int"))
+    return (
+        F.when(~valid, _REPLACEMENT)
+        .when(code.between(128, 159), windows)
+        .when(unseen, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
 
 
 def _resolve_reference(piece: Column) -> Column:
-    body = F.regexp_extract(piece, "^&([^;]*);?$", 1)
-    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), body)
-    decimal = _character(F.substring(body, 2, 7).try_cast("bigint"))
-    hexadecimal = _character(F.conv(F.substring(body, 3, 6), 16, 10).try_cast("bigint"))
+    body = F.substring(piece, 2, 1 << 30)
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")
+    known = F.try_element_at(names, body)
+    start = F.regexp_extract(body, f"^({_OPEN_NAMES})", 1)
+    opened = F.concat(F.try_element_at(names, F.nullif(start, F.lit(""))), F.substr(body, F.length(start) + 1))
+    decimal = _character(_number(F.regexp_extract(body, "^#0*([0-9]*)", 1), 10, 7))
+    hexadecimal = _character(_number(F.regexp_extract(body, "^#[xX]0*([0-9a-fA-F]*)", 1), 16, 6))
     return (
         F.when(~piece.startswith("&"), piece)
-        .when(body.rlike("^#[xX]"), hexadecimal)
-        .when(body.startswith("#"), decimal)
-        .otherwise(F.coalesce(named, piece))
+        .when(body.rlike("^#[xX][0-9a-fA-F]"), hexadecimal)
+        .when(body.rlike("^#[0-9]"), decimal)
+        .otherwise(F.coalesce(known, opened, piece))
     )
 
 
