@@ -587,6 +587,17 @@ _sql["llm_summary"] = _with(
     PARSED,
     f"asked AS (SELECT page_id, CASE WHEN text <> '' THEN '{SUMMARY_PROMPT}' || substring(text, 1, 2000) END AS prompt FROM parsed)",
 ) + f"SELECT page_id, {_answer('prompt')} AS llm_summary, md5(prompt) AS prompt_md5 FROM asked"
+_REWRITE = f"'{REWRITE_PROMPT}' || text"
+_sql["meta_search_rewritten"] = _with(
+    RAW,
+    f"asked AS (SELECT item_id AS query_id, coalesce({_answer(f'({_REWRITE})')}, text) AS query FROM benchmark)",
+    """results AS (
+    SELECT a.query_id, position, title, url, snippet, CASE WHEN even THEN 'google' ELSE 'duckduckgo' END AS source_engine,
+        CASE WHEN even THEN 0 ELSE 1 END AS engine_seq
+    FROM asked a JOIN raw r ON r.query_id = (a.query_id + length(a.query)) % (SELECT max(query_id) + 1 FROM raw)
+)""",
+    LIMITED,
+) + f"{_SHOWN} limited WHERE url <> '' {_FIRST_RESULT}"
 _sql["query_enhance_prompt"] = f"SELECT item_id, '{REWRITE_PROMPT}' || text AS prompt FROM benchmark"
 _sql["query_enhance_fallback"] = f"""
 SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'better ' || {strip('text')} ELSE text END AS query

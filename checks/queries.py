@@ -577,6 +577,21 @@ def llm_summary(spark, sf_dir):
     return summarised.select("page_id", "llm_summary", F.md5(g.summary_prompt(F.col("text"))).alias("prompt_md5"))
 
 
+@query
+def meta_search_rewritten(spark, sf_dir):
+    raw = t.raw_results(spark, sf_dir).withColumnRenamed("query_id", "slot")
+    slots = raw.agg(F.max("slot") + 1).scalar()
+
+    def engines(asked: DataFrame) -> list[DataFrame]:
+        # What an engine finds depends on the wording of the query.
+        wanted = asked.select("query_id", ((F.col("query_id") + F.length("query")) % slots).alias("slot"))
+        found = wanted.join(raw, "slot")
+        return [engine_results(found.where("even"), "google"), engine_results(found.where("NOT even"), "duckduckgo")]
+
+    queries = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _shown(ms.rewritten_search(queries, engines, _count_backend(), model="stub"))
+
+
 @query
 def query_enhance_prompt(spark, sf_dir):
     return t.table(spark, sf_dir, "benchmark").select("item_id", g.rewrite_prompt(F.col("text")).alias("prompt"))

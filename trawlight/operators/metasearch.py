@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawlight.operators.generate import Backend, rewrite_queries
+from trawlight.session import materialise
 from trawlight.sources.engines import ENGINE_ORDER
 
+# Takes queries (query_id, query), returns one result table per engine.
+Engines = Callable[[DataFrame], list[DataFrame]]
+
 DEFAULT_RESULTS_PER_ENGINE = 10
 
 
@@ -63,3 +69,20 @@ def merge_results(
     """
     chosen = select_engines(union_engines(*lists), engines)
     return first_per_url(with_url(limit_per_engine(chosen, limit)))
+
+
+def rewritten_search(
+    queries: DataFrame,
+    engines: Engines,
+    make_backend: Callable[..., Backend] | None = None,
+    limit: int = DEFAULT_RESULTS_PER_ENGINE,
+    chosen: list[str] | None = None,
+    model: str | None = None,
+) -> DataFrame:
+    """Rewrite each query of ``(query_id, query)``, ask the engines and merge what they find.
+
+    The rewritten queries are stored, so that a backend answers once and every engine is asked the
+    same. Without a backend or an answer the query stays as it is.
+    """
+    asked = rewrite_queries(queries, make_backend, model).select("query_id", F.col("enhanced").alias("query"))
+    return merge_results(engines(materialise(asked, "asked")), limit, chosen)

@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 
 from trawlight.functions.urls import base_parts, is_fetchable, join_to
 from trawlight.operators import crawl as order
-from trawlight.operators.generate import Backend, rewrite_queries, with_summary
-from trawlight.operators.metasearch import merge_results
+from trawlight.operators.generate import Backend, with_summary
+from trawlight.operators.metasearch import Engines, rewritten_search
 from trawlight.operators.pages import page_parse
 from trawlight.operators.robots import allowed_only, host_policies, robots_hosts, robots_rules
 from trawlight.session import materialise
 
-# Takes queries (query_id, query), returns one result table per engine.
-Engines = Callable[[DataFrame], list[DataFrame]]
-
 
 @dataclass(frozen=True)
 class CrawlJob:
@@ -82,9 +79,7 @@ def run_crawl(
             F.col("pos").alias("query_id"),
             metasearch_query(F.col("title"), F.col("llm_summary"), first_seed, query_from_summary).alias("query"),
         )
-        asked = rewrite_queries(queries, make_backend).select("query_id", F.col("enhanced").alias("query"))
-        # Stored, so that a backend answers once and every engine is asked the same.
-        merged = merge_results(engines(materialise(asked, "asked")), results_per_engine)
+        merged = rewritten_search(queries, engines, make_backend, results_per_engine)
         in_order = Window.partitionBy("query_id").orderBy("engine_seq", "position")
         return merged.select(F.col("query_id").alias("pos"), F.row_number().over(in_order).alias("idx"), "url")
 
