@@ -7,7 +7,6 @@ import pytest
 import __spark_entry__ as registry
 
 DATA = Path("/root/testdata/sf0.001")
-TABLES = ["events", "documents", "pages", "benchmark", "conversations"]
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not present")
 
@@ -15,8 +14,8 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not p
 @pytest.fixture(scope="module")
 def duck():
     connection = pytest.importorskip("duckdb").connect()
-    for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    for file in DATA.glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     return connection
 
 
