@@ -120,6 +120,24 @@ def test_quality_classifier(docs, labels, odd, none):
     assert quality_model.keep_good(none, labels).columns == none.columns
 
 
+def test_quality_limits_come_from_held_out_documents(spark, docs, labels):
+    rows = quality_model.judge(docs, labels).collect()
+    assert all(row["threshold"] is not None for row in rows)
+    quality = {row["doc_id"]: row["quality"] for row in labels.collect()}
+    bad = [row for row in rows if quality.get(row["doc_id"]) == 0 and row["n_words"] >= 20]
+    good = [row for row in rows if quality.get(row["doc_id"]) == 1]
+    assert sum(not row["kept"] for row in bad) >= len(bad) / 2
+    assert sum(row["kept"] for row in good) >= 0.95 * len(good)
+    kept = {row["doc_id"] for row in quality_model.keep_good(docs, labels).select("doc_id").collect()}
+    assert kept == {row["doc_id"] for row in rows if row["kept"]}
+    # Every language has a limit of its own, even with one or two trusted documents.
+    few = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30)), f"l{i // 2}") for i in range(9)], "doc_id long, text string, lang string")
+    trusted = few.selectExpr("doc_id", "1 AS quality")
+    model, sample = quality_model.train(few, trusted)
+    limits, _ = quality_model.thresholds(quality_model.scores(few, model), trusted, sample)
+    assert sample.count() == 4 and limits.count() == 5
+
+
 def base_counts(text):
     words = WORDS.findall(text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
