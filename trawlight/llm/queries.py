@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlight.llm import (
+    codes,
     fertility,
+    fim,
     interpolation,
     licenses,
     mixing,
     packing,
     quality_model,
+    set_join,
     simhash,
     token_file,
     topk,
@@ -67,6 +70,23 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
 
 
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_sets(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        *["doc_id", "n", "form", "prefix_chars", "middle_chars"],
+        F.sha2(F.col("output"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -80,5 +100,8 @@ QUERIES = {
         op8_simhash,
         op9_packing,
         op10_interpolation,
+        op11_set_join,
+        op12_vector_codes,
+        op13_fill_in_middle,
     )
 }
