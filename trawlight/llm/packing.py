@@ -2,8 +2,8 @@
 
 Pieces are packed in groups of bounded size, dealt by a hash of the row, so no task sees all of
 them; only lengths and keys move. Inside a group best fit decreasing makes the first bins. Local
-search then works on the bins that are not full: a piece moves, one piece is exchanged for one, or
-two for one, whenever the fuller bin gets fuller (the sum of squared fills rises), until the
+search then works on the bins that are not full: a piece moves, or one or two pieces are exchanged for one or
+two smaller ones, whenever the sum of squared fills rises, until the
 emptier bin is empty or nothing helps. Bins that stay below ``poor_fill`` are packed again with
 those of many other groups, until one group is left or nothing is gained.
 """
@@ -28,8 +28,6 @@ from trawlight.session import materialise
 SEQUENCE_TOKENS = 4096
 GROUP_PIECES = 8_000
 POOR_FILL = 0.995
-_SEARCH_PASSES = 4
-_SEARCH_PAIRS = 200_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -83,72 +81,107 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _improve(full: list[int], other: list[int], lengths: list[int], capacity: int) -> bool:
-    """One step that makes ``full`` fuller at the cost of ``other``; False if there is none."""
-    room = capacity - sum(lengths[i] for i in full)
-    best, step = 0, None
-    for y in other:  # move one
-        if best < lengths[y] <= room:
-            best, step = lengths[y], ([], [y])
-    if best < room:
-        theirs = sorted((lengths[y], y) for y in other)
-        pairs = sorted({a + b: (i, j) for (a, i) in theirs for (b, j) in theirs if i < j}.items())
-        sums = [total for total, _ in pairs]
-        sizes = [size for size, _ in theirs]
-        for x in full:
-            most = room + lengths[x]
-            at = bisect_left(sizes, most + 1) - 1  # one for one
-            if at >= 0 and best < sizes[at] - lengths[x]:
-                best, step = sizes[at] - lengths[x], ([x], [theirs[at][1]])
-            at = bisect_left(sums, most + 1) - 1  # two for one
-            if at >= 0 and best < sums[at] - lengths[x]:
-                best, step = sums[at] - lengths[x], ([x], list(pairs[at][1]))
-    if step is None:
-        return False
-    for x in step[0]:
-        full.remove(x)
-        other.append(x)
-    for y in step[1]:
-        other.remove(y)
-        full.append(y)
-    return True
+class _Underfull:
+    """Bins with room, and for any number of tokens those where they fit best.
+
+    A bin takes tokens in exchange for none, one or two of its pieces, ``back`` tokens in all. The
+    sorted list ``ways`` holds ``(room + back, back, bin)`` for every bin and every such sum, so the
+    exchange that leaves the least room is found by bisection.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[i] for i in held) for held in bins]
+        self.ways: list[tuple[int, int, int]] = []
+        for number in range(len(bins)):
+            self.ways += self._ways_of(number)
+        self.ways.sort()
+
+    def sums(self, number: int) -> dict[int, tuple[int, ...]]:
+        """One or two pieces of a bin by their total; the fewer pieces, the better."""
+        by_length: dict[int, list[int]] = {}
+        for piece in self.bins[number]:
+            by_length.setdefault(self.lengths[piece], []).append(piece)
+        found = {length: (same[0],) for length, same in by_length.items()}
+        own = sorted(by_length)
+        for i, a in enumerate(own):
+            for b in own[: i + 1]:
+                if a != b:
+                    found.setdefault(a + b, (by_length[a][0], by_length[b][0]))
+                elif len(by_length[a]) > 1:
+                    found.setdefault(a + b, tuple(by_length[a][:2]))
+        return found
+
+    def _ways_of(self, number: int) -> list[tuple[int, int, int]]:
+        room = self.capacity - self.fill[number]
+        if not room or not self.bins[number]:
+            return []
+        return [(room + back, back, number) for back in (0, *self.sums(number))]
+
+    def open(self, number: int) -> None:
+        for way in self._ways_of(number):
+            insort(self.ways, way)
+
+    def close(self, number: int) -> None:
+        for way in self._ways_of(number):
+            del self.ways[bisect_left(self.ways, way)]
+
+    def best(self, giver: int) -> tuple[int, tuple[int, ...], int, int] | None:
+        """``(tokens, pieces, back, taker)`` that leaves a taker the least room; None if nothing helps.
+
+        The squared fills of the two rise exactly if the taker ends fuller than the giver was.
+        """
+        least, step = None, None
+        for tokens, pieces in self.sums(giver).items():
+            at = bisect_left(self.ways, (tokens,))
+            while at < len(self.ways):
+                reach, back, taker = self.ways[at]
+                if least is not None and reach - tokens >= least:
+                    break
+                if back < tokens and self.fill[taker] + tokens - back > self.fill[giver]:
+                    least, step = reach - tokens, (tokens, pieces, back, taker)
+                    break
+                at += 1
+        return step
+
+    def exchange(self, giver: int, tokens: int, pieces: tuple[int, ...], back: int, taker: int) -> None:
+        self.close(taker)
+        returned = self.sums(taker)[back] if back else ()
+        for source, target, moved in ((giver, taker, pieces), (taker, giver, returned)):
+            for piece in moved:
+                self.bins[source].remove(piece)
+                self.bins[target].append(piece)
+        self.fill[taker] += tokens - back
+        self.fill[giver] -= tokens - back
+        self.open(taker)
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Exchange pieces between underfull bins until bins empty; never more bins than before.
 
-    Each accepted step raises the fill of the fuller bin of the pair by at least one token, so
-    pairs come to rest. The emptiest bins give first. Passes and pairs per pass are bounded: this
-    bounds the effort, not the rows; every piece stays in a bin.
+    The emptiest bins give first. A step moves one piece or two to another bin, for none, one or two
+    smaller in exchange, and raises the sum of squared fills. Partners are looked up by length, among all
+    bins with room. It goes on until no bin can give anything or no fewer bins are possible; the sum is
+    a whole number and bounded, so it comes to rest.
     """
-    total = sum(lengths)
-    fill = [sum(lengths[i] for i in held) for held in bins]
-    for _ in range(_SEARCH_PASSES):
-        if len(bins) <= -(-total // capacity):
-            break
-        under = sorted((i for i in range(len(bins)) if fill[i] < capacity), key=lambda i: (fill[i], i))
-        tried = moved = 0
-        for giver in under:
-            for taker in reversed(under):
-                if taker == giver or not bins[giver] or not bins[taker] or fill[taker] == capacity:
-                    continue
-                if len(bins[giver]) > 200 or len(bins[taker]) > 2000:
-                    continue  # the pair table of one step stays small
-                full, other = (taker, giver) if fill[taker] >= fill[giver] else (giver, taker)
-                while bins[other] and fill[full] < capacity and _improve(bins[full], bins[other], lengths, capacity):
-                    fill[full] = sum(lengths[i] for i in bins[full])
-                    fill[other] = sum(lengths[i] for i in bins[other])
-                    moved += 1
-                tried += 1
-                if tried >= _SEARCH_PAIRS // _SEARCH_PASSES // 4:
-                    break
-            if tried >= _SEARCH_PAIRS // _SEARCH_PASSES // 4:
+    state = _Underfull([list(held) for held in bins], lengths, capacity)
+    left, least = len(bins), -(-sum(lengths) // capacity)
+    moved = True
+    while moved and left > least:
+        moved = False
+        givers = (i for i in range(len(bins)) if state.bins[i] and state.fill[i] < capacity)
+        for giver in sorted(givers, key=lambda i: (state.fill[i], i)):
+            if not state.bins[giver] or state.fill[giver] == capacity:
+                continue
+            state.close(giver)
+            while state.bins[giver] and (step := state.best(giver)):
+                state.exchange(giver, *step)
+                moved = True
+            state.open(giver)
+            left -= not state.bins[giver]
+            if left <= least:
                 break
-        kept = [i for i in range(len(bins)) if bins[i]]
-        bins, fill = [bins[i] for i in kept], [fill[i] for i in kept]
-        if not moved:
-            break
-    return bins
+    return [held for held in state.bins if held]
 
 
 def pack_group(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -161,9 +194,11 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int =
     Equal rows are separate pieces; rows are numbered once and stored with their number. A null
     length raises an error: every row has to be placed.
     Sequence ids are unique, not dense; offsets are gapless from 0 within a sequence. All other
-    columns stay. An empty table stays empty.
+    columns stay; those named ``sequence_id`` or ``offset`` are kept as ``sequence_id_in`` and ``offset_in``,
+    and names that start with ``_tl_`` are taken. An empty table stays empty.
     """
     number, order, fill, group, place = (f"_tl_{name}" for name in ("row", "bin", "fill", "group", "place"))
+    pieces = pieces.withColumnsRenamed({name: f"{name}_in" for name in ("sequence_id", "offset")})
     columns = pieces.columns
     rows = materialise(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
     full = rows.where(F.col("length") == capacity).select(
@@ -189,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int =
     while count:
         groups = math.ceil(count / group_pieces)
         dealt = todo.withColumn(group, base + F.pmod(F.xxhash64(number), F.lit(groups)))
-        packed = materialise(dealt.groupBy(group).applyInPandas(solve, schema), "packed")
+        packed = materialise(dealt.repartition(groups, group).groupBy(group).applyInPandas(solve, schema), "packed")
         good = F.col(fill) >= capacity * POOR_FILL
         again = packed.where(~good)
         left = again.count() if groups > 1 else 0
@@ -210,5 +245,9 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int =
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Cut all documents and pack the pieces: ``cut_pieces`` columns, ``sequence_id``, ``offset``."""
+    """Cut all documents and pack the pieces: ``cut_pieces`` columns, ``sequence_id``, ``offset``.
+
+    Only ``doc_id`` and ``text`` play a part, so other columns may have any name. Whole texts of any length are
+    encoded; null and empty ones are one piece of one token. Repeated rows are packed one by one.
+    """
     return pack(cut_pieces(docs, vocabulary, capacity), capacity)
