@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlight.llm.common import doc_text, lower_words_of
@@ -31,6 +31,9 @@ RADIUS = 4
 SHINGLE = 4
 BUCKET = 1024
 _SEED = 42
+_ALL = (1 << 64) - 1
+_PLANES = 256 * np.arange(8)
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
@@ -55,6 +58,37 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")[0])
 
 
+def _shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; none without words."""
+    words = lower_words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: max(1, len(words) - width + 1)].tolist()
+    stops = ends[width - 1 :].tolist() or [len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], _SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
+
+
+def _majority_bits(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes, from how often each byte has each value."""
+    planes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64) + _PLANES
+    counts = np.bincount(planes.ravel(), minlength=8 * 256).reshape(8, 256) @ _BITS_OF_BYTE
+    return int(np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").ravel().view("<u8")[0])
+
+
+def families(text: str, width: int, count: int) -> list[int]:
+    """``count`` SimHash fingerprints of a text, each from hashes mixed anew; zeros without words."""
+    hashes, found = _shingle_hashes(text, width), []
+    for number in range(count):
+        mixed = (hashes ^ np.uint64(number * 0x9E3779B97F4A7C15 & _ALL)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        found.append(_majority_bits(mixed * np.uint64(0xD6E8FEB86659FD93)) if len(hashes) else 0)
+    return found
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)`` of all whole texts, ``fp`` as a signed long; null texts have no words."""
 
@@ -96,46 +130,55 @@ def spanning_links(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
     return links
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, by: tuple[str, ...] = ()) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints that connect every pair within the radius.
 
-    The midpoint route needs an even radius of at most 4.
+    With ``by`` columns fingerprints link only inside a family, and the links carry these columns.
+    The midpoints of crowded buckets need a radius that halves and balls that stay small, so the radius is 0, 2 or 4.
     """
+    if radius not in (0, 2, 4):
+        raise ValueError("the radius is 0, 2 or 4")
     masks = F.array(*[F.lit(mask).cast("long") for mask in covering_masks(radius)])
-    slots = distinct.select("fp", F.posexplode(masks).alias("table", "mask")).select(
-        "table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
+    slots = distinct.select(*by, "fp", F.posexplode(masks).alias("table", "mask")).select(
+        *by, "table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
     )
-    sizes = slots.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = [*by, "table", "key"]
+    sizes = slots.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = materialise(sizes, "buckets")
     largest = sizes.agg(F.max("n")).first()[0] or 0
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for members in batch.column(0):
-                found += spanning_links(members.values.to_numpy(), radius)
+            found, owners = [], []
+            for row, members in enumerate(batch.column(batch.num_columns - 1)):
+                links = spanning_links(members.values.to_numpy(), radius)
+                found += links
+                owners += [row] * len(links)
             pairs = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    small = slots.join(sizes.where(F.col("n") <= bucket), ["table", "key"])
-    groups = small.groupBy("table", "key").agg(F.collect_list("fp").alias("members")).select("members")
-    links = groups.mapInArrow(link, "a long, b long")
+            own = [column.take(pa.array(owners, pa.int64())) for column in batch.columns[:-1]]
+            ends = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+            yield pa.RecordBatch.from_arrays([*own, *ends], [*batch.schema.names[:-1], "a", "b"])
+
+    small = slots.join(sizes.where(F.col("n") <= bucket), place)
+    groups = small.groupBy(*place).agg(F.collect_list("fp").alias("members")).select(*by, "members")
+    kinds = [f"{name} {distinct.schema[name].dataType.simpleString()}" for name in by]
+    links = groups.mapInArrow(link, ", ".join([*kinds, "a long", "b long"]))
     if largest > bucket:
-        crowded = slots.join(sizes.where(F.col("n") > bucket), ["table", "key"]).select("fp").distinct()
-        links = links.unionByName(midpoint_links(crowded, radius))
+        crowded = slots.join(sizes.where(F.col("n") > bucket), place).select(*by, "fp").distinct()
+        links = links.unionByName(midpoint_links(crowded, radius, by))
     return links.distinct()
 
 
-def midpoint_links(crowded: DataFrame, radius: int = RADIUS) -> DataFrame:
+def midpoint_links(crowded: DataFrame, radius: int = RADIUS, by: tuple[str, ...] = ()) -> DataFrame:
     """Links between fingerprints that share a value within half the radius of both."""
     bits = [flips for size in range(radius // 2 + 1) for flips in combinations(range(64), size)]
     flips = [sum(1 << bit for bit in chosen) for chosen in bits]
     signed = F.array(*[F.lit(flip - (1 << 64) if flip >> 63 else flip).cast("long") for flip in flips])
-    balls = crowded.select("fp", F.explode(signed).alias("flip")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle")
+    balls = crowded.select(*by, "fp", F.explode(signed).alias("flip")).select(
+        *by, "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle")
     )
-    met = balls.groupBy("middle").agg(F.array_sort(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
-    return met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 4096)).alias("b")).distinct()
+    met = balls.groupBy(*by, "middle").agg(F.array_sort(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
+    return met.select(*by, F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 4096)).alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,3 +234,43 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return stored.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_groups(docs: DataFrame, row: str, width: int = 5, count: int = 8, radius: int = RADIUS) -> DataFrame:
+    """``row`` of one document of each group of near-duplicates: of the smallest ``doc_id``, then the smallest ``row``.
+
+    ``row`` is a column that numbers the rows of ``docs``, so repeated and null ids do not matter; an id comes
+    before none. A text has ``count`` fingerprints of its ``width``-word shingles, and two texts
+    link if those of any one family differ in at most ``radius`` bits: texts whose similarity one
+    fingerprint would often miss have as many more chances. All rows of texts without words are one group. Null and
+    empty texts have no words; an empty table stays empty; other columns play no part.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [families(text.as_py() or "", width, count) for text in batch.column(2)]
+            signed = np.array(values, np.uint64).reshape(-1, count).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1).cast(pa.int64()), pa.array(list(signed), pa.list_(pa.int64()))],
+                ["row", "doc_id", "fps"],
+            )
+
+    narrow = docs.select(F.col(row).cast("long"), docs["doc_id"], docs["text"])
+    stored = materialise(narrow.mapInArrow(hashed, "row long, doc_id long, fps array<long>"), "families")
+    # Of equal texts only the first row goes on.
+    order = Window.partitionBy("fps").orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    first = stored.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    first = materialise(first, "distinct-texts")
+    held = first.select("row", F.posexplode("fps").alias("family", "fp"))
+    node = materialise(held.groupBy("family", "fp").agg(F.min("row").alias("node")), "fingerprint-rows")
+    same = held.join(node, ["family", "fp"]).select(F.col("row").alias("a"), F.col("node").alias("b")).where("a != b")
+    near = near_links(node.select("family", "fp"), radius, by=("family",))
+    ends = [node.select("family", F.col("fp").alias(end), F.col("node").alias(f"node_{end}")) for end in ("a", "b")]
+    linked = near.join(ends[0], ["family", "a"]).join(ends[1], ["family", "b"])
+    links = same.unionByName(linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    group = materialise(components(links), "near-groups").withColumnRenamed("node", "row")
+    grouped = first.select("row", "doc_id").join(group, "row")
+    kept = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    chosen = grouped.withColumn("_place", F.row_number().over(kept)).where("_place = 1").select("row")
+    alone = first.select("row").join(group.select("row"), "row", "left_anti")
+    return chosen.unionByName(alone).withColumnRenamed("row", row)
