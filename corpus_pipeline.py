@@ -26,14 +26,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest ``doc_id``.
+    """One document of each group of near-duplicates, by rows: repeated or null ids lose no text.
 
-    Of repeated rows with that id one stays, any document without an id stays.
+    The row with the smallest ``doc_id`` stays; a row without an id stays only if its group has none with one.
+    The rows are numbered and stored first, so that the numbers hold; texts are not shuffled. An
+    empty table stays empty.
     """
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_tl_id")).distinct()
-    stay = docs.join(materialise(first, "first-of-group"), docs["doc_id"] == F.col("_tl_id"), "left_semi")
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))
+    numbered = materialise(docs.withColumn("_tl_row", F.monotonically_increasing_id()), "numbered-documents")
+    first = materialise(simhash.first_of_groups(numbered, "_tl_row"), "first-of-group")
+    return numbered.join(first, "_tl_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
