@@ -10,10 +10,11 @@ what the others can add to an overlap is bounded by their number, which gives th
 with a group. How often a token occurs comes from a table of fixed size filled from all texts; it
 only decides the order, which may be any, so counts that fall into one cell cost time and no link.
 
-Big clusters of near copies would still give a row for each set and group of the cluster. So each
-set is first compared with one similar set, the smallest one among those it shares most rare tokens with. What these links
-connect needs no further comparison: a token whose sets are all connected leaves the matrix, and a set
-passes over groups that are connected with it.
+A big cluster of near copies would still open many groups for each of its sets. So groups are opened
+in rounds. Each set is first compared with one other, which is the first at most of its rare tokens;
+then, round by round, with one member, drawn anew, of each group that qualifies; once few of these pairs are links, with all
+members. What links connect needs no further comparison: a token whose sets are all connected leaves
+the matrix, and a set passes over groups that are connected with it.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from trawlight.session import materialise, number_and_count
 WIDTH = 3
 SHARE = 90
 GROUP = 64
+# Rounds end when at most this share of their pairs are links.
+FEW = 0.05
 _CELL_BITS = 20
 _SLICES = 16
 _SPREAD = 32
@@ -126,17 +129,24 @@ def measured(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, share: int
     return doc_text(docs).mapInArrow(measure, schema)
 
 
+def _group(number: Column) -> Column:
+    return F.floor(number / GROUP).cast("long")
+
+
 class _Sets:
-    """The distinct sets that can be linked at all, in groups, and the texts behind them."""
+    """The distinct sets that can be linked at all, in groups, and the texts behind them.
+
+    ``table`` is ``(number, slot, sig, n, prefix)``; a set and its size travel as one packed number.
+    """
 
     def __init__(self, docs: DataFrame, rows: DataFrame, distinct: DataFrame, width: int, share: int):
-        self.docs, self.width, self.share = docs, width, share
+        self.docs, self.distinct, self.width, self.share = docs, distinct, width, share
         # A smaller set is not within the threshold of any other.
         least = math.ceil(share / (100 - share)) if share < 100 else 1 << 62
-        big = rows.where(F.col("n") >= least).select("slot", "n", "low", "sig", "prefix").join(distinct.drop("sig"), "slot")
+        big = rows.where(F.col("n") >= least).join(distinct.select("slot"), "slot", "left_semi")
         size_class = F.floor(F.log("n") / math.log(1.05))
-        self.table, self.count = number_and_count(
-            big.select("first", "n", "sig", "prefix", size_class.alias("class"), "low"), ["class", "low", "sig"], "number", 0
+        self.table, _ = number_and_count(
+            big.select("slot", "sig", "n", "prefix", size_class.alias("class"), "low"), ["class", "low", "sig"], "number", 0
         )
 
     def similar(self, a: Column, b: Column, common: Column) -> Column:
@@ -148,8 +158,8 @@ class _Sets:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` of numbers whose whole sets are within the threshold."""
         numbers = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-        wanted = materialise(self.table.join(numbers, "number", "left_semi").select("number", "first", "sig"), "wanted-sets")
-
+        wanted = self.table.select("number", "slot", "sig").join(numbers, "number", "left_semi")
+        wanted = materialise(wanted.join(self.distinct.select("slot", "first"), "slot"), "wanted-sets")
         width = self.width
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,57 +183,69 @@ class _Sets:
 
     def shared_tokens(self) -> DataFrame:
         """``(token, number, n, hub)``: prefix tokens of two sets or more, and the first set of each."""
-        tokens = self.table.select(F.explode("prefix").alias("token"), "number", "n")
-        packed = F.shiftleft("number", _SIZE_BITS).bitwiseOR(F.col("n"))
-        hubs = tokens.groupBy("token").agg(F.min(packed).alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        return materialise(tokens.join(hubs.drop("sets"), "token"), "shared-tokens")
+        packed = F.shiftleft("number", _SIZE_BITS).bitwiseOR(F.col("n")).alias("packed")
+        tokens = self.table.select(F.explode("prefix").alias("token"), packed)
+        hubs = tokens.groupBy("token").agg(F.min("packed").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        shared = tokens.join(hubs.drop("sets"), "token")
+        return materialise(shared.select("token", *_unpacked("packed"), "hub"), "shared-tokens")
 
     def first_pairs(self, shared: DataFrame) -> DataFrame:
         """Each set with the set that is first at most of its tokens, where the two can be similar."""
-        hub, hub_size = F.shiftright("hub", _SIZE_BITS), F.col("hub").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))
+        hub, hub_size = _unpacked("hub")
         others = shared.where(hub != F.col("number")).groupBy("number", "n", "hub").agg(F.count(F.lit(1)).alias("common"))
         able = others.where(self.similar(F.col("n"), hub_size, F.col("common")))
         best = Window.partitionBy("number").orderBy(F.desc("common"), "hub")
         chosen = able.withColumn("_place", F.row_number().over(best)).where("_place = 1")
         return materialise(chosen.select(F.col("number").alias("a"), hub.alias("b")), "first-pairs")
 
-    def open_groups(self, shared: DataFrame, linked: DataFrame) -> DataFrame:
-        """Pairs of a set with a member of a group that it may be similar to, not connected so far.
+    def qualifying(self, shared: DataFrame, root: DataFrame, draw: int) -> DataFrame:
+        """``(number, cluster, group, member)``: sets and the groups that they may link to, not connected so far.
 
-        A pair is met once: a set meets its own group and those after it.
+        A pair is met once: a set meets its own group and those after it. ``member`` is one of the
+        group's sets that share a token; which one depends on ``draw``.
         """
-        root = materialise(components(linked), "connected").withColumnRenamed("node", "number")
         cluster = F.coalesce("root", "number").alias("cluster")
         tokens = shared.join(root, "number", "left").select("token", "number", "n", cluster)
         ends = tokens.groupBy("token").agg(F.min("cluster").alias("lowest"), F.max("cluster").alias("highest"))
         open_tokens = ends.where("lowest < highest").select("token")
         rows = materialise(tokens.join(open_tokens, "token", "left_semi"), "open-tokens")
-
-        group = F.floor(F.col("number") / GROUP).cast("long")
-        matrix = rows.groupBy("token", group.alias("group")).agg(
+        lot = F.pmod(F.xxhash64("number", F.lit(draw)), F.lit(1 << _SIZE_BITS))
+        drawn = F.shiftleft(lot, 63 - _SIZE_BITS).bitwiseOR(F.col("number"))
+        matrix = rows.groupBy("token", _group(F.col("number")).alias("group")).agg(
             F.min("cluster").alias("lowest"),
             F.max("cluster").alias("highest"),
             F.min("n").alias("smallest"),
             F.max("n").alias("largest"),
+            F.max(drawn).alias("member"),
         )
-        asking = rows.select("token", "number", "n", "cluster", group.alias("own"))
+        asking = rows.select("token", "number", "n", "cluster", _group(F.col("number")).alias("own"))
         other = (F.col("lowest") != F.col("cluster")) | (F.col("highest") != F.col("cluster"))
         fits = (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("smallest"))
         met = asking.join(matrix, "token").where((F.col("group") >= F.col("own")) & other & fits)
         overlap = met.groupBy("number", "n", "cluster", "group").agg(
-            F.count(F.lit(1)).alias("common"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest")
+            F.count(F.lit(1)).alias("common"),
+            F.min("smallest").alias("smallest"),
+            F.max("largest").alias("largest"),
+            F.max("member").alias("member"),
         )
         # The smallest size that a member within the threshold can have asks for the least overlap.
         size = F.greatest("smallest", F.ceil(self.share * F.col("n") / 100).cast("long"))
         most = F.col("common") + F.greatest(_rest(F.col("n"), self.share), _rest(F.col("largest"), self.share))
-        opened = overlap.where(most >= _needed(F.col("n"), size, self.share)).select("number", "cluster", "group")
-        opened = materialise(opened, "opened-groups")
+        found = overlap.where(most >= _needed(F.col("n"), size, self.share))
+        member = F.col("member").bitwiseAND(F.lit((1 << 63 - _SIZE_BITS) - 1)).alias("member")
+        return materialise(found.select("number", "cluster", "group", member), "qualifying-groups")
 
+    def members(self, qualified: DataFrame, root: DataFrame) -> DataFrame:
+        """Pairs of a set with each member of its qualifying groups that it can be similar to."""
         held = self.table.select("number", "n", "prefix")
         members = held.join(root, "number", "left").select(
-            F.col("number").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("of_b"), cluster.alias("cluster_b"), group.alias("group")
+            F.col("number").alias("b"),
+            F.col("n").alias("n_b"),
+            F.col("prefix").alias("of_b"),
+            F.coalesce("root", "number").alias("cluster_b"),
+            _group(F.col("number")).alias("group"),
         )
-        asks = opened.join(held, "number").select(
+        asks = qualified.join(held, "number").select(
             F.col("number").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("of_a"), "cluster", "group"
         )
         pairs = asks.join(members, "group").where(
@@ -233,6 +255,33 @@ class _Sets:
         )
         return materialise(pairs.select("a", "b"), "opened-pairs")
 
+    def all_links(self) -> DataFrame:
+        """Links that connect whatever links connect, found round by round."""
+        shared = self.shared_tokens()
+        links, draw = self.links(self.first_pairs(shared)), 0
+        while True:
+            root = materialise(components(links), "connected").withColumnRenamed("node", "number")
+            qualified = self.qualifying(shared, root, draw)
+            one = qualified.select(F.col("number").alias("a"), F.col("member").alias("b"), "cluster")
+            apart = one.join(root, one["b"] == root["number"], "left").where(
+                F.col("cluster") != F.coalesce("root", "b")
+            )
+            pairs = materialise(apart.select("a", "b"), "round-pairs")
+            new = self.links(pairs)
+            links, draw = links.unionByName(new), draw + 1
+            if new.count() <= FEW * pairs.count():
+                break
+        root = materialise(components(links), "connected").withColumnRenamed("node", "number")
+        opened = self.members(self.qualifying(shared, root, draw), root)
+        return links.unionByName(self.links(opened))
+
+
+def _unpacked(name: str) -> list[Column]:
+    return [
+        F.shiftright(name, _SIZE_BITS).alias("number"),
+        F.col(name).bitwiseAND(F.lit((1 << _SIZE_BITS) - 1)).alias("n"),
+    ]
+
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
@@ -251,16 +300,12 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> Dat
     distinct = rows.where("n > 0").groupBy("sig").agg(F.min("slot").alias("slot"), F.min("doc_id").alias("first"))
     distinct = materialise(distinct, "distinct-sets")
     sets = _Sets(docs, rows, distinct, width, share)
-    shared = sets.shared_tokens()
-    links = sets.links(sets.first_pairs(shared))
-    links = links.unionByName(sets.links(sets.open_groups(shared, links)))
-
-    roots = materialise(components(links), "roots").select(F.col("node").alias("number"), "root")
-    members = sets.table.select("number", "sig", "first").join(roots, "number")
+    roots = materialise(components(sets.all_links()), "roots").select(F.col("node").alias("number"), "root")
+    members = sets.table.select("number", "slot").join(roots, "number").join(distinct.select("slot", "first"), "slot")
     smallest = members.groupBy("root").agg(F.min("first").alias("component"))
-    of_linked = members.join(smallest, "root").select(F.col("sig").alias("_tl_sig"), "component")
-    of_set = distinct.join(of_linked, F.col("sig") == F.col("_tl_sig"), "left").select(
-        "sig", F.when(F.col("_tl_sig").isNull(), F.col("first")).otherwise(F.col("component")).alias("component")
+    of_linked = members.join(smallest, "root").select(F.col("slot").alias("linked"), "component")
+    of_set = distinct.join(of_linked, F.col("slot") == F.col("linked"), "left").select(
+        "sig", F.when(F.col("linked").isNull(), F.col("first")).otherwise(F.col("component")).alias("component")
     )
     of_set = materialise(of_set.withColumnRenamed("sig", "_tl_sig"), "set-components")
     found = rows.select("doc_id", "n", "sig").join(of_set, F.col("sig") == F.col("_tl_sig"), "left")
