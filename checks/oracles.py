@@ -431,6 +431,23 @@ SELECT term, count(DISTINCT doc_id) AS df, (SELECT n FROM corpus) AS documents,
 FROM words GROUP BY term
 """
 
+# Every seventh page is replaced by a document whose body is its title.
+_REPLACED = """after AS (
+    SELECT * FROM docs WHERE ingest_seq % 7 <> 0
+    UNION ALL
+    SELECT * REPLACE (title AS body, ingest_seq + (SELECT max(ingest_seq) + 1 FROM docs) AS ingest_seq)
+    FROM docs WHERE ingest_seq % 7 = 0
+)"""
+_sql["ft_index_update"] = _with(PARSED, DOCUMENTS, _REPLACED, *_indexed("after")) + """
+SELECT term, w.doc_id, dl, count(*) AS tf,
+    string_agg(CAST(col * 4294967296 + pos AS VARCHAR), ',' ORDER BY col, pos) AS places
+FROM words w JOIN lengths USING (doc_id) GROUP BY term, w.doc_id, dl
+UNION ALL SELECT '', doc_id, dl, 1, '-4294967296' FROM lengths
+"""
+_sql["ft_term_dictionary"] = _with(*PAGE_INDEX) + """
+SELECT term, count(DISTINCT doc_id) AS df, 1 AS buckets FROM words WHERE starts_with(term, 'th') GROUP BY term
+"""
+
 
 def _phrase(name: str, hits: str, counted: str | None = None) -> str:
     """Scores of one phrase; ``hits`` selects (doc_id, tf), ``counted`` the documents of df."""

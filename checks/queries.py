@@ -18,7 +18,9 @@ from trawlight.operators import match as m
 from trawlight.operators import metasearch as ms
 from trawlight.operators import robots as r
 from trawlight.operators import search as s
-from trawlight.operators.index import build_index, corpus_stats, document_frequencies
+from trawlight.operators.index import (
+    build_index, corpus_stats, document_frequencies, read_index, starting_with, update_index, write_index,
+)
 from trawlight.operators.pages import link_edges
 from trawlight.plans.crawl_job import metasearch_query
 from trawlight.session import materialise, number_rows, scratch_path, spread
@@ -26,7 +28,7 @@ from trawlight.sources import documents as store
 from trawlight.sources.engines import engine_results
 from trawlight.sources.pages import fetched_only, page_fetch
 from trawlight.sources.seeds import read_seeds
-from trawlight.streaming.upsert import compact, read_current, start_upserts
+from trawlight.streaming.upsert import read_current, start_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -72,7 +74,7 @@ def page_filter_unfetched(spark, sf_dir):
 def document_table(spark, sf_dir):
     path = scratch_path(spark, "documents")
     store.create_if_absent(spark, path)
-    store.write_snapshot(d.upsert(store.read_documents(spark, path), t.page_documents(spark, sf_dir)), path)
+    store.upsert_documents(t.page_documents(spark, sf_dir), path)
     return store.read_documents(spark, path)
 
 
@@ -347,12 +349,12 @@ def doc_batch_count(spark, sf_dir):
 def doc_batch_atomic(spark, sf_dir):
     path = scratch_path(spark, "atomic")
     versions = t.event_documents(spark, sf_dir)
-    store.write_snapshot(d.latest_per_url(versions), path)
+    store.upsert_documents(versions, path, range_rows=2_000)
     failing = F.when(F.col("llm_summary").isNull(), F.raise_error(F.lit("write fails"))).otherwise(F.col("title"))
     try:
-        store.write_snapshot(versions.withColumn("title", failing), path)
+        store.upsert_documents(versions.withColumn("title", failing), path)
     except Exception:
-        pass  # the failed write must leave the first snapshot in place
+        pass  # the failed upsert must leave all rows in place
     return store.read_documents(spark, path)
 
 
@@ -364,9 +366,7 @@ def doc_stream_upsert(spark, sf_dir):
     events.repartitionByRange(4, F.desc("event_id")).write.parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     documents = t.event_documents(spark, sf_dir, stream)
-    store.create_if_absent(spark, path)
     start_upserts(documents, path, scratch_path(spark, "stream-state"), available_now=True).awaitTermination()
-    compact(spark, path, 1)
     return read_current(spark, path)
 
 
@@ -475,7 +475,7 @@ def ft_topk(spark, sf_dir):
 def ft_hit_projection(spark, sf_dir):
     index = _pages(spark, sf_dir)
     both = m.match_all(m.match_term(index, "the"), m.match_term(index, "tion"))
-    return s.search(both, t.stored_documents(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
+    return s.search(both, t.ranged_documents(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
 
 
 @query
@@ -485,6 +485,24 @@ def ft_search_batch(spark, sf_dir):
     return hits.withColumn("rank", F.round("rank", 6))
 
 
+@query
+def ft_index_update(spark, sf_dir):
+    """The stored index after every seventh page was replaced, by a document with a new number."""
+    documents, path = t.stored_documents(spark, sf_dir), scratch_path(spark, "updated-index")
+    write_index(documents, path, buckets=8, range_rows=100)
+    incoming = t.replaced_pages(documents)
+    update_index(spark, path, d.replaced_documents(documents, incoming), incoming)
+    postings = read_index(spark, path).postings
+    return postings.select("term", "doc_id", "dl", "tf", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
+@query
+def ft_term_dictionary(spark, sf_dir):
+    """The dictionary of the stored index: terms that start with a letter pair, with df and bucket."""
+    terms = _pages(spark, sf_dir).terms.where(starting_with(F.col("term"), "th"))
+    return terms.groupBy("term").agg(F.sum("df").alias("df"), F.count_distinct("term_bucket").alias("buckets"))
+
+
 # Meta-search
 
 

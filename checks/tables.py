@@ -10,12 +10,14 @@ from trawlight.functions.urls import netloc, path_onwards
 from trawlight.operators.index import Index, read_index, write_index
 from trawlight.operators.pages import page_parse
 from trawlight.session import materialise, scratch_path, spread
+from trawlight.sources.documents import read_ranged, upsert_documents
+from trawlight.sources.ranges import RangedTable
 
 STAMP = "2024-01-01T00:00:00Z"
 AGENT = "fetchbot/0.1"
 
 # Tables written once per application to the shared scratch folder.
-_stored: dict[tuple[str, str, str], DataFrame | Index] = {}
+_stored: dict[tuple[str, str, str], DataFrame | Index | RangedTable] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +86,28 @@ def stored_index(spark: SparkSession, sf_dir: str, corpus: str) -> Index:
     if key not in _stored:
         documents = {"pages": stored_documents, "documents": text_documents}[corpus](spark, sf_dir)
         path = scratch_path(spark, f"index-{corpus}")
-        write_index(documents, path, buckets=16)
-        _stored[key] = read_index(spark, path, buckets=16)
+        write_index(documents, path, buckets=16, range_rows=1_000)
+        _stored[key] = read_index(spark, path)
     return _stored[key]
 
 
+def ranged_documents(spark: SparkSession, sf_dir: str) -> RangedTable:
+    """The parsed pages in a document table, a few to a folder, as a search looks up its hits."""
+    key = (spark.sparkContext.applicationId, sf_dir, "ranged documents")
+    if key not in _stored:
+        path = scratch_path(spark, "ranged-documents")
+        upsert_documents(stored_documents(spark, sf_dir), path, range_rows=100)
+        _stored[key] = read_ranged(spark, path)
+    return _stored[key]
+
+
+def replaced_pages(documents: DataFrame) -> DataFrame:
+    """Every seventh document anew: its title as body, a number behind all others."""
+    last = documents.agg(F.max("ingest_seq") + 1).scalar()
+    chosen = documents.where(F.col("ingest_seq") % 7 == 0)
+    return chosen.withColumns({"body": F.col("title"), "ingest_seq": F.col("ingest_seq") + last})
+
+
 def robots_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One robots answer per page of a host; the text is made from the page address."""
     host = netloc(F.col("url"))

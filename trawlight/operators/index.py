@@ -18,19 +18,29 @@ from pyspark.sql import functions as F
 
 from trawlight.functions.text import tokens
 from trawlight.schemas import SEARCHABLE
+from trawlight.session import materialise
+from trawlight.sources.ranges import (
+    RANGE, RANGE_ROWS, range_of, ranges_in, read_layout, read_ranges, write_layout, write_ranges,
+)
 
 COLUMN_STEP = 1 << 32
 DOCUMENT_TERM = ""
 POSTING_SCHEMA = "term string, doc_id bigint, dl int, tf bigint, places array<bigint>"
+_POSTING_COLUMNS = ["term", "doc_id", "dl", "tf", "places"]
+_STORED_POSTINGS = f"{POSTING_SCHEMA}, term_bucket int"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings; for a stored index also its number of term buckets and its one row of statistics."""
+    """Postings; of a stored index also its number of term buckets, and its dictionary.
+
+    The dictionary ``(term, df, length, term_bucket, seq_range)`` has a row per term and range of documents: in
+    how many of them the term stands, and how long these are together.
+    """
 
     postings: DataFrame
     buckets: int | None = None
-    stats: DataFrame | None = None
+    terms: DataFrame | None = None
 
 
 def _tokenised(documents: DataFrame, key: str) -> DataFrame:
@@ -106,47 +116,80 @@ def updated_index(index: Index, removed: DataFrame, added: DataFrame, key: str =
     new texts are tokenised.
     """
     gone = removed.select("doc_id").distinct()
-    fresh = build_index(added, key).postings
-    if index.buckets:
-        fresh = fresh.withColumn("term_bucket", _bucket(F.col("term"), index.buckets))
-    return Index(index.postings.join(gone, "doc_id", "left_anti").unionByName(fresh), index.buckets)
+    kept = index.postings.select(*_POSTING_COLUMNS).join(gone, "doc_id", "left_anti")
+    return Index(kept.unionByName(build_index(added, key).postings))
 
 
-def store_index(index: Index, path: str, buckets: int = 64, slices: int | None = None) -> None:
+def store_index(index: Index, path: str, buckets: int = 64, range_rows: int = RANGE_ROWS) -> None:
     """Store an index for pruned reads, at a new path.
 
-    One shuffle places rows by (term bucket, document slice): a term that stands in every
-    document is spread over ``slices`` tasks and files instead of filling one, by default over as
-    many as there are shuffle partitions. The folder of a bucket prunes by term, and the sort
-    inside the files lets row-group statistics do the rest.
+    A posting's folder follows from the range of its document and the bucket of its term. A term that
+    stands in every document is thus spread over as many tasks and files as there are ranges, a search opens
+    one bucket of each, and a change of documents rewrites only their ranges.
     """
-    spark = index.postings.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        index.postings.withColumn("term_bucket", _bucket(F.col("term"), buckets))
-        .repartition("term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
-        .sortWithinPartitions("term_bucket", "term", "doc_id")
-        .write.partitionBy("term_bucket")
-        .parquet(f"{path}/postings")
-    )
-    stored = Index(_read_postings(spark, path), buckets)
-    corpus_stats(stored).coalesce(1).write.parquet(f"{path}/stats")
+    _write(index.postings.select(*_POSTING_COLUMNS), path, buckets, range_rows, None)
+    write_layout(index.postings.sparkSession, path, buckets=buckets, range_rows=range_rows)
 
 
 def write_index(
-    documents: DataFrame, path: str, buckets: int = 64, slices: int | None = None, key: str = "ingest_seq"
+    documents: DataFrame, path: str, buckets: int = 64, range_rows: int = RANGE_ROWS, key: str = "ingest_seq"
 ) -> None:
     """Index documents and store the result."""
-    store_index(build_index(documents, key), path, buckets, slices)
+    store_index(build_index(documents, key), path, buckets, range_rows)
 
 
-def _read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{POSTING_SCHEMA}, term_bucket int").parquet(f"{path}/postings")
+def update_index(spark: SparkSession, path: str, removed: DataFrame, added: DataFrame, key: str = "ingest_seq") -> None:
+    """Bring a stored index up to date after documents were replaced.
 
+    ``removed (doc_id)`` are documents that left the table, ``added`` those that came in. Only their
+    ranges are read and rewritten; the files of all others stay. Repeating an update changes nothing,
+    which also repairs one that was lost between the postings and the dictionary.
+    """
+    layout = read_layout(spark, path)
+    if layout is None:
+        raise FileNotFoundError(f"no index at {path}")
+    buckets, range_rows = layout["buckets"], layout["range_rows"]
+    gone = removed.select(F.col("doc_id").cast("long")).unionByName(added.select(F.col(key).cast("long").alias("doc_id")))
+    gone = materialise(gone.distinct(), "replaced-ids")
+    touched = ranges_in(gone, "doc_id", range_rows)
+    old = read_ranges(spark, f"{path}/postings", _STORED_POSTINGS, range_rows).of_ranges(touched)
+    kept = old.select(*_POSTING_COLUMNS).join(gone, "doc_id", "left_anti")
+    _write(kept.unionByName(build_index(added, key).postings), path, buckets, range_rows, touched)
+
+
+def _write(postings: DataFrame, path: str, buckets: int, range_rows: int, touched: list[int] | None) -> None:
+    """Write postings and then their dictionary; ``touched`` are the ranges to replace, None all of them."""
+    spark = postings.sparkSession
+    placed = (
+        postings.withColumn("term_bucket", _bucket(F.col("term"), buckets))
+        .withColumn(RANGE, range_of(F.col("doc_id"), range_rows))
+        .repartition(RANGE, "term_bucket")
+        .sortWithinPartitions(RANGE, "term_bucket", "term", "doc_id")
+    )
+    if touched is not None:
+        placed = materialise(placed, "rewritten-postings")
+    write_ranges(placed, f"{path}/postings", touched, ("term_bucket", buckets))
+    stored = read_ranges(spark, f"{path}/postings", _STORED_POSTINGS, range_rows)
+    # One row per term and range; sorted, so that a range of terms is found by the statistics of the files.
+    terms = (
+        (stored.rows if touched is None else stored.of_ranges(touched))
+        .groupBy(RANGE, "term", "term_bucket")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
+        .repartition(RANGE)
+        .sortWithinPartitions(RANGE, "term")
+    )
+    write_ranges(terms, f"{path}/terms", touched)
 
-def read_index(spark: SparkSession, path: str, buckets: int = 64) -> Index:
-    stats = spark.read.schema("documents bigint, average_length double").parquet(f"{path}/stats")
-    return Index(_read_postings(spark, path), buckets, stats)
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """A stored index; how it is laid out is read from beside it."""
+    layout = read_layout(spark, path)
+    if layout is None:
+        raise FileNotFoundError(f"no index at {path}")
+    rows = layout["range_rows"]
+    postings = read_ranges(spark, f"{path}/postings", _STORED_POSTINGS, rows).rows
+    terms = read_ranges(spark, f"{path}/terms", "term string, term_bucket int, df bigint, length bigint", rows).rows
+    return Index(postings, layout["buckets"], terms)
 
 
 def bucketed(terms: DataFrame, index: Index) -> tuple[DataFrame, list[str]]:
@@ -165,6 +208,28 @@ def posting_list(index: Index, terms: list[str]) -> DataFrame:
     return rows
 
 
+def starting_with(column: Column, prefix: str) -> Column:
+    """Terms with a prefix, as a range of the sorted terms where it has an upper end."""
+    starts = (column != DOCUMENT_TERM) & column.startswith(prefix)
+    last = ord(prefix[-1]) + 1
+    # Surrogates are no characters, and nothing lies behind the last code point.
+    if last == 0xD800 or last > 0x10FFFF:
+        return starts & (column >= prefix)
+    return starts & (column >= prefix) & (column < prefix[:-1] + chr(last))
+
+
+def prefix_postings(index: Index, prefix: str) -> DataFrame:
+    """Postings of all terms with a prefix; of a stored index only the buckets of these terms.
+
+    The buckets are looked up in the dictionary; at most one number per bucket reaches the driver.
+    """
+    rows = index.postings.where(starting_with(F.col("term"), prefix))
+    if index.terms is None:
+        return rows
+    held = index.terms.where(starting_with(F.col("term"), prefix)).select("term_bucket").distinct()
+    return rows.where(F.col("term_bucket").isin([row[0] for row in held.collect()]))
+
+
 def document_lengths(index: Index) -> DataFrame:
     """``(doc_id, dl)`` of every document, also of those without any token."""
     return posting_list(index, [DOCUMENT_TERM]).select("doc_id", "dl")
@@ -172,11 +237,23 @@ def document_lengths(index: Index) -> DataFrame:
 
 def corpus_stats(index: Index) -> DataFrame:
     """One row: the number of documents and their average length in tokens."""
-    if index.stats is not None:
-        return index.stats
+    if index.terms is not None:
+        whole = index.terms.where(F.col("term") == DOCUMENT_TERM)
+        return whole.agg(
+            F.coalesce(F.sum("df"), F.lit(0)).alias("documents"), (F.sum("length") / F.sum("df")).alias("average_length")
+        )
     return document_lengths(index).agg(F.count("*").alias("documents"), F.avg("dl").alias("average_length"))
 
 
 def document_frequencies(index: Index) -> DataFrame:
-    """``(term, df)``: in how many documents each term stands."""
+    """``(term, df)``: in how many documents each term stands; a stored index reads no postings for it."""
+    if index.terms is not None:
+        return index.terms.where(F.col("term") != DOCUMENT_TERM).groupBy("term").agg(F.sum("df").alias("df"))
     return index.postings.where(F.col("term") != DOCUMENT_TERM).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def document_frequency(index: Index, term: str) -> DataFrame | None:
+    """One row with the ``df`` of a term from the dictionary; None for an index without one."""
+    if index.terms is None:
+        return None
+    return index.terms.where(F.col("term") == term).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlight.functions.text import query_tokens
-from trawlight.operators.index import COLUMN_STEP, DOCUMENT_TERM, Index, corpus_stats, posting_list
+from trawlight.operators.index import (
+    COLUMN_STEP, DOCUMENT_TERM, Index, corpus_stats, document_frequency, posting_list, prefix_postings,
+)
 from trawlight.schemas import SEARCHABLE
 
 # Fixed values of the ranking function.
@@ -39,13 +41,15 @@ def total(scores: Column) -> Column:
     return F.sum(scores.cast("decimal(38,18)")).cast("double")
 
 
-def _score(hits: DataFrame, index: Index, counted: DataFrame | None = None) -> DataFrame:
-    """Score phrase hits ``(doc_id, dl, tf)``; ``counted`` are the rows that make up df.
+def _score(
+    hits: DataFrame, index: Index, counted: DataFrame | None = None, known: DataFrame | None = None
+) -> DataFrame:
+    """Score phrase hits ``(doc_id, dl, tf)``; ``counted`` are the rows that make up df, ``known`` has it.
 
     The three numbers of the corpus are scalar subqueries: no join, nothing on the driver.
     """
     stats = corpus_stats(index)
-    df = (hits if counted is None else counted).agg(F.count("*")).scalar()
+    df = known.select("df").scalar() if known is not None else (hits if counted is None else counted).agg(F.count("*")).scalar()
     idf = inverse_frequency(stats.select("documents").scalar(), df)
     gain = saturated(F.col("tf"), F.col("dl"), stats.select("average_length").scalar())
     return hits.select("doc_id", (idf * gain).alias("score"))
@@ -112,7 +116,7 @@ def match_term(
     if not terms:
         return _nothing(index)
     if len(terms) == 1 and not (columns or excluded or initial):
-        return _score(_term_frequency(index, terms[0]), index)
+        return _score(_term_frequency(index, terms[0]), index, known=document_frequency(index, terms[0]))
     return _score(_counted(_phrase_places(index, terms), columns, excluded, initial), index)
 
 
@@ -129,20 +133,20 @@ def match_prefix(
     """Documents with a term that starts with ``prefix``; all such terms are one phrase.
 
     Of several tokens the last is the prefix, and the others stand before it as a phrase. Without
-    a token nothing matches.
+    a token nothing matches. A stored index opens only the buckets of the terms that its dictionary finds.
     """
     tokens = query_tokens(prefix)
     if not tokens:
         return _nothing(index)
     *before, start = tokens
-    wanted = (F.col("term") != DOCUMENT_TERM) & F.col("term").startswith(start)
+    wanted = prefix_postings(index, start)
     if not before:
         places = _restrict(F.col("places"), columns, excluded, initial)
-        found = index.postings.where(wanted).select("doc_id", "dl", F.size(places).alias("tf"))
+        found = wanted.select("doc_id", "dl", F.size(places).alias("tf"))
         hits = found.where(F.col("tf") > 0).groupBy("doc_id").agg(F.max("dl").alias("dl"), F.sum("tf").alias("tf"))
         return _score(hits, index)
     starts = F.transform("places", lambda place: place - len(before))
-    ends = index.postings.where(wanted).select("doc_id", starts.alias("_starts"))
+    ends = wanted.select("doc_id", starts.alias("_starts"))
     # One array per document, no longer than its text.
     ends = ends.groupBy("doc_id").agg(F.flatten(F.collect_list("_starts")).alias("_starts"))
     phrase = _phrase_places(index, before).join(ends, "doc_id")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlight.functions.text import tokens
-from trawlight.operators.index import Index, bucketed, corpus_stats
+from trawlight.operators.index import Index, bucketed, corpus_stats, document_frequencies
 from trawlight.operators.match import inverse_frequency, saturated, total
 from trawlight.schemas import SEARCH_HIT
 from trawlight.session import materialise
+from trawlight.sources.ranges import RangedTable, ranges_in
 
 DEFAULT_LIMIT = 10
 _HIT_COLUMNS = [name for name in SEARCH_HIT.names if name != "rank"]
@@ -26,12 +27,19 @@ def top_matches(matches: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     return ordered if limit < 0 else ordered.limit(limit)
 
 
-def search(matches: DataFrame, documents: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def search(matches: DataFrame, documents: DataFrame | RangedTable, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Search hits without the body, best first.
 
-    Documents are joined only after the cut, so the wide columns are read for the hits alone.
+    Documents are joined only after the cut, so the wide columns are read for the hits alone. Of a stored
+    table only the ranges of the hits are opened; with a limit, no more numbers reach the driver.
     """
     top = top_matches(matches, limit)
+    if isinstance(documents, RangedTable):
+        if limit >= 0:
+            top = materialise(top, "hits")
+            documents = documents.of_ranges(ranges_in(top, "doc_id", documents.range_rows))
+        else:
+            documents = documents.rows
     wide = documents.select(F.col("ingest_seq").alias("doc_id"), *_HIT_COLUMNS)
     return top.join(wide, "doc_id").orderBy("rank", "doc_id").select(*_HIT_COLUMNS, "rank")
 
@@ -56,7 +64,9 @@ def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, s
         postings = postings.where(F.col("term_bucket").isin(used))
     postings = postings.join(wanted.select(*keys).distinct(), keys, "left_semi")
 
-    document_counts = materialise(postings.groupBy(*keys).agg(F.count("*").alias("_df")), "query-df")
+    held = document_frequencies(index).withColumnRenamed("df", "_df")
+    held = bucketed(held.join(wanted.select("term").distinct(), "term", "left_semi"), index)[0]
+    document_counts = materialise(held, "query-df")
     per_query = (
         wanted.join(document_counts, keys, "left")
         .withColumn("df", F.coalesce("_df", F.lit(0)))

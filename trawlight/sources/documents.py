@@ -1,86 +1,81 @@
-"""Document table: versioned snapshots on shared storage, and point reads.
+"""Document table on shared storage, in ranges of the insert sequence, and point reads.
 
-A snapshot is written to a new folder and becomes visible when Spark's commit marker appears in
-it, so a failed write leaves the previous snapshot in place. Its folder name holds its number and
-how many micro-batches of a stream it has taken in; both appear at once with the marker.
+An upsert rewrites the ranges of the documents it replaces and those of the new ones. Writing is
+left to Spark's committed writes: a failed upsert leaves the rows in place, a repeated one changes nothing.
+One writer at a time.
 """
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawlight.operators.documents import latest_per_url
 from trawlight.schemas import STORED_DOCUMENT
+from trawlight.session import materialise
+from trawlight.sources import ranges as r
 
-_SNAPSHOT = re.compile(r"version=(\d+)\.batches=(\d+)")
+_SCHEMA = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in STORED_DOCUMENT)
 
 
-def _folder(spark: SparkSession, path: str):
-    """File system and path object of a folder."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+@dataclass(frozen=True)
+class Change:
+    """What an upsert did: ``removed (doc_id)`` left the table, ``added`` documents came in."""
 
+    removed: DataFrame
+    added: DataFrame
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    files, root = _folder(spark, path)
-    return [status.getPath().getName() for status in files.listStatus(root)] if files.exists(root) else []
 
+def create_if_absent(spark: SparkSession, path: str, range_rows: int = r.RANGE_ROWS) -> None:
+    """Start an empty table unless one exists; a range holds ``range_rows`` insert sequences."""
+    if r.read_layout(spark, path) is None:
+        empty = spark.createDataFrame([], STORED_DOCUMENT).withColumn(r.RANGE, F.lit(0).cast("long"))
+        r.write_ranges(empty, f"{path}/rows")
+        r.write_layout(spark, path, range_rows=range_rows)
 
-def committed_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders below ``path`` that hold a complete write."""
-    files, _ = _folder(spark, path)
-    return [name for name in _names(spark, path) if files.exists(_folder(spark, f"{path}/{name}/_SUCCESS")[1])]
 
+def read_ranged(spark: SparkSession, path: str) -> r.RangedTable:
+    """The table with its ranges, for lookups that open only the folders they need."""
+    layout = r.read_layout(spark, path)
+    if layout is None:
+        empty = spark.createDataFrame([], STORED_DOCUMENT).withColumn(r.RANGE, F.lit(None).cast("long"))
+        return r.RangedTable(empty, r.RANGE_ROWS)
+    return r.read_ranges(spark, f"{path}/rows", _SCHEMA, layout["range_rows"])
 
-def _snapshots(spark: SparkSession, path: str) -> dict[int, int]:
-    """Number of folded micro-batches of each complete snapshot, oldest snapshot first."""
-    found = [_SNAPSHOT.fullmatch(name) for name in committed_folders(spark, path)]
-    return dict(sorted((int(match[1]), int(match[2])) for match in found if match))
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """All documents; an absent table reads as empty."""
+    return read_ranged(spark, path).rows.drop(r.RANGE)
 
-def committed_versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete snapshots, oldest first."""
-    return list(_snapshots(spark, path))
 
+def upsert_documents(incoming: DataFrame, path: str, range_rows: int = r.RANGE_ROWS) -> Change:
+    """Replace documents by URL and add new ones; every row needs an ``ingest_seq``.
 
-def folded_batches(spark: SparkSession, path: str) -> int:
-    """How many micro-batches the newest snapshot has taken in."""
-    return ([0] + list(_snapshots(spark, path).values()))[-1]
-
-
-def create_if_absent(spark: SparkSession, path: str) -> None:
-    """Start an empty table unless one exists."""
-    if not committed_versions(spark, path):
-        write_snapshot(spark.createDataFrame([], STORED_DOCUMENT), path)
-
-
-def read_documents(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The newest committed snapshot, or a given one; an absent table reads as empty."""
-    snapshots = _snapshots(spark, path)
-    if not snapshots:
-        return spark.createDataFrame([], STORED_DOCUMENT)
-    chosen = list(snapshots)[-1] if version is None else version
-    return spark.read.schema(STORED_DOCUMENT).parquet(f"{path}/version={chosen}.batches={snapshots[chosen]}")
-
-
-def write_snapshot(documents: DataFrame, path: str, batches: int | None = None) -> int:
-    """Write the whole table as the next version and return its number.
-
-    ``batches`` is the number of folded micro-batches, by default as before. A number is claimed by
-    creating a file that must not exist yet, so of two writers that want it one fails.
+    Of several rows of a URL the highest sequence counts. A row without a URL replaces only
+    itself, so the same upsert may be repeated. Texts are read only in the ranges that change.
     """
-    spark = documents.sparkSession
-    claimed = [int(name) for name in _names(spark, f"{path}/claims") if name.isdigit()]
-    version = max([0, *claimed, *committed_versions(spark, path)]) + 1
-    files, claim = _folder(spark, f"{path}/claims/{version}")
-    if not files.createNewFile(claim):
-        raise FileExistsError(f"another writer has taken version {version} of {path}")
-    folded = folded_batches(spark, path) if batches is None else batches
+    spark = incoming.sparkSession
+    create_if_absent(spark, path, range_rows)
+    table = read_ranged(spark, path)
     columns = [F.col(field.name).cast(field.dataType) for field in STORED_DOCUMENT]
-    documents.select(*columns).write.mode("errorifexists").parquet(f"{path}/version={version}.batches={folded}")
-    return version
+    # Stored, so that what is generated on the way is the same in the table and in the index.
+    added = materialise(latest_per_url(incoming.select(*columns)), "incoming-documents")
+    keys = added.select(F.col("url").alias("_url"), F.col("ingest_seq").alias("_seq"))
+    by_url = table.rows.join(keys.where("_url IS NOT NULL"), table.rows["url"] == F.col("_url"), "left_semi")
+    itself = table.rows.where("url IS NULL").join(
+        keys.where("_url IS NULL"), table.rows["ingest_seq"] == F.col("_seq"), "left_semi"
+    )
+    gone = by_url.select("ingest_seq", r.RANGE).unionByName(itself.select("ingest_seq", r.RANGE))
+    gone = materialise(gone, "replaced-documents")
+    touched = {row[0] for row in gone.select(r.RANGE).distinct().collect()}
+    touched = sorted(touched | set(r.ranges_in(added, "ingest_seq", table.range_rows)))
+    kept = table.of_ranges(touched).join(gone.select("ingest_seq"), "ingest_seq", "left_anti")
+    new = added.withColumn(r.RANGE, r.range_of(F.col("ingest_seq"), table.range_rows))
+    rows = materialise(kept.unionByName(new), "rewritten-documents")
+    r.write_ranges(rows.repartition(r.RANGE).sortWithinPartitions("ingest_seq"), f"{path}/rows", touched)
+    return Change(gone.select(F.col("ingest_seq").alias("doc_id")), added)
 
 
 def lookup(documents: DataFrame, url: str) -> DataFrame:
