@@ -558,6 +558,65 @@ FROM matched JOIN needed USING (query_id) WHERE found = terms
 QUALIFY position <= 10
 """
 
+
+# The whole crawl, twice: waves of seeds and of what every fifth good page finds by a search.
+def _job(name: str, seeds: str) -> tuple[str, ...]:
+    return (
+        f"""{name}_queue(url, wave, pos) USING KEY (url) AS (
+    SELECT url, 0 AS wave, row_number() OVER (ORDER BY page_id) AS pos
+    FROM store WHERE status = 200 AND page_id % {seeds} = 0
+    UNION
+    SELECT url, wave, (SELECT max(pos) FROM recurring.{name}_queue) + row_number() OVER (ORDER BY place) AS pos
+    FROM (
+        SELECT o.url, q.wave + 1 AS wave, min(q.pos) AS place
+        FROM {name}_queue q
+        JOIN (
+            SELECT r.url, row_number() OVER (ORDER BY r.pos) AS n
+            FROM recurring.{name}_queue r JOIN content USING (url)
+        ) good ON good.url = q.url
+        JOIN content c ON c.url = q.url
+        JOIN pages o ON o.page_id = (q.pos * 3 + length(
+            CASE WHEN contains(c.asked, '?') OR length('{REWRITE_PROMPT}' || c.asked) % 7 = 0 THEN c.asked
+            ELSE 'None: ' || CAST(length('{REWRITE_PROMPT}' || c.asked) AS VARCHAR) || ' characters' END
+        )) % (SELECT count(*) FROM pages)
+        WHERE good.n % 5 = 0 AND o.url NOT IN (SELECT url FROM recurring.{name}_queue)
+        GROUP BY o.url, q.wave
+    )
+)""",
+        f"{name} AS (SELECT c.*, q.pos FROM {name}_queue q JOIN content c USING (url))",
+    )
+
+
+_SUMMARY = f"""CASE WHEN text = '' OR contains('{SUMMARY_PROMPT}' || substring(text, 1, 2000), '?')
+    OR length('{SUMMARY_PROMPT}' || substring(text, 1, 2000)) % 7 = 0 THEN NULL
+    ELSE 'None: ' || CAST(length('{SUMMARY_PROMPT}' || substring(text, 1, 2000)) AS VARCHAR) || ' characters' END"""
+_CONTENT = f"""content AS (
+    SELECT url, title, text, llm_summary,
+        coalesce(llm_summary, nullif(title, ''), (SELECT min_by(url, page_id) FROM store WHERE status = 200 AND page_id % 3 = 0)) AS asked
+    FROM (
+        SELECT url, title, text, {_SUMMARY} AS llm_summary
+        FROM parsed JOIN store USING (url) JOIN decisions USING (url) WHERE status = 200 AND html <> '' AND allowed
+    )
+)"""
+_sql["crawl_job"] = _with(
+    PARSED,
+    STORE,
+    *_ROBOTS,
+    _CONTENT,
+    *_job("job_one", "3"),
+    *_job("job_two", "6"),
+    f"""docs AS (
+    SELECT url, title, text AS body, {snippet('text')} AS snippet, llm_summary, 'crawler' AS source_engine,
+        '{STAMP}' AS crawled_timestamp, ingest_seq
+    FROM (
+        SELECT * REPLACE (pos + (SELECT max(pos) FROM job_one) AS pos), pos + (SELECT max(pos) FROM job_one) AS ingest_seq FROM job_two
+        UNION ALL
+        SELECT *, pos FROM job_one WHERE url NOT IN (SELECT url FROM job_two)
+    )
+)""",
+    *_indexed("docs"),
+) + "SELECT docs.* REPLACE (md5(body) AS body), doc_id, dl FROM docs JOIN lengths ON doc_id = ingest_seq"
+
 # Meta-search
 
 RESULTS = """results AS (

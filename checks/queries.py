@@ -19,10 +19,10 @@ from trawlight.operators import metasearch as ms
 from trawlight.operators import robots as r
 from trawlight.operators import search as s
 from trawlight.operators.index import (
-    build_index, corpus_stats, document_frequencies, read_index, starting_with, update_index, write_index,
+    build_index, corpus_stats, document_frequencies, document_lengths, read_index, starting_with, update_index, write_index,
 )
 from trawlight.operators.pages import link_edges
-from trawlight.plans.crawl_job import metasearch_query
+from trawlight.plans.crawl_job import Collection, crawl_into, metasearch_query
 from trawlight.session import materialise, number_rows, scratch_path, spread
 from trawlight.sources import documents as store
 from trawlight.sources.engines import engine_results
@@ -307,6 +307,50 @@ def crawl_seed_expansion(spark, sf_dir):
     return _crawl(spark, sf_dir, max_depth=1, max_pages=_UNBOUNDED, expand=expand, interval=5).visited
 
 
+def _job_engines(spark, sf_dir):
+    """What an engine finds depends on the wording of the query and on who asks."""
+    pages = t.pages(spark, sf_dir)
+    count = pages.agg(F.count("*")).scalar()
+
+    def engines(asked: DataFrame) -> list[DataFrame]:
+        slot = (F.col("query_id") * 3 + F.length("query")) % count
+        found = asked.select("query_id", slot.alias("page_id")).join(pages.select("page_id", "url"), "page_id")
+        raw = found.select(
+            "query_id",
+            F.lit(1).cast("bigint").alias("position"),
+            F.lit("t").alias("title"),
+            F.col("url").alias("href"),
+            F.lit("b").alias("body"),
+        )
+        return [engine_results(raw, "duckduckgo")]
+
+    return engines
+
+
+@query
+def crawl_job(spark, sf_dir):
+    """Two crawls into one collection: permission, fetch, parse, summaries, searches, upsert and index."""
+    pages, number = t.page_store(spark, sf_dir).where("status = 200"), F.col("page_id")
+    store_ = t.page_store(spark, sf_dir).select("url", "status", "html")
+    collection = Collection(scratch_path(spark, "collection"))
+    collection.create_if_absent(spark, buckets=4, range_rows=100)
+    for part in (3, 6):
+        seeds = pages.where(number % part == 0).select("url", F.lit(0).alias("depth"), number.alias("pos"))
+        crawl_into(
+            *(collection, store_, seeds, t.STAMP, t.AGENT),
+            robots=t.robots_answers(spark, sf_dir),
+            max_depth=0,
+            max_pages=_UNBOUNDED,
+            make_backend=_count_backend(),
+            engines=_job_engines(spark, sf_dir),
+            metasearch_interval=5,
+        )
+    documents = collection.documents(spark).rows.drop("seq_range").withColumn("body", F.md5("body"))
+    lengths = document_lengths(collection.index(spark))
+    # Every document is in the index once, and the index holds no other.
+    return documents.join(lengths, documents["ingest_seq"] == lengths["doc_id"], "full_outer")
+
+
 # Document table
 
 

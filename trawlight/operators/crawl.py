@@ -24,6 +24,7 @@ METASEARCH_INTERVAL = 20
 METASEARCH_RESULTS_PER_ENGINE = 2
 
 OWN_LINK, SEARCH_RESULT = 0, 1
+_INDEX_BITS, _PARENT_BITS = 24, 38
 
 # Takes the triggering pages (url, pos), returns the URLs found for each: (pos, idx, url).
 Expand = Callable[[DataFrame], DataFrame]
@@ -40,10 +41,28 @@ class Crawl:
 def first_enqueued(entries: DataFrame) -> DataFrame:
     """One row per URL: its first place in the queue, which also fixes its depth.
 
-    Partial aggregation reduces a URL that very many pages link to before the shuffle.
+    A place is one number of parent, kind and index, so the smallest is found by hash aggregation:
+    partial results reduce a URL that very many pages link to before the shuffle, and nothing is
+    sorted. A page may have 2^24 links and a crawl 2^38 pages; more raise an error.
     """
-    place = F.struct("parent_pos", "kind", "idx", "depth")
-    return entries.groupBy("url").agg(F.min(place).alias("_place")).select("url", "_place.*")
+    fits = (F.col("parent_pos") < 1 << _PARENT_BITS) & (F.col("idx") < 1 << _INDEX_BITS)
+    packed = (
+        F.shiftleft(F.col("parent_pos").cast("bigint"), _INDEX_BITS + 1)
+        .bitwiseOR(F.shiftleft(F.col("kind").cast("bigint"), _INDEX_BITS))
+        .bitwiseOR(F.col("idx").cast("bigint"))
+    )
+    place = F.when(fits, packed).otherwise(F.raise_error(F.lit("too many links or pages for one crawl")))
+    first = entries.withColumn("_place", place).groupBy("url").agg(
+        F.min("_place").alias("_place"), F.min_by("depth", "_place").alias("depth")
+    )
+    types = {name: entries.schema[name].dataType for name in ("parent_pos", "kind", "idx")}
+    return first.select(
+        "url",
+        F.shiftright("_place", _INDEX_BITS + 1).cast(types["parent_pos"]).alias("parent_pos"),
+        F.shiftright("_place", _INDEX_BITS).bitwiseAND(F.lit(1)).cast(types["kind"]).alias("kind"),
+        F.col("_place").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1)).cast(types["idx"]).alias("idx"),
+        "depth",
+    )
 
 
 def not_seen(entries: DataFrame, seen: DataFrame) -> DataFrame:
@@ -150,8 +169,11 @@ def crawl_stats(result: Crawl) -> DataFrame:
     )
 
 
-def crawl_documents(pages: DataFrame, timestamp: str) -> DataFrame:
-    """Document rows of crawled pages ``(url, pos, title, text, snippet, llm_summary)``."""
+def crawl_documents(pages: DataFrame, timestamp: str, first_sequence: int = 1) -> DataFrame:
+    """Document rows of crawled pages ``(url, pos, title, text, snippet, llm_summary)``.
+
+    Positions start at 1; ``first_sequence`` is the insert sequence of the first one.
+    """
     return pages.select(
         "url",
         "title",
@@ -160,5 +182,5 @@ def crawl_documents(pages: DataFrame, timestamp: str) -> DataFrame:
         "llm_summary",
         F.lit("crawler").alias("source_engine"),
         F.lit(timestamp).alias("crawled_timestamp"),
-        F.col("pos").cast("bigint").alias("ingest_seq"),
+        (F.col("pos") + (first_sequence - 1)).cast("bigint").alias("ingest_seq"),
     )

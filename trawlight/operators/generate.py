@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trawlight.functions.text import strip
+from trawlight.session import materialise
 
 # A backend answers a list of message lists; None stands for no answer.
 Backend = Callable[[list[list[dict]]], list[str | None]]
@@ -49,11 +49,15 @@ def generate(
 ) -> DataFrame:
     """Replace the ``messages`` column by the ``output`` text, NULL where none was produced.
 
-    ``make_backend(model=..., **options)`` runs once per task. Rows with NULL messages are not
-    sent. When a batch fails, its rows are tried one by one, so one bad row costs one NULL.
+    Equal message lists are asked once. Only they go to Python; the answers are stored and joined
+    back, so a backend that answers differently each time still gives one answer, whatever reads the
+    result how often. ``rows`` is read twice and must not change in between. ``make_backend(model=..., **options)``
+    runs once per task. Rows with NULL messages are not sent. When a batch fails, its rows are tried one
+    by one, so one bad row costs one NULL.
     """
-    fields = [field for field in rows.schema.fields if field.name != messages]
-    names = [field.name for field in fields]
+    key = F.when(F.col(messages).isNotNull(), F.sha2(F.to_json(messages), 256))
+    keyed = rows.withColumn("_asked", key)
+    lists = keyed.where("_asked IS NOT NULL").groupBy("_asked").agg(F.any_value(messages).alias("_list"))
 
     def answer(backend: Backend, batch: list[list[dict]]) -> list[str | None]:
         try:
@@ -72,15 +76,11 @@ def generate(
         except Exception:
             backend = lambda batch: [None] * len(batch)
         for batch in batches:
-            asked = batch[messages].notna()
-            lists = [[dict(message) for message in one] for one in batch.loc[asked, messages]]
-            out = batch[names].copy()
-            out[output] = pd.Series([None] * len(out), index=out.index, dtype="object")
-            if lists:
-                out.loc[asked, output] = pd.Series(answer(backend, lists), index=out.index[asked], dtype="object")
-            yield out
-
-    return rows.mapInPandas(run, T.StructType([*fields, T.StructField(output, T.StringType())]))
+            asked = [[dict(message) for message in one] for one in batch["_list"]]
+            yield pd.DataFrame({"_asked": batch["_asked"], output: pd.Series(answer(backend, asked), dtype="object")})
+
+    answers = materialise(lists.mapInPandas(run, f"_asked string, `{output}` string"), "answers")
+    return keyed.join(answers, "_asked", "left").drop(messages, "_asked")
 
 
 def summary_prompt(text: Column, enabled: bool = True) -> Column:

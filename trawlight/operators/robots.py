@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trawlight.functions.text import strip
 from trawlight.functions.urls import netloc, path_onwards
+from trawlight.session import materialise
 
 # Keys that start a group, decide on a path, or only count as rules of their group.
 AGENT_KEY = "user-agent"
@@ -119,31 +120,30 @@ def host_policies(rules: DataFrame, agent: str) -> DataFrame:
     return chosen
 
 
-def robots_allowed(urls: DataFrame, policies: DataFrame, hot_host_slices: int = 8) -> DataFrame:
+def robots_allowed(urls: DataFrame, policies: DataFrame) -> DataFrame:
     """Add ``allowed``: the first rule whose path starts the URL path decides; none allows.
 
     Hosts without a policy allow everything. The rules of a host travel as one array, so a URL
-    needs one lookup and no row per rule. Pages of one host may be most of the table: they are
-    spread over ``hot_host_slices`` tasks, for which the small policy rows are repeated.
+    needs one lookup and no row per rule. Give it URLs without their pages. One host may have most of them: a
+    policy is one row per host, so adaptive execution may split such a host and repeat the policy.
     """
     decoded = _unquote(F.col("url"))
     target = _quote(path_onwards(decoded))
-    keyed = urls.withColumn("_netloc", netloc(F.col("url"))).withColumn(
-        "_slice", F.pmod(F.hash("url"), F.lit(hot_host_slices))
-    )
-    repeated = policies.select(
-        F.col("netloc").alias("_netloc"),
-        "policy",
-        F.explode(F.sequence(F.lit(0), F.lit(hot_host_slices - 1))).alias("_slice"),
-    )
-    joined = keyed.join(repeated, ["_netloc", "_slice"], "left").withColumn(
+    keyed = urls.withColumn("_netloc", netloc(F.col("url")))
+    joined = keyed.join(policies.select(F.col("netloc").alias("_netloc"), "policy"), "_netloc", "left").withColumn(
         "_target", F.when(target == "", F.lit("/")).otherwise(target)
     )
     applying = F.filter("policy", lambda rule: F.startswith(F.col("_target"), rule["path"]))
     decision = F.coalesce(F.try_element_at(applying, F.lit(1))["allow"], F.lit(True))
-    return joined.withColumn("allowed", decision).drop("_netloc", "_slice", "_target", "policy")
+    return joined.withColumn("allowed", decision).drop("_netloc", "_target", "policy")
 
 
 def allowed_only(urls: DataFrame, policies: DataFrame) -> DataFrame:
     """The URLs that may be fetched: well-formed and not disallowed."""
     return robots_allowed(urls, policies).where("allowed").drop("allowed")
+
+
+def disallowed_urls(urls: DataFrame, policies: DataFrame) -> DataFrame:
+    """The distinct URLs that must not be fetched, stored, so that the planner knows how many they are."""
+    denied = robots_allowed(urls.select("url"), policies).where(~F.col("allowed"))
+    return materialise(denied.select("url").distinct(), "disallowed")
