@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from trawlight.operators import documents as d
 from trawlight.schemas import DOCUMENT_COLUMNS, STORED_DOCUMENT
 from trawlight.sources import documents as store
-from trawlight.streaming.upsert import append_batch, compact, read_current, start_upserts
+from trawlight.streaming.upsert import append_batch, read_current, start_upserts
 
-DOC1 = ("http://example.com/page1", "Test Page 1", "This is the first test page about apples.", "First test page with apples.", "Apples are great fruit.", "crawler", "2024-01-01T10:00:00Z")
-DOC2 = ("http://example.com/page2", "Another Test Page 2", "A second page talking about bananas and oranges.", "Second page with bananas.", None, "crawler", "2024-01-01T11:00:00Z")
-DOC3 = ("http://example.com/page1", "Test Page 1 Updated", "This is the UPDATED first test page about apples and cherries.", "UPDATED First test page with apples and cherries.", "Apples and cherries are tasty fruits.", "crawler_v2", "2024-01-01T12:00:00Z")
-DOC4 = ("http://example.com/page4", "Four", "b", "s", None, "crawler", "t")
-DOC5 = ("http://example.com/page2", "Five", "b", "s", "sum", "crawler", "t")
+KILN = ("http://clay.example/kiln", "Firing a kiln", "Raise the heat slowly for two hours.", "Raise the heat", "How to fire.", "crawler", "2023-05-01T08:00:00Z")
+GLAZE = ("http://clay.example/glaze", "Ash glaze", "Wood ash, feldspar and water.", "Wood ash", None, "crawler", "2023-05-01T08:05:00Z")
+KILN_AGAIN = ("http://clay.example/kiln", "Firing a kiln, revised", "Raise the heat for three hours, then soak.", "Raise, then soak", "Longer firing.", "recrawl", "2023-06-01T08:00:00Z")
+WHEEL = ("http://clay.example/wheel", "Wheel", "Centre the clay.", "Centre", None, "crawler", "t")
+GLAZE_AGAIN = ("http://clay.example/glaze", "Salt glaze", "Salt.", "Salt", "Salty.", "crawler", "t")
 
 
 def table(spark, *documents, start=1):
@@ -26,27 +26,27 @@ def rows(df):
 
 
 def test_insert_and_replace(spark):
-    first = d.upsert(table(spark), table(spark, DOC1))
-    assert rows(first) == [DOC1]
-    assert rows(d.upsert(first, table(spark, DOC3, start=2))) == [DOC3]
-    assert rows(d.upsert(first, table(spark, DOC2, start=2))) == sorted([DOC1, DOC2])
+    first = d.upsert(table(spark), table(spark, KILN))
+    assert rows(first) == [KILN]
+    assert rows(d.upsert(first, table(spark, KILN_AGAIN, start=2))) == [KILN_AGAIN]
+    assert rows(d.upsert(first, table(spark, GLAZE, start=2))) == sorted([KILN, GLAZE])
 
 
 def test_batch_later_row_wins(spark):
-    existing = table(spark, DOC1, DOC2)
+    existing = table(spark, KILN, GLAZE)
     assert d.next_sequence(existing) == 3
-    assert rows(d.upsert(existing, table(spark, DOC4, DOC5, start=3))) == sorted([DOC1, DOC4, DOC5])
-    assert rows(d.upsert(table(spark), table(spark, DOC1, DOC3))) == [DOC3]
+    assert rows(d.upsert(existing, table(spark, WHEEL, GLAZE_AGAIN, start=3))) == sorted([KILN, WHEEL, GLAZE_AGAIN])
+    assert rows(d.upsert(table(spark), table(spark, KILN, KILN_AGAIN))) == [KILN_AGAIN]
 
 
 def test_null_urls_accumulate(spark):
-    nameless = (None, *DOC1[1:])
+    nameless = (None, *KILN[1:])
     merged = d.upsert(table(spark, nameless), table(spark, nameless, nameless, start=2))
     assert merged.count() == 3
 
 
 def test_required_keys_need_presence_only(spark):
-    full = dict(zip(DOCUMENT_COLUMNS, DOC2))
+    full = dict(zip(DOCUMENT_COLUMNS, GLAZE))
     partial = {"url": "u", "title": "t"}
     without_body = {key: value for key, value in full.items() if key != "body"}
     null_body = {**full, "body": None}
@@ -57,43 +57,67 @@ def test_required_keys_need_presence_only(spark):
 
 
 def test_delete(spark):
-    keys = spark.createDataFrame([(DOC1[0],), (None,)], "url string")
-    kept = d.delete_by_url(table(spark, DOC1, DOC2, (None, *DOC1[1:])), keys)
-    assert sorted(str(r.url) for r in kept.collect()) == ["None", DOC2[0]]
+    keys = spark.createDataFrame([(KILN[0],), (None,)], "url string")
+    kept = d.delete_by_url(table(spark, KILN, GLAZE, (None, *KILN[1:])), keys)
+    assert sorted(str(r.url) for r in kept.collect()) == ["None", GLAZE[0]]
 
 
-def test_snapshots(spark, tmp_path):
+def test_stored_table(spark, tmp_path):
     path = str(tmp_path / "table")
     assert store.read_documents(spark, path).count() == 0
+    store.create_if_absent(spark, path, range_rows=2)
     store.create_if_absent(spark, path)
-    store.create_if_absent(spark, path)
-    assert store.committed_versions(spark, path) == [1]
-    assert store.write_snapshot(table(spark, DOC1, DOC2), path) == 2
+    first = store.upsert_documents(table(spark, KILN, GLAZE, WHEEL), path)
+    assert first.removed.count() == 0
     current = store.read_documents(spark, path)
     assert current.columns == [*DOCUMENT_COLUMNS, "ingest_seq"]
-    assert store.lookup(current, DOC2[0]).first().llm_summary is None
-    broken = table(spark, DOC4).withColumn("title", F.raise_error(F.lit("no")))
+    assert store.lookup(current, GLAZE[0]).first().llm_summary is None
+    # A failed upsert leaves all rows in place, a repeated one changes nothing.
+    broken = table(spark, KILN_AGAIN, start=9).withColumn("title", F.raise_error(F.lit("no")))
     with pytest.raises(Exception):
-        store.write_snapshot(broken, path)
-    assert rows(store.read_documents(spark, path)) == sorted([DOC1, DOC2])
-    assert store.read_documents(spark, path, version=1).count() == 0
+        store.upsert_documents(broken, path)
+    assert rows(store.read_documents(spark, path)) == sorted([KILN, GLAZE, WHEEL])
+    for _ in range(2):
+        change = store.upsert_documents(table(spark, KILN_AGAIN, GLAZE_AGAIN, start=9), path)
+        assert rows(store.read_documents(spark, path)) == sorted([KILN_AGAIN, GLAZE_AGAIN, WHEEL])
+    assert sorted(r.doc_id for r in change.removed.collect()) == [9, 10]
+    assert d.next_sequence(store.read_documents(spark, path)) == 11
 
 
-def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
+def test_upsert_rewrites_only_the_ranges_it_changes(spark, tmp_path):
+    path = str(tmp_path / "table")
+    many = [(f"u{n}", *KILN[1:]) for n in range(1, 41)]
+    store.upsert_documents(table(spark, *many), path, range_rows=10)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table" / "rows").rglob("*.parquet")}
+    before = files()
+    store.upsert_documents(table(spark, ("u13", *GLAZE[1:]), (None, *GLAZE[1:]), start=100), path)
+    after = files()
+    changed = {name.split("seq_range=")[1].split("/")[0] for name in before.items() ^ after.items() for name in name[:1]}
+    assert changed == {"1", "10"}
+    assert store.read_documents(spark, path).count() == 41
+    # A range that loses all its rows reads as empty.
+    store.upsert_documents(table(spark, *[(f"u{n}", *WHEEL[1:]) for n in range(20, 30)], start=200), path)
+    ranged = store.read_ranged(spark, path)
+    assert ranged.of_ranges([2]).count() == 0 and ranged.rows.count() == 41
+    assert "seq_range" in ranged.of_ranges([1])._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+
+
+def test_stream_equals_batch_in_any_order_and_over_restarts(spark, tmp_path):
     source, path, state = (str(tmp_path / name) for name in ("source", "table", "state"))
-    for n, batch in enumerate([[DOC1, DOC2], [DOC3], [DOC4, DOC5]]):
-        table(spark, *batch, start=10 * n + 1).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(STORED_DOCUMENT).option("maxFilesPerTrigger", 1).parquet(source)
-    start_upserts(stream, path, state, available_now=True).awaitTermination()
-    expected = sorted([DOC3, DOC4, DOC5])
-    assert rows(read_current(spark, path)) == expected
-    append_batch(table(spark, DOC3, start=11), 1, path)
-    assert rows(read_current(spark, path)) == expected
-    compact(spark, path, 2)
-    assert rows(store.read_documents(spark, path)) == sorted([DOC2, DOC3])
-    assert rows(read_current(spark, path)) == expected
+    nameless = (None, *KILN[1:])
+    # Late rows, rows that come twice, several versions in one batch, rows without URL.
+    batches = [([KILN_AGAIN], 50), ([KILN, GLAZE, nameless], 1), ([KILN_AGAIN], 50), ([WHEEL, GLAZE, GLAZE_AGAIN, nameless], 60)]
+    for documents, start in batches:
+        table(spark, *documents, start=start).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(STORED_DOCUMENT).option("maxFilesPerTrigger", 1).parquet(source)
+        start_upserts(stream, path, state, available_now=True).awaitTermination()
+    assert rows(read_current(spark, path)) == sorted([KILN_AGAIN, WHEEL, GLAZE_AGAIN, nameless, nameless], key=str)
+    stored = spark.read.parquet(path)
+    assert stored.where(F.col("url") == KILN[0]).count() == 1  # neither the late nor the repeated row went on
+    append_batch(stored.where("batch = 0").drop("batch"), 0, path)
+    assert read_current(spark, path).count() == 5
 
 
 def test_hot_url_is_cut_before_the_shuffle(spark):
-    plan = d.latest_per_url(table(spark, DOC1))._jdf.queryExecution().executedPlan().toString()
+    plan = d.latest_per_url(table(spark, KILN))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

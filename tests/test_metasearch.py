@@ -20,14 +20,18 @@ def test_missing_fields_become_empty(spark):
 
 
 def test_first_engine_keeps_the_url(spark):
-    both = lists(spark, [(1, 1, "G1", "http://e/1", "S1")], [(1, 1, "D1", "http://e/1", "S"), (1, 2, "D2", "http://e/2", "S")])
+    both = lists(
+        spark,
+        [(4, 1, "Reed", "http://wetland.example/reed", "tall"), (4, 2, "Heron", "http://wetland.example/heron", "grey")],
+        [(4, 1, "A heron", "http://wetland.example/heron", "bird"), (4, 2, "Newt", "http://wetland.example/newt", "wet")],
+    )
     for order in (both, both[::-1]):
         got = ms.merge_results(order).orderBy("engine_seq", "position").collect()
-        assert [(r.url, r.source_engine, r.title) for r in got] == [("http://e/1", "google", "G1"), ("http://e/2", "duckduckgo", "D2")]
+        assert [(r.title, r.source_engine) for r in got] == [("Reed", "google"), ("Heron", "google"), ("Newt", "duckduckgo")]
     only = ms.merge_results(both, engines=["duckduckgo"]).collect()
-    assert sorted(r.title for r in only) == ["D1", "D2"]
+    assert sorted(r.title for r in only) == ["A heron", "Newt"]
     counts = ms.result_counts(ms.union_engines(*both)).first()
-    assert (counts.google_results, counts.duckduckgo_results, counts.unique_results) == (1, 2, 2)
+    assert (counts.google_results, counts.duckduckgo_results, counts.unique_results) == (2, 2, 3)
 
 
 def test_limit_comes_before_filter_and_merge(spark):
@@ -98,3 +102,17 @@ def test_seed_file(spark, tmp_path):
     path.write_text("  http://a/\n\n\thttp://b/ \n   \nhttp://a/\n", encoding="utf-8")
     got = [tuple(r) for r in read_seeds(spark, str(path)).orderBy("pos").collect()]
     assert got == [("http://a/", 0, 1), ("http://b/", 0, 2), ("http://a/", 0, 3)]
+
+
+def test_equal_prompts_are_asked_once_and_answers_stay(spark):
+    def make(model=None, **options):
+        import uuid
+
+        return lambda batch: [uuid.uuid4().hex for _ in batch]
+
+    table = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other"), (4, "")], "n int, text string")
+    summarised = g.with_summary(table, make)
+    first, second = ({r.n: r.llm_summary for r in summarised.collect()} for _ in range(2))
+    assert first == second and first[1] == first[2] != first[3] and first[4] is None
+    plan = g.generate(table.withColumn("m", g.chat_messages(F.col("text"))), "m", make, "a")._jdf.queryExecution()
+    assert "Python" not in plan.executedPlan().toString() and "MapInPandas" not in plan.executedPlan().toString()

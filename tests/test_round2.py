@@ -3,17 +3,13 @@
 import html
 import html.entities
 
-import pytest
 from pyspark.sql import functions as F
 
 from trawlight.functions.html import decode_references
 
 from trawlight.operators.documents import latest_per_url
 from trawlight.operators.metasearch import select_engines
-from trawlight.schemas import STORED_DOCUMENT
-from trawlight.sources import documents as store
 from trawlight.sources.engines import ENGINE_ORDER
-from trawlight.streaming.upsert import append_batch, compact, read_current
 
 
 def test_unknown_engines_have_no_effect(spark):
@@ -30,48 +26,6 @@ def test_rows_without_url_all_stay(spark):
     )
 
 
-def _versions(spark, *rows):
-    filled = [(url, f"title {seq}", "body", "s", None, "e", "x", seq) for url, seq in rows]
-    return spark.createDataFrame(filled, STORED_DOCUMENT)
-
-
-def _held(documents):
-    return sorted(map(str, documents.select("url", "ingest_seq").collect()))
-
-
-def test_stream_over_an_existing_table_and_compaction_in_the_middle(spark, tmp_path):
-    path = str(tmp_path / "table")
-    assert read_current(spark, path).count() == 0
-    store.create_if_absent(spark, path)
-    store.write_snapshot(_versions(spark, ("old", 1), ("u", 2)), path)
-    store.write_snapshot(_versions(spark, ("old", 1), ("u", 2), ("ahead", 50)), path)
-    assert read_current(spark, path).count() == 3
-    batches = [[("u", 10), (None, 7)], [("u", 5), ("v", 11), ("ahead", 12)], [("v", 13), (None, 7)]]
-    for number, batch in enumerate(batches):
-        append_batch(_versions(spark, *batch), number, path)
-    expected = _held(_versions(spark, ("old", 1), ("u", 10), ("ahead", 50), ("v", 13), (None, 7), (None, 7)))
-    assert _held(read_current(spark, path)) == expected
-    for folded in (1, 1, 2):
-        compact(spark, path, folded)
-        assert _held(read_current(spark, path)) == expected
-    with pytest.raises(ValueError):
-        compact(spark, path, 4)
-    store.write_snapshot(store.read_documents(spark, path), path)
-    assert store.folded_batches(spark, path) == 2
-    append_batch(_versions(spark, *batches[0]), 0, path)  # replayed after it was folded
-    assert _held(read_current(spark, path)) == expected
-    compact(spark, path, 3)
-    assert _held(read_current(spark, path)) == _held(store.read_documents(spark, path)) == expected
-
-
-def test_half_written_batches_are_not_read(spark, tmp_path):
-    path = str(tmp_path / "table")
-    append_batch(_versions(spark, ("u", 1)), 0, path)
-    append_batch(_versions(spark, ("u", 2)), 1, path)
-    (tmp_path / "table" / "deltas" / "batch=1" / "_SUCCESS").unlink()
-    assert _held(read_current(spark, path)) == _held(_versions(spark, ("u", 1)))
-
-
 def test_character_references_equal_the_standard_library(spark):
     codes = [*range(0, 300), 0x7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFF, 0x110000]
     texts = [form.format(code) for code in codes for form in ("a&#{};b", "a&#{} b", "&#x{:x};", "&#X{:X}", "&#000000{};")]

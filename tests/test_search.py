@@ -7,7 +7,8 @@ import pytest
 
 from trawlight.operators.documents import latest_per_url, replaced_documents, upsert
 from trawlight.operators.index import (
-    build_index, corpus_stats, read_index, store_index, updated_index, write_index,
+    build_index, corpus_stats, document_frequencies, prefix_postings, read_index, store_index, update_index, updated_index,
+    write_index,
 )
 from trawlight.operators.match import (
     match_all, match_any, match_near, match_not, match_phrase, match_prefix, match_term,
@@ -41,8 +42,8 @@ def corpus(spark, tmp_path_factory):
     engine.commit()
     documents = spark.createDataFrame(rows, STORED_DOCUMENT)
     path = str(tmp_path_factory.mktemp("index"))
-    write_index(documents, f"{path}/index", buckets=8, slices=2)
-    return engine, documents, read_index(spark, f"{path}/index", buckets=8)
+    write_index(documents, f"{path}/index", buckets=8, range_rows=50)
+    return engine, documents, read_index(spark, f"{path}/index")
 
 
 def t(index, word, **options):
@@ -114,6 +115,20 @@ def test_stored_and_lazy_index_agree(corpus):
     assert corpus_stats(lazy).first() == corpus_stats(stored).first()
 
 
+def test_dictionary_names_terms_frequencies_and_buckets(corpus):
+    _, documents, stored = corpus
+    expected = {row.term: row["df"] for row in document_frequencies(build_index(documents)).collect()}
+    assert {row.term: row["df"] for row in document_frequencies(stored).collect()} == expected
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "postings" not in plan(document_frequencies(stored)) and "places" not in plan(document_frequencies(stored))
+    # A prefix opens the buckets of its terms only; one without terms opens none.
+    wanted = {row.term_bucket for row in stored.terms.where("startswith(term, 'app')").collect()}
+    found = {row.term_bucket for row in prefix_postings(stored, "app").select("term_bucket").distinct().collect()}
+    assert found == wanted and len(wanted) < stored.buckets
+    assert "term_bucket" in plan(prefix_postings(stored, "app")).split("PartitionFilters")[1][:200]
+    assert prefix_postings(stored, "nothing").count() == 0
+
+
 def test_search_cuts_after_ranking(corpus):
     engine, documents, index = corpus
     expected = [r[0] for r in engine.execute("select url from pages where pages match 'apple' order by rank, rowid limit 5")]
@@ -150,7 +165,7 @@ def test_equal_documents_tie_by_insertion(spark):
     assert [h.doc_id for h in hits] == [1, 2, 3, 4, 5]
 
 
-@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("stored", ["no", "anew", "in place"])
 def test_index_follows_upserts(spark, corpus, tmp_path, stored):
     engine, documents, index = corpus
     changed = [(f"u{n}", "new title", "zebra a b fresh", "s", None, "crawler", "2025", 1000 + n) for n in (3, 7, 11, 500)]
@@ -168,10 +183,21 @@ def test_index_follows_upserts(spark, corpus, tmp_path, stored):
             row,
         )
 
-    after = updated_index(index, replaced_documents(documents, incoming), latest_per_url(incoming))
-    if stored:
-        store_index(after, f"{tmp_path}/after", buckets=8, slices=2)
-        after = read_index(spark, f"{tmp_path}/after", buckets=8)
+    removed, added = replaced_documents(documents, incoming), latest_per_url(incoming)
+    after, path = updated_index(index, removed, added), f"{tmp_path}/after"
+    if stored == "anew":
+        store_index(after, path, buckets=8, range_rows=50)
+        after = read_index(spark, path)
+    elif stored == "in place":
+        write_index(documents, path, buckets=8, range_rows=20)
+        files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "after" / "postings").rglob("*.parquet")}
+        before = files()
+        for _ in range(2):  # a repeated update changes nothing
+            update_index(spark, path, removed, added)
+        changed = {name.split("seq_range=")[1].split("/")[0] for name, _ in before.items() ^ files().items()}
+        assert changed == {"0", "50"}  # numbers 3, 7 and 11, and 1001 to 1004
+        after = read_index(spark, path)
+        assert corpus_stats(after).first() == corpus_stats(updated_index(index, removed, added)).first()
     for expression, matches in {
         "fresh": match_term(after, "fresh"),
         "zebra a": match_all(match_term(after, "zebra"), match_term(after, "a")),

@@ -70,10 +70,10 @@ def test_stored_index_reads_one_folder_and_spreads_a_hot_term(spark, tmp_path):
     # So little data would otherwise be put together into one task.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        write_index(spark.createDataFrame(rows, STORED_DOCUMENT), path, buckets=4, slices=8)
+        write_index(spark.createDataFrame(rows, STORED_DOCUMENT), path, buckets=4, range_rows=50)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    index = read_index(spark, path, buckets=4)
+    index = read_index(spark, path)
     hot = posting_list(index, ["common"])
     assert "term_bucket" in plan_of(hot).split("PartitionFilters")[1][:120]
     assert hot.count() == 400
@@ -97,6 +97,6 @@ def test_one_host_with_most_pages(spark):
         .otherwise(F.concat(F.lit("http://big.org/"), F.when(F.col("id") % 2 == 1, "odd").otherwise("even"), F.col("id").cast("string")))
         .alias("url")
     )
-    allowed = r.robots_allowed(urls, r.host_policies(r.robots_rules(hosts), "bot"), hot_host_slices=4)
+    allowed = r.robots_allowed(urls, r.host_policies(r.robots_rules(hosts), "bot"))
     assert allowed.count() == 3000
     assert allowed.where("allowed").count() == sum(1 for n in range(3000) if n % 10 and n % 2 == 0)

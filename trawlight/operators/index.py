@@ -28,14 +28,16 @@ DOCUMENT_TERM = ""
 POSTING_SCHEMA = "term string, doc_id bigint, dl int, tf bigint, places array<bigint>"
 _POSTING_COLUMNS = ["term", "doc_id", "dl", "tf", "places"]
 _STORED_POSTINGS = f"{POSTING_SCHEMA}, term_bucket int"
+_STORED_TERMS = "term string, term_bucket int, df bigint, length bigint, most bigint, shortest int"
 
 
 @dataclass(frozen=True)
 class Index:
     """Postings; of a stored index also its number of term buckets, and its dictionary.
 
-    The dictionary ``(term, df, length, term_bucket, seq_range)`` has a row per term and range of documents: in
-    how many of them the term stands, and how long these are together.
+    The dictionary has a row per term and range of documents: in how many of them the term stands
+    (``df``), how long these are together (``length``), how often it stands in one of them at most (``most``)
+    and how long the shortest is (``shortest``).
     """
 
     postings: DataFrame
@@ -172,15 +174,30 @@ def _write(postings: DataFrame, path: str, buckets: int, range_rows: int, touche
     stored = read_ranges(spark, f"{path}/postings", _STORED_POSTINGS, range_rows)
     # One row per term and range; sorted, so that a range of terms is found by the statistics of the files.
     terms = (
-        (stored.rows if touched is None else stored.of_ranges(touched))
-        .groupBy(RANGE, "term", "term_bucket")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
+        _dictionary(stored.rows if touched is None else stored.of_ranges(touched))
         .repartition(RANGE)
         .sortWithinPartitions(RANGE, "term")
     )
     write_ranges(terms, f"{path}/terms", touched)
 
 
+def _dictionary(postings: DataFrame) -> DataFrame:
+    return postings.groupBy(RANGE, "term", "term_bucket").agg(
+        F.count(F.lit(1)).alias("df"),
+        F.sum("dl").alias("length"),
+        F.max("tf").alias("most"),
+        F.min("dl").alias("shortest"),
+    )
+
+
+def ranged(index: Index) -> Index:
+    """The same index with ranges and a dictionary; of a stored index as they are stored."""
+    if index.terms is not None:
+        return index
+    postings = index.postings.withColumn("term_bucket", F.lit(0)).withColumn(RANGE, range_of(F.col("doc_id"), RANGE_ROWS))
+    return Index(postings, None, _dictionary(postings))
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     """A stored index; how it is laid out is read from beside it."""
     layout = read_layout(spark, path)
@@ -188,7 +205,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
         raise FileNotFoundError(f"no index at {path}")
     rows = layout["range_rows"]
     postings = read_ranges(spark, f"{path}/postings", _STORED_POSTINGS, rows).rows
-    terms = read_ranges(spark, f"{path}/terms", "term string, term_bucket int, df bigint, length bigint", rows).rows
+    terms = read_ranges(spark, f"{path}/terms", _STORED_TERMS, rows).rows
     return Index(postings, layout["buckets"], terms)
 
 

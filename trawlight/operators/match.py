@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlight.functions.text import query_tokens
@@ -154,9 +154,33 @@ def match_prefix(
     return _score(_counted(found, columns, excluded, initial), index)
 
 
-def _spans(places: Column, first: int, last: int) -> Column:
-    """All places from ``first`` to ``last`` relative to each of the given ones, each once."""
-    return F.array_distinct(F.flatten(F.transform(places, lambda x: F.sequence(x + first, x + last))))
+def _near_counts(both: DataFrame, widths: list[int]) -> DataFrame:
+    """``(doc_id, dl, tf0, tf1, ...)``: occurrences of each phrase that stand in a window with all others.
+
+    ``both`` has the places of phrase n in ``p<n>``. One sweep over all places in order finds the last
+    starts that suit: those before which every phrase has a place at most its width away. A sweep
+    backwards finds for each place the next such start. Both are sorted once and linear in the places.
+    """
+    def tag(number: int) -> Column:
+        return F.transform(f"p{number}", lambda place: F.struct(place.alias("place"), F.lit(number).alias("phrase")))
+
+    tagged = F.flatten(F.array(*[tag(number) for number in range(len(widths))]))
+    places = both.select("doc_id", "dl", F.inline(tagged))
+    own = Window.partitionBy("doc_id")
+    up = own.orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = own.orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = [F.max(F.when(F.col("phrase") == n, F.col("place"))).over(up) for n in range(len(widths))]
+    suits = reduce(
+        Column.__and__, [F.coalesce(last >= F.col("place") - width, F.lit(False)) for last, width in zip(latest, widths)]
+    )
+    swept = places.withColumn("_last", F.when(suits, F.col("place"))).withColumn("_next", F.min("_last").over(down))
+    return swept.groupBy("doc_id").agg(
+        F.max("dl").alias("dl"),
+        *[
+            F.count_if((F.col("phrase") == n) & (F.col("_next") <= F.col("place") + width)).alias(f"tf{n}")
+            for n, width in enumerate(widths)
+        ],
+    )
 
 
 def match_near(
@@ -185,17 +209,10 @@ def match_near(
     both = lists[0].withColumnRenamed("places", "p0")
     for number, other in enumerate(lists[1:], 1):
         both = both.join(other.select("doc_id", F.col("places").alias(f"p{number}")), "doc_id")
-    everything = [(F.col(f"p{number}"), distance + len(tokens)) for number, tokens in enumerate(phrases)]
-    # Last starts that suit every phrase: each has a place there or at most its width before.
-    suited = [_spans(p, 0, width) for p, width in everything]
-    both = both.withColumn("_last", reduce(F.array_intersect, suited))
-
-    def counted(p: Column, width: int) -> Column:
-        return F.size(F.array_intersect(p, _spans(F.col("_last"), -width, 0)))
-
+    counts = _near_counts(both, [distance + len(tokens) for tokens in phrases])
     scored = [
-        _score(both.select("doc_id", "dl", counted(p, width).alias("tf")).where("tf > 0"), index, counted=lists[number])
-        for number, (p, width) in enumerate(everything)
+        _score(counts.select("doc_id", "dl", F.col(f"tf{number}").alias("tf")).where("tf > 0"), index, counted=lists[number])
+        for number in range(len(phrases))
     ]
     return match_all(*scored)
 

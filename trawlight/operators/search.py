@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlight.functions.text import tokens
-from trawlight.operators.index import Index, bucketed, corpus_stats, document_frequencies
+from trawlight.operators.index import Index, corpus_stats, ranged
 from trawlight.operators.match import inverse_frequency, saturated, total
 from trawlight.schemas import SEARCH_HIT
 from trawlight.session import materialise
-from trawlight.sources.ranges import RangedTable, ranges_in
+from trawlight.sources.ranges import RANGE, RangedTable, ranges_in
 
 DEFAULT_LIMIT = 10
 _HIT_COLUMNS = [name for name in SEARCH_HIT.names if name != "rank"]
@@ -44,66 +44,79 @@ def search(matches: DataFrame, documents: DataFrame | RangedTable, limit: int =
     return top.join(wide, "doc_id").orderBy("rank", "doc_id").select(*_HIT_COLUMNS, "rank")
 
 
-def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, slices: int = 32) -> DataFrame:
+def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """``(query_id, doc_id, rank, position)``: best documents holding all tokens of each query.
 
-    Each query starts from its rarest term, which bounds the candidates; the other terms are then
-    looked up by (term, document). A term that stands everywhere thus never meets all documents
-    with all queries. Both joins spread a long posting list: the first by a document slice, for
-    which the few query rows are repeated, the second by document.
+    Documents are searched range by range. The dictionary bounds what a range can give a query: each
+    term as often as it stands in any document there, in the shortest one. The range of the highest
+    bound is searched first; others are opened only if their bound reaches the k-th score found so far, and a
+    range that lacks a term never is. Inside a range each query starts from its rarest term, which bounds the
+    candidates; the other terms are looked up by (term, document).
     """
+    index = ranged(index)
     tokenised = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
     counted = tokenised.groupBy("query_id", "term").agg(F.count("*").alias("weight"))
-    wanted, keys = bucketed(counted, index)
     # Stored, so that the planner knows its size and broadcasts it to the index if it is small.
-    wanted = materialise(wanted, "query-terms")
+    wanted = materialise(counted, "query-terms")
+    held = index.terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    held = materialise(held, "query-dictionary")
     postings = index.postings
     if index.buckets:
-        # At most one row per bucket; the folders without a wanted term are not listed at all.
-        used = [row[0] for row in wanted.select("term_bucket").distinct().collect()]
+        # At most one number per bucket; the folders without a wanted term are not listed at all.
+        used = [row[0] for row in held.select("term_bucket").distinct().collect()]
         postings = postings.where(F.col("term_bucket").isin(used))
-    postings = postings.join(wanted.select(*keys).distinct(), keys, "left_semi")
-
-    held = document_frequencies(index).withColumnRenamed("df", "_df")
-    held = bucketed(held.join(wanted.select("term").distinct(), "term", "left_semi"), index)[0]
-    document_counts = materialise(held, "query-df")
-    per_query = (
-        wanted.join(document_counts, keys, "left")
-        .withColumn("df", F.coalesce("_df", F.lit(0)))
-        .groupBy("query_id")
-        .agg(
-            F.count("*").alias("terms"),
-            F.min(F.struct("df", *keys)).alias("rarest"),
-            F.collect_list(F.struct(*keys, "weight", "df")).alias("all_terms"),
-        )
-        .where(F.col("rarest.df") > 0)
-    )
-    per_query = materialise(per_query, "query-plan")
-    starts = per_query.select(
-        "query_id",
-        "terms",
-        "all_terms",
-        *[F.col(f"rarest.{key}").alias(key) for key in keys],
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-    )
-    sliced = postings.select(*keys, "doc_id", F.pmod(F.hash("doc_id"), F.lit(slices)).alias("slice"))
-    candidates = starts.join(sliced, [*keys, "slice"]).select("query_id", "terms", "doc_id", F.inline("all_terms"))
 
     stats = corpus_stats(index)
-    idf = inverse_frequency(stats.select("documents").scalar(), F.col("df"))
-    gain = saturated(F.col("tf"), F.col("dl"), stats.select("average_length").scalar())
-    matches = (
-        candidates.join(postings.select(*keys, "doc_id", "tf", "dl"), [*keys, "doc_id"])
-        .groupBy("query_id", "doc_id")
-        .agg(
-            total(F.col("weight") * idf * gain).alias("score"),
-            F.count("*").alias("found"),
-            F.max("terms").alias("terms"),
-        )
-        .where(F.col("found") == F.col("terms"))
+    documents, average = stats.select("documents").scalar(), stats.select("average_length").scalar()
+    frequencies = held.groupBy("term").agg(F.sum("df").alias("df"))
+    weighed = wanted.join(frequencies, "term").withColumn("gain", F.col("weight") * inverse_frequency(documents, F.col("df")))
+    asked = wanted.groupBy("query_id").agg(F.count("*").alias("terms"))
+    weighed = materialise(weighed.join(asked, "query_id"), "query-gains")
+    rarest = weighed.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("_rarest")).select(
+        "query_id", F.col("_rarest.term").alias("rarest")
     )
-    best = Window.partitionBy("query_id").orderBy("rank", "doc_id")
-    numbered = matches.select("query_id", "doc_id", (-F.col("score")).alias("rank")).withColumn(
-        "position", F.row_number().over(best)
+    most = saturated(F.col("most"), F.col("shortest"), average)
+    bounds = (
+        weighed.join(held.select("term", RANGE, "most", "shortest"), "term")
+        .groupBy("query_id", RANGE)
+        .agg(total(F.col("gain") * most).alias("bound"), F.count("*").alias("found"), F.max("terms").alias("terms"))
+        .where("found = terms")
+        .drop("found", "terms")
     )
-    return numbered if limit < 0 else numbered.where(F.col("position") <= limit)
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"), RANGE)
+    bounds = bounds.withColumn("_place", F.row_number().over(best_first)).join(rarest, "query_id")
+    bounds = materialise(bounds, "range-bounds")
+
+    def matches(ranges: DataFrame) -> DataFrame:
+        """``(query_id, doc_id, score)`` of all documents of some ``(query_id, seq_range, rarest)``."""
+        starts = ranges.select("query_id", RANGE, F.col("rarest").alias("term"))
+        candidates = starts.join(postings.select(RANGE, "term", "doc_id"), [RANGE, "term"]).select("query_id", RANGE, "doc_id")
+        looked_up = candidates.join(weighed.select("query_id", "term", "gain", "terms"), "query_id")
+        found = looked_up.join(postings.select(RANGE, "term", "doc_id", "tf", "dl"), [RANGE, "term", "doc_id"])
+        return (
+            found.groupBy("query_id", "doc_id")
+            .agg(
+                total(F.col("gain") * saturated(F.col("tf"), F.col("dl"), average)).alias("score"),
+                F.count("*").alias("found"),
+                F.max("terms").alias("terms"),
+            )
+            .where("found = terms")
+            .select("query_id", "doc_id", "score")
+        )
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    if limit < 0:
+        everything = matches(bounds)
+    else:
+        first = matches(bounds.where("_place = 1")).withColumn("_hit", F.row_number().over(best)).where(F.col("_hit") <= limit)
+        first = materialise(first, "first-hits")
+        enough = first.where(F.col("_hit") == limit).select("query_id", F.col("score").alias("_least"))
+        # A sum that is rounded differently must not hide a tie.
+        rest = bounds.where("_place > 1").join(enough, "query_id", "left").where(
+            F.coalesce(F.col("bound") >= F.col("_least") * (1 - 1e-9) - 1e-9, F.lit(limit > 0))
+        )
+        everything = first.drop("_hit").unionByName(matches(rest))
+    ranked_hits = everything.withColumn("position", F.row_number().over(best))
+    if limit >= 0:
+        ranked_hits = ranked_hits.where(F.col("position") <= limit)
+    return ranked_hits.select("query_id", "doc_id", (-F.col("score")).alias("rank"), "position")
