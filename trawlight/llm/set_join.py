@@ -1,19 +1,21 @@
 """Exact Jaccard join of documents as shingle sets, through a token-group matrix.
 
 Equal sets become one. Sets are numbered so that similar ones follow each other (by size class and
-least shingle hash) and cut into groups of ``GROUP``; a group keeps the union of its members' tokens.
+least shingle hash) and cut into groups of ``GROUP``; a group keeps the union of its members' first tokens.
 A set meets only groups whose union it overlaps enough, and only these groups are opened.
 
-Tokens are ranked by how often they occur, rare ones first. Two sets within the threshold share
-a token among the first ``n - ceil(share * n) + 1`` of each, so only these tokens enter the matrix;
-what the others can add to an overlap is bounded by their number, which gives the bound of a set
-with a group. How often a token occurs comes from a table of fixed size filled from all texts; it
-only decides the order, which may be any, so counts that fall into one cell cost time and no link.
+Which cells of the matrix are looked at is exact, too. Two sets within the threshold differ in at most
+H tokens, a share of their size; if the range of hashes is cut into H + 1 parts, both have the same
+tokens in one of them. So each set has a signature per part, for sets of its own size class and of
+the next, and a set meets a group if they share a signature. Unrelated texts share single shingles by
+chance, ever more of them as a corpus grows, but hardly the eight or so of a whole part.
+Of two sorted sets within the threshold the first ``n - ceil(share * n) + 1`` hashes share one, and what the
+others can add to an overlap is bounded by their number, which gives the bound of a set with a group.
 
 A big cluster of near copies would still open many groups for each of its sets. So groups are opened
-in rounds. Each set is first compared with one other, which is the first at most of its rare tokens;
+in rounds. Each set is first compared with one other, which is the first at most of its signatures;
 then, round by round, with one member, drawn anew, of each group that qualifies; once few of these pairs are links, with all
-members. What links connect needs no further comparison: a token whose sets are all connected leaves
+members. What links connect needs no further comparison: a signature whose sets are all connected leaves
 the matrix, and a set passes over groups that are connected with it.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlight.llm.common import doc_text
-from trawlight.llm.shingle_sets import all_shingles, shingle_sets
+from trawlight.llm.shingle_sets import mixed, shingle_sets
 from trawlight.llm.simhash import components
 from trawlight.session import materialise, number_and_count
 
@@ -38,52 +41,37 @@ SHARE = 90
 GROUP = 64
 # Rounds end when at most this share of their pairs are links.
 FEW = 0.05
-_CELL_BITS = 20
-_SLICES = 16
-_SPREAD = 32
-_SIZE_BITS = 27
+_SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def token_levels(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How often the tokens of each cell occur in all texts, on a logarithmic scale.
+def size_class(n: int, share: int = SHARE) -> int:
+    """Sizes within the threshold of each other are in one class or in neighbouring ones."""
+    return int(math.log(n) / _class_width(share))
 
-    A cell stands for the tokens with the same highest bits. Every task counts into a table of its
-    own; the tables are added up in slices, in two steps, so no task meets the tables of all others.
-    """
-    size = (1 << _CELL_BITS) // _SLICES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << _CELL_BITS, np.int64)
-        for batch in batches:
-            for tokens in all_shingles(batch.column(0), width):
-                cells += np.bincount(tokens >> np.uint64(64 - _CELL_BITS), minlength=len(cells))
-        yield slices(cells.reshape(_SLICES, size))
-
-    def slices(cells: np.ndarray, numbers=range(_SLICES)) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(numbers), pa.int32()), pa.array([row.astype("<i8").tobytes() for row in cells], pa.binary())],
-            names=["slice", "cells"],
-        )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {}
-        for batch in batches:
-            for number, cells in zip(*(column.to_pylist() for column in batch.columns)):
-                sums[number] = sums.get(number, 0) + np.frombuffer(cells, "<i8")
-        yield slices(sums.values(), sums.keys())
+def _class_width(share: int) -> float:
+    return math.log(100 / share) * (1 + 1e-9)
 
-    schema = "slice int, cells binary"
-    parts = doc_text(docs).select("text").mapInArrow(count, schema)
-    parts = parts.repartition("slice", F.pmod(F.xxhash64("cells"), F.lit(_SPREAD))).mapInArrow(add, schema)
-    cells = np.zeros((_SLICES, size), np.int64)
-    for number, part in parts.repartition("slice").mapInArrow(add, schema).collect():  # a table of fixed size
-        cells[number] = np.frombuffer(part, "<i8")
-    return np.round(16 * np.log2(cells.ravel() + 1)).astype(np.uint16)
 
+@cache
+def _part_edges(number: int, share: int) -> np.ndarray:
+    """Where the parts of the hash range begin, for pairs whose larger set is in the class ``number``."""
+    largest = math.ceil(math.exp((number + 1) * _class_width(share))) + 1
+    parts = 2 * (100 - share) * largest // (100 + share) + 1
+    return np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
 
-def prefix_size(n: int, share: int = SHARE) -> int:
-    """How many of the rarest tokens of a set any set within the threshold shares one of."""
-    return n - -(-share * n // 100) + 1
+
+def signatures(tokens: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """Hashes of the tokens in each part, for pairs in the set's size class and in the next one."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(tokens), dtype=np.uint64)])
+    found, own = [], size_class(len(tokens), share)
+    for number in (own, own + 1):
+        edges = _part_edges(number, share)
+        ends = sums[np.concatenate([np.searchsorted(tokens, edges), [len(tokens)]])]
+        held = ends - np.concatenate([[np.uint64(0)], ends[:-1]])
+        place = np.arange(len(held), dtype=np.uint64) + np.uint64(number << 40)
+        found.append(mixed(held ^ mixed(place + _SALT)))
+    return np.concatenate(found)
 
 
 def _rest(n: Column, share: int) -> Column:
@@ -103,17 +91,18 @@ def _set_ids(batches: Iterator[pa.RecordBatch], width: int):
             yield batch, first, sets, [xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None for tokens in sets]
 
 
-def measured(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """``(doc_id, n, sig, low, prefix)`` of every text: set size, hash of the set, least token, rarest tokens."""
+def measured(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """``(doc_id, n, sig, low, parts)`` of every text: set size, hash of the set, least token, signatures.
+
+    Sets too small to be within the threshold of any other have no signatures.
+    """
+    least = least_size(share)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, sets, ids in _set_ids(batches, width):
-            rare = []
-            for tokens in sets:
-                order = np.argsort(levels[tokens >> np.uint64(64 - _CELL_BITS)], kind="stable")
-                rare.append(tokens[order[: prefix_size(len(tokens), share)]] if len(tokens) else tokens)
-            ends = np.cumsum([0, *map(len, rare)])
-            flat = np.concatenate(rare).view(np.int64)
+            parts = [signatures(tokens, share) if len(tokens) >= least else tokens[:0] for tokens in sets]
+            ends = np.cumsum([0, *map(len, parts)])
+            flat = np.concatenate(parts).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[first : first + len(sets)].cast(pa.int64()),
@@ -122,165 +111,153 @@ def measured(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, share: int
                     pa.array([int(tokens[:1].view(np.int64)[0]) if len(tokens) else None for tokens in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                names=["doc_id", "n", "sig", "low", "prefix"],
+                names=["doc_id", "n", "sig", "low", "parts"],
             )
 
-    schema = "doc_id long, n long, sig binary, low long, prefix array<long>"
+    schema = "doc_id long, n long, sig binary, low long, parts array<long>"
     return doc_text(docs).mapInArrow(measure, schema)
 
 
+def least_size(share: int) -> float:
+    """The size of the smallest set that another set can be within the threshold of."""
+    return share / (100 - share) if share < 100 else math.inf
+
+
 def _group(number: Column) -> Column:
     return F.floor(number / GROUP).cast("long")
 
 
 class _Sets:
-    """The distinct sets that can be linked at all, in groups, and the texts behind them.
+    """The distinct sets that share a signature with another one, in groups, with their tokens.
 
-    ``table`` is ``(number, slot, sig, n, prefix)``; a set and its size travel as one packed number.
+    ``shared`` is ``(part, number, n)``, ``whole`` is ``(number, n, tokens)``.
     """
 
     def __init__(self, docs: DataFrame, rows: DataFrame, distinct: DataFrame, width: int, share: int):
-        self.docs, self.distinct, self.width, self.share = docs, distinct, width, share
-        # A smaller set is not within the threshold of any other.
-        least = math.ceil(share / (100 - share)) if share < 100 else 1 << 62
-        big = rows.where(F.col("n") >= least).join(distinct.select("slot"), "slot", "left_semi")
-        size_class = F.floor(F.log("n") / math.log(1.05))
-        self.table, _ = number_and_count(
-            big.select("slot", "sig", "n", "prefix", size_class.alias("class"), "low"), ["class", "low", "sig"], "number", 0
-        )
-
-    def similar(self, a: Column, b: Column, common: Column) -> Column:
-        """Whether sets of sizes ``a`` and ``b`` can be within the threshold, with that many common prefix tokens."""
-        fits = 100 * F.least(a, b) >= self.share * F.greatest(a, b)
-        most = common + F.greatest(_rest(a, self.share), _rest(b, self.share))
-        return fits & (most >= _needed(a, b, self.share))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` of numbers whose whole sets are within the threshold."""
-        numbers = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-        wanted = self.table.select("number", "slot", "sig").join(numbers, "number", "left_semi")
-        wanted = materialise(wanted.join(self.distinct.select("slot", "first"), "slot"), "wanted-sets")
-        width = self.width
+        self.share = share
+        first = rows.where(F.size("parts") > 0).join(distinct.select("slot"), "slot", "left_semi")
+        parts = first.select("slot", F.explode("parts").alias("part"))
+        common = materialise(parts.groupBy("part").count().where("count > 1").select("part"), "shared-parts")
+        met = materialise(parts.join(common, "part"), "sets-of-parts")
+        playing = rows.select("slot", "sig", "n", "low").join(met.select("slot").distinct(), "slot", "left_semi")
+        ordered = playing.withColumn("class", F.floor(F.log("n") / math.log(1.05)))
+        numbered, _ = number_and_count(ordered, ["class", "low", "sig"], "number", 0)
+        self.numbers = numbered.select("number", "slot", "sig", "n")
+        self.shared = materialise(met.join(self.numbers.select("slot", "number", "n"), "slot").drop("slot"), "shared")
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, _, sets, ids in _set_ids(batches, width):
                 ends = np.cumsum([0, *map(len, sets)])
-                flat = np.concatenate(sets).view(np.int64)
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), tokens], names=["sig", "tokens"])
 
+        wanted = materialise(self.numbers.join(distinct.select("slot", "first"), "slot"), "wanted-sets")
         ids = wanted.select(F.col("first").alias("_tl_id")).distinct()
-        texts = doc_text(self.docs)
+        texts = doc_text(docs)
         texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_tl_id"]), "left_semi")
-        sets = texts.mapInArrow(whole, "sig binary, tokens array<long>").join(wanted.select("number", "sig"), "sig")
-        sets = materialise(sets.dropDuplicates(["number"]).select("number", "tokens"), "whole-sets")
-        both = pairs.join(sets.select(F.col("number").alias("a"), F.col("tokens").alias("of_a")), "a").join(
-            sets.select(F.col("number").alias("b"), F.col("tokens").alias("of_b")), "b"
-        )
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        linked = (100 + self.share) * common >= self.share * (F.size("of_a") + F.size("of_b"))
-        return materialise(both.where(linked).select("a", "b"), "set-links")
-
-    def shared_tokens(self) -> DataFrame:
-        """``(token, number, n, hub)``: prefix tokens of two sets or more, and the first set of each."""
-        packed = F.shiftleft("number", _SIZE_BITS).bitwiseOR(F.col("n")).alias("packed")
-        tokens = self.table.select(F.explode("prefix").alias("token"), packed)
-        hubs = tokens.groupBy("token").agg(F.min("packed").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        shared = tokens.join(hubs.drop("sets"), "token")
-        return materialise(shared.select("token", *_unpacked("packed"), "hub"), "shared-tokens")
-
-    def first_pairs(self, shared: DataFrame) -> DataFrame:
-        """Each set with the set that is first at most of its tokens, where the two can be similar."""
-        hub, hub_size = _unpacked("hub")
-        others = shared.where(hub != F.col("number")).groupBy("number", "n", "hub").agg(F.count(F.lit(1)).alias("common"))
-        able = others.where(self.similar(F.col("n"), hub_size, F.col("common")))
+        sets = texts.mapInArrow(whole, "sig binary, tokens array<long>").join(wanted.select("number", "n", "sig"), "sig")
+        self.whole = materialise(sets.dropDuplicates(["sig"]).select("number", "n", "tokens"), "whole-sets")
+
+    def prefix(self) -> Column:
+        """The first tokens of a set, one of which any set within the threshold shares."""
+        return F.slice("tokens", 1, (F.col("n") - F.ceil(self.share * F.col("n") / 100) + 1).cast("int"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` of numbers whose whole sets are within the threshold."""
+        of_a = self.whole.select(F.col("number").alias("a"), F.col("tokens").alias("of_a"))
+        of_b = self.whole.select(F.col("number").alias("b"), F.col("tokens").alias("of_b"))
+        both = pairs.join(of_a, "a").join(of_b, "b").where(self._within("of_a", "of_b"))
+        return materialise(both.select("a", "b"), "set-links")
+
+    def _within(self, a: str, b: str) -> Column:
+        """Whether two whole sets are within the threshold."""
+        common = F.size(F.array_intersect(a, b))
+        return (100 + self.share) * common >= self.share * (F.size(a) + F.size(b))
+
+    def first_pairs(self) -> DataFrame:
+        """Each set with the set that is first at most of its signatures."""
+        hubs = self.shared.groupBy("part").agg(F.min("number").alias("hub"))
+        others = self.shared.join(hubs, "part").where("hub <> number")
+        counted = others.groupBy("number", "hub").agg(F.count(F.lit(1)).alias("common"))
         best = Window.partitionBy("number").orderBy(F.desc("common"), "hub")
-        chosen = able.withColumn("_place", F.row_number().over(best)).where("_place = 1")
-        return materialise(chosen.select(F.col("number").alias("a"), hub.alias("b")), "first-pairs")
+        chosen = counted.withColumn("_place", F.row_number().over(best)).where("_place = 1")
+        return materialise(chosen.select(F.col("number").alias("a"), F.col("hub").alias("b")), "first-pairs")
 
-    def qualifying(self, shared: DataFrame, root: DataFrame, draw: int) -> DataFrame:
+    def qualifying(self, root: DataFrame, draw: int) -> DataFrame:
         """``(number, cluster, group, member)``: sets and the groups that they may link to, not connected so far.
 
         A pair is met once: a set meets its own group and those after it. ``member`` is one of the
-        group's sets that share a token; which one depends on ``draw``.
+        group's sets that share a signature; which one depends on ``draw``.
         """
-        cluster = F.coalesce("root", "number").alias("cluster")
-        tokens = shared.join(root, "number", "left").select("token", "number", "n", cluster)
-        ends = tokens.groupBy("token").agg(F.min("cluster").alias("lowest"), F.max("cluster").alias("highest"))
-        open_tokens = ends.where("lowest < highest").select("token")
-        rows = materialise(tokens.join(open_tokens, "token", "left_semi"), "open-tokens")
-        lot = F.pmod(F.xxhash64("number", F.lit(draw)), F.lit(1 << _SIZE_BITS))
-        drawn = F.shiftleft(lot, 63 - _SIZE_BITS).bitwiseOR(F.col("number"))
-        matrix = rows.groupBy("token", _group(F.col("number")).alias("group")).agg(
+        rows = self.shared.join(root, "number", "left").withColumn("cluster", F.coalesce("root", "number")).drop("root")
+        ends = rows.groupBy("part").agg(F.min("cluster").alias("lowest"), F.max("cluster").alias("highest"))
+        rows = materialise(rows.join(ends.where("lowest < highest").select("part"), "part", "left_semi"), "open-parts")
+        lot = F.pmod(F.xxhash64("number", F.lit(draw)), F.lit(1 << 27))
+        matrix = rows.groupBy("part", _group(F.col("number")).alias("group")).agg(
             F.min("cluster").alias("lowest"),
             F.max("cluster").alias("highest"),
-            F.min("n").alias("smallest"),
-            F.max("n").alias("largest"),
-            F.max(drawn).alias("member"),
+            F.max(F.shiftleft(lot, 36).bitwiseOR(F.col("number"))).alias("member"),
         )
-        asking = rows.select("token", "number", "n", "cluster", _group(F.col("number")).alias("own"))
+        asking = rows.select("part", "number", "cluster", _group(F.col("number")).alias("own"))
         other = (F.col("lowest") != F.col("cluster")) | (F.col("highest") != F.col("cluster"))
-        fits = (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("smallest"))
-        met = asking.join(matrix, "token").where((F.col("group") >= F.col("own")) & other & fits)
-        overlap = met.groupBy("number", "n", "cluster", "group").agg(
-            F.count(F.lit(1)).alias("common"),
-            F.min("smallest").alias("smallest"),
-            F.max("largest").alias("largest"),
-            F.max("member").alias("member"),
+        met = asking.join(matrix, "part").where((F.col("group") >= F.col("own")) & other)
+        met = met.groupBy("number", "cluster", "group").agg(F.max("member").alias("member"))
+        met = materialise(met.withColumn("member", F.col("member").bitwiseAND(F.lit((1 << 36) - 1))), "met-groups")
+        return materialise(self._bounded(met), "qualifying-groups")
+
+    def _bounded(self, met: DataFrame) -> DataFrame:
+        """The pairs of set and group whose overlap with the union of the group allows a link.
+
+        Only first tokens are compared; the rest of a set adds at most its number.
+        """
+        tokens = self.whole.select("number", "n", self.prefix().alias("tokens"))
+        held = tokens.withColumn("group", _group(F.col("number"))).join(met.select("group").distinct(), "group", "left_semi")
+        unions = held.groupBy("group").agg(
+            F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"),
+            F.min("n").alias("smallest"),
+            F.max("n").alias("largest"),
         )
+        both = met.join(tokens, "number").join(unions, "group")
         # The smallest size that a member within the threshold can have asks for the least overlap.
         size = F.greatest("smallest", F.ceil(self.share * F.col("n") / 100).cast("long"))
-        most = F.col("common") + F.greatest(_rest(F.col("n"), self.share), _rest(F.col("largest"), self.share))
-        found = overlap.where(most >= _needed(F.col("n"), size, self.share))
-        member = F.col("member").bitwiseAND(F.lit((1 << 63 - _SIZE_BITS) - 1)).alias("member")
-        return materialise(found.select("number", "cluster", "group", member), "qualifying-groups")
+        most = F.size(F.array_intersect("tokens", "union")) + F.greatest(
+            _rest(F.col("n"), self.share), _rest(F.col("largest"), self.share)
+        )
+        fits = (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("smallest"))
+        able = both.where(fits & (most >= _needed(F.col("n"), size, self.share)))
+        return able.select("number", "cluster", "group", "member")
 
     def members(self, qualified: DataFrame, root: DataFrame) -> DataFrame:
-        """Pairs of a set with each member of its qualifying groups that it can be similar to."""
-        held = self.table.select("number", "n", "prefix")
-        members = held.join(root, "number", "left").select(
+        """Links of a set with the members of its qualifying groups: the groups are opened, each member compared."""
+        members = self.whole.join(root, "number", "left").select(
             F.col("number").alias("b"),
             F.col("n").alias("n_b"),
-            F.col("prefix").alias("of_b"),
+            F.col("tokens").alias("of_b"),
             F.coalesce("root", "number").alias("cluster_b"),
             _group(F.col("number")).alias("group"),
         )
-        asks = qualified.join(held, "number").select(
-            F.col("number").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("of_a"), "cluster", "group"
-        )
-        pairs = asks.join(members, "group").where(
-            (F.col("b") > F.col("a"))
-            & (F.col("cluster") != F.col("cluster_b"))
-            & self.similar(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("of_a", "of_b")))
+        asks = qualified.join(self.whole, "number").select(
+            F.col("number").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a"), "cluster", "group"
         )
-        return materialise(pairs.select("a", "b"), "opened-pairs")
+        fits = 100 * F.least("n_a", "n_b") >= self.share * F.greatest("n_a", "n_b")
+        apart = (F.col("b") > F.col("a")) & (F.col("cluster") != F.col("cluster_b"))
+        pairs = asks.join(members, (asks["group"] == members["group"]) & apart & fits & self._within("of_a", "of_b"))
+        return materialise(pairs.select("a", "b"), "set-links")
 
     def all_links(self) -> DataFrame:
         """Links that connect whatever links connect, found round by round."""
-        shared = self.shared_tokens()
-        links, draw = self.links(self.first_pairs(shared)), 0
+        links, draw = self.links(self.first_pairs()), 0
         while True:
             root = materialise(components(links), "connected").withColumnRenamed("node", "number")
-            qualified = self.qualifying(shared, root, draw)
+            qualified = self.qualifying(root, draw)
             one = qualified.select(F.col("number").alias("a"), F.col("member").alias("b"), "cluster")
-            apart = one.join(root, one["b"] == root["number"], "left").where(
-                F.col("cluster") != F.coalesce("root", "b")
-            )
+            apart = one.join(root, one["b"] == root["number"], "left").where(F.col("cluster") != F.coalesce("root", "b"))
             pairs = materialise(apart.select("a", "b"), "round-pairs")
             new = self.links(pairs)
+            found = new.count()
+            if found <= FEW * pairs.count():
+                return links.unionByName(new).unionByName(self.members(qualified, root))
             links, draw = links.unionByName(new), draw + 1
-            if new.count() <= FEW * pairs.count():
-                break
-        root = materialise(components(links), "connected").withColumnRenamed("node", "number")
-        opened = self.members(self.qualifying(shared, root, draw), root)
-        return links.unionByName(self.links(opened))
-
-
-def _unpacked(name: str) -> list[Column]:
-    return [
-        F.shiftright(name, _SIZE_BITS).alias("number"),
-        F.col(name).bitwiseAND(F.lit((1 << _SIZE_BITS) - 1)).alias("n"),
-    ]
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
@@ -295,13 +272,13 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> Dat
 
     Shingles and sets are told apart by hashes of 64 and 128 bits.
     """
-    rows = measured(docs, token_levels(docs, width), width, share)
+    rows = measured(docs, width, share)
     rows = materialise(rows.withColumn("slot", F.monotonically_increasing_id()), "shingle-sets")
     distinct = rows.where("n > 0").groupBy("sig").agg(F.min("slot").alias("slot"), F.min("doc_id").alias("first"))
     distinct = materialise(distinct, "distinct-sets")
     sets = _Sets(docs, rows, distinct, width, share)
     roots = materialise(components(sets.all_links()), "roots").select(F.col("node").alias("number"), "root")
-    members = sets.table.select("number", "slot").join(roots, "number").join(distinct.select("slot", "first"), "slot")
+    members = sets.numbers.select("number", "slot").join(roots, "number").join(distinct.select("slot", "first"), "slot")
     smallest = members.groupBy("root").agg(F.min("first").alias("component"))
     of_linked = members.join(smallest, "root").select(F.col("slot").alias("linked"), "component")
     of_set = distinct.join(of_linked, F.col("slot") == F.col("linked"), "left").select(

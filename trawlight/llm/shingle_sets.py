@@ -36,7 +36,8 @@ def _power_table(base: np.uint64, size: int) -> np.ndarray:
     return _powers[base]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers scrambled one to one."""
     x = (x ^ (x >> np.uint64(32))) * _MIX
     x = (x ^ (x >> np.uint64(29))) * _MIX
     return x ^ (x >> np.uint64(32))
@@ -49,7 +50,7 @@ def _stretch_hashes(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np
     ends = np.flatnonzero(word & np.concatenate([space[1:], [True]]))
     sums = np.cumsum(_BYTES[data] * _power_table(_STEP, len(data))[: len(data)], dtype=np.uint64)
     before = np.where(begins > 0, sums[begins - 1], np.uint64(0))
-    return _mixed((sums[ends] - before) * _power_table(_BACK, len(data))[begins]), begins
+    return mixed((sums[ends] - before) * _power_table(_BACK, len(data))[begins]), begins
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +81,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the ``width`` words from each place on, in order."""
-    mixed = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    hashes = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for step in range(width):
-        mixed = _mixed(mixed * _STEP + words[step : step + len(mixed)])
-    return mixed
+        hashes = mixed(hashes * _STEP + words[step : step + len(hashes)])
+    return hashes
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -111,17 +112,12 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, list[np.nda
     """
     for first, some in blocks(texts):
         words, bounds = word_hashes(some)
-        mixed = shingle_hashes(words, width)
+        hashes = shingle_hashes(words, width)
         sets = []
         for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
             if b - a >= width:
-                sets.append(distinct(mixed[a : b - width + 1]))
+                sets.append(distinct(hashes[a : b - width + 1]))
             else:
                 sets.append(shingle_hashes(words[a:b], b - a) if b > a else words[:0])
         yield first, sets
 
-
-def all_shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """Per block the shingles of all its words in a row; a few of them run from one text into the next."""
-    for _, some in blocks(texts):
-        yield shingle_hashes(word_hashes(some)[0], width)
