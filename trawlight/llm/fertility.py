@@ -5,7 +5,8 @@ separators need more tokens per character, fall back to bytes, or spread over ot
 of their language does. Measures per document, each with rejection bands per language: characters per
 token (two vocabularies), the share of byte-fallback tokens, and the entropy of the tokens against
 the most their number allows. All of them depend on a text's length, so a language has one band per
-doubling of the number of words. A band is the median of its documents plus or minus ``WIDTH``
+doubling of the number of words; where these are few, the neighbouring lengths, the language or the
+script stand in. A band is the median of its documents plus or minus ``WIDTH``
 median absolute deviations: no constants per language, and the same at any size. A document is
 rejected when a measure leaves its band.
 """
@@ -15,13 +16,14 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from trawlight.session import materialise
 
@@ -30,6 +32,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WIDTH = 8.0
+LEAST_DOCS = 30
+# First bytes of the two- to four-byte forms of each script's letters.
+SCRIPTS = {"latin": (0xC3, 0xCC), "greek-cyrillic": (0xCD, 0xD4), "semitic": (0xD5, 0xDE), "indic": (0xE0, 0xE1), "east-asian": (0xE3, 0xED)}
 # Deviations are not taken smaller than these, so uniform groups of copies do not close a band.
 LEAST_DEVIATION = {"piece_chars": 0.01, "byte_chars": 0.01, "fallback": 0.01, "entropy": 0.01}
 MEASURES = tuple(LEAST_DEVIATION)
@@ -38,9 +43,9 @@ _BLOCK_BYTES = 4 << 20
 _KEPT_WORDS = 100_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _TYPES = {name: LongType() for name in (*_COUNTS, "size_class")} | {name: DoubleType() for name in MEASURES}
-_TYPES["base_failed"] = BooleanType()
+_TYPES |= {"base_failed": BooleanType(), "script": StringType()}
 _ARROW = {name: pa.int64() if isinstance(kind, LongType) else pa.float64() for name, kind in _TYPES.items()}
-_ARROW["base_failed"] = pa.bool_()
+_ARROW |= {"base_failed": pa.bool_(), "script": pa.string()}
 
 
 class Vocabularies:
@@ -120,6 +125,21 @@ def _entropy(ids: np.ndarray) -> float:
     return float((math.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids)) / math.log2(len(ids)))
 
 
+def _scripts_of(words: pa.Array) -> dict[str, np.ndarray]:
+    """Letters of each script in each word, told by the first byte of their UTF-8 form."""
+    if not len(words):
+        return {name: np.zeros(0, np.int64) for name in SCRIPTS}
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    letters = (data | 0x20) - 0x61 < 26
+    found = {}
+    for name, (low, high) in SCRIPTS.items():
+        inside = (data >= low) & (data <= high) | (letters if name == "latin" else False)
+        ends = np.concatenate([[0], np.cumsum(inside)])
+        found[name] = ends[offsets[1:]] - ends[offsets[:-1]]
+    return found
+
+
 def _measure_block(texts: pa.Array, vocabularies: Vocabularies) -> dict[str, np.ndarray]:
     words = pc.ascii_split_whitespace(texts)
     bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
@@ -141,7 +161,9 @@ def _measure_block(texts: pa.Array, vocabularies: Vocabularies) -> dict[str, np.
         ends = np.concatenate([[0], np.cumsum(values[codes])])
         return ends[bounds[1:]] - ends[bounds[:-1]]
 
-    out = {name: sums(values) for name, values in (("word_chars", word_chars), ("pieces", n_pieces))}
+    scripts = _scripts_of(coded.dictionary)
+    out = {f"script_{name}": sums(counts) for name, counts in scripts.items()}
+    out |= {name: sums(values) for name, values in (("word_chars", word_chars), ("pieces", n_pieces))}
     out |= {"bytes": sums(n_bytes), "ranked": sums(n_ranked), "n_words": sums((~empty).astype(np.int64))}
     out["n_symbols"] = sum(
         pc.count_substring(texts, symbol).to_numpy(zero_copy_only=False).astype(np.int64) for symbol in SYMBOLS
@@ -161,6 +183,9 @@ def _measure_block(texts: pa.Array, vocabularies: Vocabularies) -> dict[str, np.
     out["byte_chars"] = np.log(chars / np.maximum(out["ranked"], 1))
     out["fallback"] = out["bytes"] / np.maximum(out["pieces"], 1)
     out["entropy"] = np.array(entropy)
+    names = list(SCRIPTS)
+    most = np.argmax([out.pop(f"script_{name}") for name in names], axis=0)
+    out["script"] = np.array(names, object)[most]
     return out
 
 
@@ -188,7 +213,7 @@ def with_measures(docs: DataFrame, files: tuple[str, str, str] | None = None) ->
     files = files or default_vocabularies()
     names = docs.columns
     text = names.index("text")
-    added = [*_COUNTS, "base_failed", *MEASURES, "size_class"]
+    added = [*_COUNTS, "base_failed", *MEASURES, "size_class", "script"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,37 +235,80 @@ def measures(docs: DataFrame, files: tuple[str, str, str] | None = None) -> Data
     return with_measures(narrow, files).drop("text")
 
 
-def bands(measured: DataFrame, width: float = WIDTH) -> DataFrame:
-    """Lower and upper limits per language and length class, from all documents that pass the base rules.
+def _pools(rows: DataFrame) -> DataFrame:
+    """Each row once for every pool it belongs to: ``_tl_level`` and the keys of the pool.
 
-    Medians are Spark's mergeable quantile sketches, so a language of any size is summed up in its
-    tasks. A null language is a language of its own.
+    Levels, from narrow to wide: language and length class, the class with its two neighbours, the language,
+    the script, all. A key that plays no part on a level is null; a null language is a language
+    of its own, written as an empty array.
     """
-    keys = ["_tl_lang", "_tl_class"]
-    good = measured.where(~F.col("_tl_base_failed")).select(
-        F.col("lang").alias("_tl_lang"), F.col("_tl_size_class").alias("_tl_class"), *[f"_tl_{m}" for m in MEASURES]
+    lang, own, script = F.array_compact(F.array("lang")), F.col("_tl_size_class"), F.col("_tl_script")
+    none = F.lit(None)
+
+    def pool(level: int, lang: Column, size: Column, script: Column) -> Column:
+        return F.struct(
+            F.lit(level).alias("_tl_level"),
+            lang.cast("array<string>").alias("_tl_lang"),
+            size.cast("bigint").alias("_tl_class"),
+            script.cast("string").alias("_tl_in_script"),
+        )
+
+    near = [pool(1, lang, own + shift, none) for shift in (-1, 0, 1)]
+    pools = F.array(pool(0, lang, own, none), *near, pool(2, lang, none, none), pool(3, none, none, script), pool(4, none, none, none))
+    return rows.withColumn("_tl_pool", F.explode(pools)).select(*rows.columns, "_tl_pool.*")
+
+
+_POOL = ["_tl_level", "_tl_lang", "_tl_class", "_tl_in_script"]
+
+
+def bands(measured: DataFrame, width: float = WIDTH, least: int = LEAST_DOCS) -> DataFrame:
+    """Lower and upper limits per language, length class and script, from all documents that pass the base rules.
+
+    A cell with fewer than ``least`` documents takes the limits of the next wider pool that has as many:
+    the length class with its neighbours, the language, the script, all documents. Medians and deviations
+    are those of the pool, so neither a lone document nor the odd one of two sets its own limits. Medians are
+    Spark's mergeable quantile sketches: a language of any size is summed up in its tasks.
+    """
+    good = measured.where(~F.col("_tl_base_failed")).select("lang", "_tl_size_class", "_tl_script", *[f"_tl_{m}" for m in MEASURES])
+    pooled = _pools(good).drop("lang", "_tl_size_class", "_tl_script")
+    middle = pooled.groupBy(*_POOL).agg(
+        F.count(F.lit(1)).alias("docs"),
+        *[F.percentile_approx(f"_tl_{m}", 0.5, 10_000).alias(f"{m}_mid") for m in MEASURES],
     )
-    middle = good.groupBy(*keys).agg(*[F.percentile_approx(f"_tl_{m}", 0.5, 10_000).alias(f"{m}_mid") for m in MEASURES])
-    middle = materialise(middle.withColumnsRenamed({"_tl_lang": "_lang", "_tl_class": "_class"}), "medians")
-    off = good.join(middle, good["_tl_lang"].eqNullSafe(middle["_lang"]) & (good["_tl_class"] == middle["_class"]))
-    spread = off.groupBy(*keys).agg(
+    middle = materialise(middle.withColumnsRenamed({name: f"{name}_of" for name in _POOL}), "medians")
+    same = [F.col(name).eqNullSafe(F.col(f"{name}_of")) for name in _POOL]
+    spread = pooled.join(middle, reduce(Column.__and__, same)).groupBy(*_POOL).agg(
+        F.first("docs").alias("docs"),
         *[F.first(f"{m}_mid").alias(f"{m}_mid") for m in MEASURES],
         *[
             F.greatest(
-                F.percentile_approx(F.abs(F.col(f"_tl_{m}") - F.col(f"{m}_mid")), 0.5, 10_000), F.lit(least)
+                F.percentile_approx(F.abs(F.col(f"_tl_{m}") - F.col(f"{m}_mid")), 0.5, 10_000), F.lit(floor)
             ).alias(f"{m}_mad")
-            for m, least in LEAST_DEVIATION.items()
+            for m, floor in LEAST_DEVIATION.items()
         ],
     )
     edges = []
     for m in MEASURES:
         edges.append((F.col(f"{m}_mid") - width * F.col(f"{m}_mad")).alias(f"_tl_{m}_low"))
         edges.append((F.col(f"{m}_mid") + width * F.col(f"{m}_mad")).alias(f"_tl_{m}_high"))
-    return spread.select(*keys, *edges)
+    limits = F.struct(*edges)
+    spread = materialise(spread.select(*[F.col(name).alias(f"{name}_of") for name in _POOL], "docs", limits.alias("limits")), "pools")
+    # Each cell meets its five pools; the narrowest that is large enough counts, all documents in any case.
+    cells = good.select("lang", "_tl_size_class", "_tl_script").distinct()
+    wanted = _pools(cells).where("_tl_level <> 1 OR _tl_class = _tl_size_class")
+    choice = F.struct(((F.col("docs") < least) & (F.col("_tl_level") < 4)).alias("few"), "_tl_level")
+    chosen = wanted.join(spread, reduce(Column.__and__, same)).groupBy(
+        F.col("lang").alias("_tl_cell_lang"), F.col("_tl_size_class").alias("_tl_cell_class"), F.col("_tl_script").alias("_tl_cell_script")
+    ).agg(F.min_by("limits", choice).alias("limits"))
+    return chosen.select("_tl_cell_lang", "_tl_cell_class", "_tl_cell_script", "limits.*")
 
 
 def _with_bands(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    same = measured["lang"].eqNullSafe(limits["_tl_lang"]) & (measured["_tl_size_class"] == limits["_tl_class"])
+    same = (
+        F.col("lang").eqNullSafe(F.col("_tl_cell_lang"))
+        & (F.col("_tl_size_class") == F.col("_tl_cell_class"))
+        & (F.col("_tl_script") == F.col("_tl_cell_script"))
+    )
     return measured.join(limits, same, "left")
 
 
@@ -270,8 +338,9 @@ def judge(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataFra
 def keep_good(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns.
 
-    Texts are measured twice, once for the bands and once to filter, so they are never shuffled or
-    stored again. Columns of the input whose names start with ``_tl_`` would clash.
+    Every text is measured once: the rows are stored with their measures, and the bands, a small
+    table, are joined to them. Names of the input that start with ``_tl_`` are taken.
     """
-    limits = materialise(bands(materialise(measures(docs, files), "measures")), "bands")
-    return _with_bands(with_measures(docs, files), limits).where(_kept()).select(*docs.columns)
+    measured = materialise(with_measures(docs, files), "measured-documents")
+    limits = materialise(bands(measured), "bands")
+    return _with_bands(measured, limits).where(_kept()).select(*docs.columns)

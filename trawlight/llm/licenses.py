@@ -7,9 +7,10 @@ template is the share of its words that found their place.
 
 Whole documents are not aligned with every template. A template is tried only around its trigger
 words: so many of its least common words that a text without any of them cannot reach the wanted coverage.
-Each occurrence of a trigger gives a window around the place where the template would lie,
-so nothing that reaches the coverage in one stretch is passed over, and repeated notices are found
-one by one.
+Each occurrence of a trigger gives a window around the place where the template would lie, and
+repeated notices are found one by one. Windows that lie within a template's length of each other make a
+region; if none of its windows reaches the coverage the whole region is aligned, so words put into
+the middle of a license do not hide it as long as each of its pieces holds a trigger.
 """
 
 from __future__ import annotations
@@ -132,6 +133,45 @@ def _plans(templates: tuple[tuple[str, str], ...], coverage: float):
     return plans
 
 
+def _regions(starts: list[int], size: int, slack: int) -> list[list[int]]:
+    """Starts in runs that are at most a template apart."""
+    runs: list[list[int]] = []
+    for start in starts:
+        if runs and start - runs[-1][-1] <= size + 2 * slack:
+            runs[-1].append(start)
+        else:
+            runs.append([start])
+    return runs
+
+
+def _matches(words: list[str], template: list[str], starts: list[int], slack: int, needed: float) -> list[tuple[int, int, int]]:
+    """``(matched words, first word, words)`` of each occurrence around some starts.
+
+    Where a template lies in one piece its own length is aligned, then with slack on both sides. What
+    no such window covers is aligned as a whole, so that words put into the middle, however
+    many, do not hide a template whose own words are all there.
+    """
+    size, found, done = len(template), [], -1
+    for start in starts:
+        if start < done:
+            continue
+        for low, high in ((start, start + size), (start - slack, start + size + slack)):
+            low, high = max(0, low, done), min(len(words), high)
+            pairs = align(words[low:high], template) if high - low >= needed else []
+            if len(pairs) >= needed:
+                first, last = low + pairs[0][0], low + pairs[-1][0]
+                found.append((len(pairs), first, last - first + 1))
+                done = last + 1
+                break
+    if not found:
+        low, high = max(0, starts[0] - slack), min(len(words), starts[-1] + size + slack)
+        pairs = align(words[low:high], template) if high - low > size + 2 * slack else []
+        if len(pairs) >= needed:
+            first, last = low + pairs[0][0], low + pairs[-1][0]
+            found.append((len(pairs), first, last - first + 1))
+    return found
+
+
 def scan_text(text: str, templates: tuple[tuple[str, str], ...], coverage: float) -> list[tuple[str, float, int, int]]:
     """``(template, coverage, first word, words)`` of each place where a template reaches the coverage."""
     words = split_words(text)
@@ -144,18 +184,9 @@ def scan_text(text: str, templates: tuple[tuple[str, str], ...], coverage: float
         starts = sorted(
             {place - offset for word, offsets in triggers.items() for place in present.get(word, ()) for offset in offsets}
         )
-        best: list[tuple[float, int, int]] = []
-        done = None
-        for start in starts:
-            if done is not None and start <= done:
-                continue
-            low, high = max(0, start - slack), min(len(words), start + size + slack)
-            pairs = align(words[low:high], template)
-            if len(pairs) >= coverage * size:
-                first, last = low + pairs[0][0], low + pairs[-1][0]
-                best.append((len(pairs) / size, first, last - first + 1))
-                done = first + slack // 2  # other triggers of this occurrence
-        found += [(name, share, first, count) for share, first, count in best]
+        for run in _regions(starts, size, slack):
+            for matched, first, count in _matches(words, template, run, slack, coverage * size):
+                found.append((name, matched / size, first, count))
     return found
 
 
@@ -167,7 +198,8 @@ def scan(
     ``found`` lists template, coverage, first word and number of words of each occurrence in the whole
     text; ``license`` and ``coverage`` are those of the best covered template, longer templates
     first among equals, then by name; without any, ``license`` is null and ``coverage`` 0. Null and
-    empty texts have none. Repeated rows are scanned one by one. An empty table stays empty.
+    empty texts have none. Whole texts of any length are scanned; other columns play no part, whatever
+    their names. Repeated rows are scanned one by one. An empty table stays empty.
     """
     wanted = tuple((templates or TEMPLATES).items())
     sizes = {name: len(split_words(text)) for name, text in wanted}

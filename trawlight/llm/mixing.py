@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawlight.session import materialise
+
 MAX_RATE = 10_000.0
 
 
@@ -67,22 +69,27 @@ def mix_sources(
     """All columns of ``docs`` and ``_copy`` (from 0), each document as often as it was drawn.
 
     Rows with equal ``doc_id`` are drawn alike, null ids too; texts play no part, so null, empty and
-    very long ones are drawn like any other. An empty table stays empty. Columns of the input named
-    ``_copy`` would be replaced; the working columns start with ``_tl_``. A hot source costs nothing
-    extra: rates are a small table per source, and copies are dealt out by a hash of document and copy.
+    very long ones are drawn like any other. An empty table stays empty. A column of the input named
+    ``_copy`` is kept as ``_copy_in``; names that start with ``_tl_`` are taken. A rate above ``MAX_RATE`` raises
+    an error. A hot source costs nothing extra: the rates, a small table per source, are stored first, so
+    the planner knows their size and leaves the documents where they are. Copies are dealt out by a hash
+    of the whole row and the copy, so equal or missing ids do not meet in one task.
     """
+    docs = docs.withColumnsRenamed({"_copy": "_copy_in"})
     rates = source_rates(docs, weights, power, size).select(
         F.col("source").alias("_tl_source"), poisson_cdf(F.col("rate")).alias("_tl_cdf")
     )
+    rates = materialise(rates, "rates")
     drawn = docs.withColumn("_tl_u", uniform(docs["doc_id"], seed)).join(
-        rates, docs["source"].eqNullSafe(F.col("_tl_source"))
+        rates, F.col("source").eqNullSafe(F.col("_tl_source"))
     )
     count = F.size(F.filter("_tl_cdf", lambda total: total <= F.col("_tl_u")))
+    hashed = [name for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     copies = (
         drawn.withColumn("_tl_count", count)
         .where(F.col("_tl_count") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_tl_count") - 1)))
-        .withColumn("_tl_key", F.xxhash64(F.lit(seed), "doc_id", "_copy"))
+        .withColumn("_tl_key", F.xxhash64(F.lit(seed), *[F.col(f"`{name}`") for name in hashed], "_copy"))
     )
     shuffled = copies.repartition("_tl_key").sortWithinPartitions("_tl_key")
-    return shuffled.select(*[docs[name] for name in docs.columns if name != "_copy"], "_copy")
+    return shuffled.select(*[F.col(f"`{name}`") for name in docs.columns], "_copy")

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawlight.session import materialise
+from trawlight.session import materialise, number_and_count
 
 SCALE = 64
 K = 20
-_BLOCK_ROWS = 8192
+_BLOCK_ROWS = 4096
 _QUERY_ROWS = 1024
 _QUERY_GROUP = 64
 _DIMENSIONS = 16
@@ -139,8 +139,9 @@ def top_k(
     2^53. Ties go to the smaller id. A query meets every candidate row with another id. Vectors that
     are null or hold null or non-finite components, and rows without an id, take no part; shorter
     vectors are filled up with zeros. Repeated candidate rows are separate candidates; repeated query rows
-    are answered one by one. Empty tables give no rows. Blocks of queries meet blocks of candidates,
-    each pair in a task of its own; a query keeps k rows per block for the final ranking.
+    are answered one by one. Empty tables give no rows. Other columns play no part. Blocks of queries, which are
+    fewer, are copied to the blocks of candidates, which are moved once; a query keeps k rows per
+    block for the final ranking.
     """
 
     def numbered(rows: DataFrame) -> DataFrame:
@@ -171,13 +172,15 @@ def top_k(
         + [(name, pa.binary()) for name in ("ids", "slots", "cells", "floor")]
     )
     ready = materialise(asked.mapInArrow(floors, _BLOCK + ", floor binary"), "query-floors")
-    numbers = [row["block"] for row in ready.select("block").collect()]
-    if not numbers:
-        numbers = [-1]
-    pairs = held.select(
-        F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])).alias("block"),
-        F.struct("n", "dims", "ids", "cells").alias("held"),
-    ).join(ready.select("block", F.struct("n", "dims", "ids", "slots", "cells", "floor").alias("asked")), "block")
+    blocks_held, count = number_and_count(held.select("block"), ["block"], "number", 0)
+    dealt = held.join(blocks_held, "block").repartition(max(count, 1), "number")
+    copied = ready.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(count, 1) - 1).cast("long"))).alias("number"),
+        F.struct("n", "dims", "ids", "slots", "cells", "floor").alias("asked"),
+    )
+    pairs = dealt.select(F.col("number").cast("long"), F.struct("n", "dims", "ids", "cells").alias("held")).join(
+        copied.repartition(max(count, 1), "number").hint("shuffle_merge"), "number"
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,9 +196,7 @@ def top_k(
                     ["slot", "query_id", "vec_id", "score"],
                 )
 
-    met = pairs.repartition("block", F.xxhash64("held.ids")).mapInArrow(
-        score, "slot long, query_id long, vec_id long, score long"
-    )
+    met = pairs.mapInArrow(score, "slot long, query_id long, vec_id long, score long")
     order = Window.partitionBy("slot", "query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
