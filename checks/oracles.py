@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from checks.tables import STAMP
-from trawlight.functions.text import STRIP_CHARACTERS
-from trawlight.operators.generate import REWRITE_PROMPT, SUMMARY_PROMPT
+# The time of the test documents, the prompts, and the characters that count as white space.
+STAMP = "2024-01-01T00:00:00Z"
+SUMMARY_PROMPT = "Please summarize the following text in 2-3 sentences:\n\n"
+REWRITE_PROMPT = (
+    "Rephrase or improve the following search query for better results, focusing on clarity and effectiveness. "
+    "Return only the improved query, without any preamble or explanation. Original query: "
+)
+STRIP_CHARACTERS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 _sql: dict[str, str] = {}
 
@@ -140,6 +147,13 @@ _sql["page_parse"] = _with(PARSED) + f"""
 SELECT page_id, url, title, text, {snippet('text')} AS snippet, len(list_distinct(hrefs)) AS links FROM parsed
 """
 
+# An unclosed quote before the page takes in a tag; one behind it is never closed and stays text.
+_sql["html_malformed"] = _with(PARSED) + f"""
+SELECT page_id, title, 'rest ' || CASE WHEN text <> '' THEN text || ' ' ELSE '' END || '<a href="/never>left over' AS text,
+    {SITE} || '/torn>gap <b title=' AS first_link, 1 + len(list_distinct(hrefs)) AS links
+FROM parsed
+"""
+
 # Robots: the grammar is followed line by line.
 
 

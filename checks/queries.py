@@ -21,7 +21,7 @@ from trawlight.operators import search as s
 from trawlight.operators.index import (
     build_index, corpus_stats, document_frequencies, document_lengths, read_index, starting_with, update_index, write_index,
 )
-from trawlight.operators.pages import link_edges
+from trawlight.operators.pages import link_edges, page_parse
 from trawlight.plans.crawl_job import Collection, crawl_into, metasearch_query
 from trawlight.session import materialise, number_rows, scratch_path, spread
 from trawlight.sources import documents as store
@@ -167,6 +167,15 @@ def page_parse_(spark, sf_dir):
     return parsed.select("page_id", "url", "title", "text", "snippet", F.size("links").alias("links"))
 
 
+@query
+def html_malformed(spark, sf_dir):
+    """Pages with an unclosed quote at their beginning, and one at their end that nothing closes."""
+    before, after = '<a href="/torn>gap <b title=">rest</b>', '<a href="/never>left <b>over</b>'
+    torn = t.pages(spark, sf_dir).withColumn("html", F.concat(F.lit(before), "html", F.lit(after)))
+    parsed = page_parse(torn)
+    return parsed.select("page_id", "title", "text", F.get("links", 0).alias("first_link"), F.size("links").alias("links"))
+
+
 # Robots
 
 

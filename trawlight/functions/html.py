@@ -22,9 +22,10 @@ HIDDEN = (
 )
 HIDDEN_TEMPLATE = r"<template\b.*?(?:</template\s*>|\z)"
 
-# A tag; a quoted attribute value may contain an angle bracket. The quantifiers are
-# possessive, so a page that ends inside a tag costs one pass and not a search of all splits.
-_ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
+# A tag; a quoted attribute value may contain an angle bracket, and one that is never closed makes
+# its tag plain text. The quantifiers are possessive, so a page that ends inside a tag costs one pass and not
+# a search of all splits.
+_ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|(?!["']))[^>=]*+)*+>"""
 TAG = rf"<[a-z/!?]{_ATTRIBUTES}"
 
 # The start tag of a link, and its target in any of the three quoting styles.

@@ -7,12 +7,9 @@ pages and drops the port, which belongs to the network location.
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Scheme, network location, path, query and fragment of a URL reference.
 URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -160,18 +157,3 @@ def url_resolve(base: Column, href: Column) -> Column:
 def absolute_only(hrefs: Column) -> Column:
     """Without a base URL only absolute web addresses can be kept."""
     return F.filter(hrefs, is_absolute)
-
-
-def url_join_strict(base: Column, href: Column) -> Column:
-    """Join by the standard library, for bases other than http(s); a failing join gives NULL."""
-
-    def join(one_base: str | None, one_href: str | None) -> str | None:
-        try:
-            return None if one_base is None or one_href is None else urljoin(one_base, one_href)
-        except ValueError:
-            return None
-
-    def join_batch(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
-        return pd.Series([join(b, h) for b, h in zip(bases, hrefs)], dtype="object")
-
-    return F.pandas_udf(join_batch, T.StringType())(base, href)

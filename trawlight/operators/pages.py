@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trawlight.functions.html import html_hrefs, html_text, html_title
 from trawlight.functions.text import snippet
 from trawlight.functions.urls import absolute_only, base_parts, join_to, resolve_to
 
-PARSED = [
-    T.StructField("title", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("links", T.ArrayType(T.StringType())),
-]
-
-
 def page_parse(pages: DataFrame, base: str | None = "url") -> DataFrame:
     """Replace ``html`` by ``title``, ``text``, ``links`` and ``snippet``.
 
     Links are resolved against the ``base`` column and kept once, in document order; without a
-    base only absolute web addresses stay. Everything runs inside the scan stage.
+    base only absolute web addresses stay. Broken markup is read as a tolerant tokenizer does: an
+    unclosed quote takes in text up to the next one. Everything runs inside the scan stage.
     """
     html = F.col("html")
     kept = [name for name in pages.columns if name != "html"]
@@ -46,81 +34,6 @@ def page_parse(pages: DataFrame, base: str | None = "url") -> DataFrame:
     )
 
 
-def page_parse_strict(pages: DataFrame, base: str | None = "url") -> DataFrame:
-    """The same result from an HTML tokenizer in Arrow batches, for badly broken markup.
-
-    A page that cannot be parsed is dropped.
-    """
-    kept = [field for field in pages.schema.fields if field.name != "html"]
-    names = [field.name for field in kept]
-
-    class PageReader(HTMLParser):
-        hidden = ("script", "style", "template")
-
-        def __init__(self) -> None:
-            super().__init__(convert_charrefs=True)
-            self.depth, self.pending, self.nodes = 0, "", []
-            self.title, self.title_open, self.hrefs = None, False, []
-
-        def end_node(self) -> None:
-            node, self.pending = self.pending.strip(), ""
-            if self.title_open and self.title is None:
-                self.title = node
-            if node and not self.depth:
-                self.nodes.append(node)
-
-        def handle_starttag(self, tag, attrs):
-            self.end_node()
-            self.depth += tag in self.hidden
-            self.title_open = self.title_open or (tag == "title" and self.title is None)
-            href = dict(attrs).get("href") if tag == "a" else None
-            if href:
-                self.hrefs.append(href)
-
-        def handle_endtag(self, tag):
-            self.end_node()
-            self.depth -= tag in self.hidden and self.depth > 0
-            self.title_open = self.title_open and tag != "title"
-
-        def handle_comment(self, data):
-            self.end_node()
-
-        handle_decl = handle_pi = handle_comment
-
-        def handle_data(self, data):
-            self.pending += data
-
-    def read(html: str, base_url: str | None):
-        reader = PageReader()
-        reader.feed(html)
-        reader.close()
-        reader.end_node()
-        links = {}
-        for href in reader.hrefs:
-            if href.startswith(("http://", "https://")):
-                links[href] = None
-            elif base_url:
-                links[urljoin(base_url, href)] = None
-        return reader.title or "", " ".join(reader.nodes), list(links)
-
-    def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bases = batch[base] if base else [None] * len(batch)
-            parsed = []
-            for html, base_url in zip(batch["html"], bases):
-                try:
-                    parsed.append(read(html, base_url))
-                except Exception:
-                    parsed.append(None)
-            good = [row is not None for row in parsed]
-            out = batch.loc[good, names].reset_index(drop=True)
-            rows = pd.DataFrame([row for row in parsed if row is not None], columns=["title", "text", "links"])
-            yield pd.concat([out, rows], axis=1)
-
-    schema = T.StructType([*kept, *PARSED])
-    return pages.mapInPandas(read_batches, schema).withColumn("snippet", snippet(F.col("text")))
-
-
 def link_edges(parsed: DataFrame) -> DataFrame:
     """``(src_url, pos, dst_url)``: one row per distinct link of a page, joined as for a fetch."""
     based = parsed.select(F.col("url").alias("src_url"), base_parts(F.col("url")).alias("_base"), "links")

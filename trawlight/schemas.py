@@ -21,18 +21,3 @@ SEARCH_HIT = T.StructType(
     ]
     + [T.StructField("rank", T.DoubleType())]
 )
-
-ENGINE_RESULT = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("engine", T.StringType()),
-        T.StructField("position", T.LongType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("snippet", T.StringType()),
-    ]
-)
-
-MESSAGES = T.ArrayType(
-    T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-)
