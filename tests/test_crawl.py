@@ -3,10 +3,15 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from trawlight.operators import crawl as C
-from trawlight.plans.crawl_job import run_crawl, table_engine
+from trawlight.operators.crawl import first_enqueued
+from trawlight.operators.index import corpus_stats
+from trawlight.operators.match import match_term
+from trawlight.operators.search import search
+from trawlight.plans.crawl_job import Collection, crawl_into, page_table, run_crawl, table_engine
 from trawlight.sources.engines import engine_results
 
 STAMP = "2024-01-01T00:00:00Z"
@@ -150,3 +155,99 @@ def test_disallowed_pages_are_attempts_without_content(spark):
     assert [(r.url, r.ok) for r in job.crawl.visited.orderBy("pos").collect()] == [
         ("http://a.org/private/x", False), ("http://a.org/y", True), ("mailto:me", False),
     ]
+
+
+def noisy_backend(folder):
+    """Answers at random and writes down each prompt that it sees."""
+
+    def make(model=None, **options):
+        import uuid
+        from pathlib import Path
+
+        def answer(batch):
+            for messages in batch:
+                (Path(folder) / uuid.uuid4().hex).write_text(messages[-1]["content"], encoding="utf-8")
+            return [uuid.uuid4().hex for _ in batch]
+
+        return answer
+
+    return make
+
+
+def test_a_page_has_one_summary_and_a_search_one_wording(spark, tmp_path):
+    prompts = tmp_path / "prompts"
+    prompts.mkdir()
+    pages = store(spark, [(f"http://a.org/{n}", 200, f"<title>T{n}</title><p>text {n}</p>") for n in range(6)])
+    asked = []
+
+    def engine(name):
+        def results(queries):
+            asked.append({row["query_id"]: row["query"] for row in queries.collect()})
+            return engine_results(queries.select("query_id", F.lit(1).cast("bigint").alias("position"), F.lit("t").alias("title"), F.concat(F.lit(f"http://{name}.org/"), "query").alias("href"), F.lit("b").alias("body")), name)
+
+        return results
+
+    job = run_crawl(
+        pages, seeds(spark, *(f"http://a.org/{n}" for n in range(6))), STAMP, "fetchbot", max_depth=0,
+        make_backend=noisy_backend(str(prompts)), metasearch_interval=2,
+        engines=lambda queries: [engine("google")(queries), engine("duckduckgo")(queries)],
+    )
+    first, second = ({d.url: d.llm_summary for d in job.documents.collect()} for _ in range(2))
+    assert first == second and len(set(first.values())) == 6
+    assert asked[0] == asked[1]
+    seen = [path.read_text(encoding="utf-8") for path in prompts.iterdir()]
+    # Six pages and three searches; each search is worded from the summary that its page keeps.
+    assert len(seen) == len(set(seen)) == 9
+    assert sum(any(prompt.endswith(summary) for summary in first.values()) for prompt in seen) == 3
+
+
+def test_two_crawls_into_one_collection(spark, tmp_path):
+    html = "<title>{t}</title><p>{w}</p>"
+    collection = Collection(str(tmp_path / "collection"))
+    first = store(spark, [(f"http://a.org/{n}", 200, html.format(t=f"page {n}", w=f"old word{n}")) for n in range(5)])
+    later = store(spark, [(f"http://a.org/{n}", 200, html.format(t=f"page {n}", w=f"new word{n}")) for n in range(3, 8)])
+    crawl_into(collection, first, seeds(spark, *(f"http://a.org/{n}" for n in range(5))), STAMP, "fetchbot")
+    job = crawl_into(collection, later, seeds(spark, *(f"http://a.org/{n}" for n in range(3, 8))), "later", "fetchbot")
+    documents = collection.documents(spark).rows.collect()
+    numbers = {d.url: d.ingest_seq for d in documents}
+    assert len(documents) == len(numbers) == len(set(numbers.values())) == 8
+    assert sorted(numbers.values()) == [1, 2, 3, 6, 7, 8, 9, 10]
+    index = collection.index(spark)
+    found = lambda word: sorted(hit.url for hit in search(match_term(index, word), collection.documents(spark)).collect())
+    assert found("old") == [f"http://a.org/{n}" for n in range(3)]
+    assert found("new") == [f"http://a.org/{n}" for n in range(3, 8)]
+    before = corpus_stats(index).first()
+    assert before.documents == 8
+    collection.ingest(job.documents)  # repeated after a failure
+    assert {d.url: d.ingest_seq for d in collection.documents(spark).rows.collect()} == numbers
+    assert corpus_stats(collection.index(spark)).first() == before
+
+
+def test_raw_pages_are_never_moved(spark):
+    pages = store(spark, [("http://a.org/x", 200, "<p>x</p>"), ("http://a.org/y", 200, "<p>y</p>")])
+    robots = spark.createDataFrame(
+        [("a.org", 1, 200, "User-agent: *\nDisallow: /x")], "netloc string, seq bigint, status int, text string"
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parsed = page_table(pages, robots, "fetchbot")
+        plan = parsed._jdf.queryExecution().executedPlan().toString()
+        assert [row.url for row in parsed.collect()] == ["http://a.org/y"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Below the exchange of the parsed pages stands the parsing, so nothing above it has the raw page.
+    above = plan.split("Exchange hashpartitioning(url")[0]
+    assert "Exchange" in plan and "html#" not in above
+
+
+def test_queue_places_need_no_sort(spark):
+    entries = spark.createDataFrame(
+        [("u", 7, 1, 2, 0), ("u", 7, 0, 9, 3), ("u", 9, 0, 0, 1), ("v", (1 << 38) - 1, 1, (1 << 24) - 1, 2)],
+        "url string, parent_pos bigint, kind int, idx int, depth int",
+    )
+    first = first_enqueued(entries)
+    assert sorted(map(tuple, first.collect())) == [("u", 7, 0, 9, 3), ("v", (1 << 38) - 1, 1, (1 << 24) - 1, 2)]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    with pytest.raises(Exception):
+        first_enqueued(entries.withColumn("idx", F.lit(1 << 24))).collect()
