@@ -139,11 +139,13 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     if radius not in (0, 2, 4):
         raise ValueError("the radius is 0, 2 or 4")
     masks = F.array(*[F.lit(mask).cast("long") for mask in covering_masks(radius)])
+    # A slot is a hash of table and key, which moves fewer bytes; a collision puts more fingerprints
+    # together, whose distances are compared in any case.
+    table, key = F.col("table"), F.col("fp").bitwiseAND(F.col("mask"))
     slots = distinct.select(*by, "fp", F.posexplode(masks).alias("table", "mask")).select(
-        *by, "table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
+        *by, F.xxhash64(*by, table, key).alias("slot"), "fp"
     )
-    place = [*by, "table", "key"]
-    sizes = slots.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = materialise(sizes, "buckets")
     largest = sizes.agg(F.max("n")).first()[0] or 0
 
@@ -159,12 +161,12 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
             ends = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
             yield pa.RecordBatch.from_arrays([*own, *ends], [*batch.schema.names[:-1], "a", "b"])
 
-    small = slots.join(sizes.where(F.col("n") <= bucket), place)
-    groups = small.groupBy(*place).agg(F.collect_list("fp").alias("members")).select(*by, "members")
+    small = slots.join(sizes.where(F.col("n") <= bucket), "slot")
+    groups = small.groupBy(*by, "slot").agg(F.collect_list("fp").alias("members")).select(*by, "members")
     kinds = [f"{name} {distinct.schema[name].dataType.simpleString()}" for name in by]
     links = groups.mapInArrow(link, ", ".join([*kinds, "a long", "b long"]))
     if largest > bucket:
-        crowded = slots.join(sizes.where(F.col("n") > bucket), place).select(*by, "fp").distinct()
+        crowded = slots.join(sizes.where(F.col("n") > bucket), "slot").select(*by, "fp").distinct()
         links = links.unionByName(midpoint_links(crowded, radius, by))
     return links.distinct()
 
@@ -236,7 +238,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def first_of_groups(docs: DataFrame, row: str, width: int = 5, count: int = 8, radius: int = RADIUS) -> DataFrame:
+def first_of_groups(docs: DataFrame, row: str, width: int = 5, count: int = 4, radius: int = RADIUS) -> DataFrame:
     """``row`` of one document of each group of near-duplicates: of the smallest ``doc_id``, then the smallest ``row``.
 
     ``row`` is a column that numbers the rows of ``docs``, so repeated and null ids do not matter; an id comes
