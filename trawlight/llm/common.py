@@ -48,6 +48,11 @@ def columns_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[
             yield [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
 
 
+def release_memory() -> None:
+    """Give the unused Arrow memory of a worker back at the end of a task, as the worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def batches_of(schema: pa.Schema, rows: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(rows[field.name], type=field.type) for field in schema], schema=schema

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from trawlight.llm.common import release_memory
 from trawlight.session import materialise
 
 # The characters that count as symbols.
@@ -224,6 +225,7 @@ def with_measures(docs: DataFrame, files: tuple[str, str, str] | None = None) ->
                 columns = [*batch.columns, *(pa.array(found[name], _ARROW[name]) for name in added)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *(f"_tl_{name}" for name in added)])
         _vocabularies(files).known.clear()  # the worker goes on to other stages
+        release_memory()
 
     schema = StructType([*docs.schema, *(StructField(f"_tl_{name}", _TYPES[name]) for name in added)])
     return docs.mapInArrow(measure, schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawlight.llm.common import doc_text, lower_words_of
+from trawlight.llm.common import doc_text, lower_words_of, release_memory
 from trawlight.session import materialise
 
 RADIUS = 4
@@ -256,6 +256,7 @@ def first_of_groups(docs: DataFrame, row: str, width: int = 5, count: int = 4, r
                 [batch.column(0), batch.column(1).cast(pa.int64()), pa.array(list(signed), pa.list_(pa.int64()))],
                 ["row", "doc_id", "fps"],
             )
+        release_memory()
 
     narrow = docs.select(F.col(row).cast("long"), docs["doc_id"], docs["text"])
     stored = materialise(narrow.mapInArrow(hashed, "row long, doc_id long, fps array<long>"), "families")
