@@ -14,14 +14,23 @@ from trawlight.llm.common import table
 from trawlight.llm.tokens import default_vocabulary
 from trawlight.session import materialise
 
+BATCH_ROWS = 1000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, so a batch that goes to Python or back has ``BATCH_ROWS`` of them, not the 10,000 of narrow rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose tokenizer fertility fits their language."""
+    _short_batches(spark)
     return fertility.keep_good(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted documents is low enough."""
+    _short_batches(spark)
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -32,6 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows are numbered and stored first, so that the numbers hold; texts are not shuffled. An
     empty table stays empty.
     """
+    _short_batches(spark)
     numbered = materialise(docs.withColumn("_tl_row", F.monotonically_increasing_id()), "numbered-documents")
     first = materialise(simhash.first_of_groups(numbered, "_tl_row"), "first-of-group")
     return numbered.join(first, "_tl_row", "left_semi").select(*docs.columns)
@@ -44,6 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in a sequence of tokens."""
+    _short_batches(spark)
     return packing.pack_documents(docs, default_vocabulary())
 
 
