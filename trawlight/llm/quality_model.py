@@ -1,11 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is fitted on a bounded sample of trusted documents. Counting is Spark work: trigram
-counts, continuation counts, discounts and interpolation are aggregations and joins, sharded by
-n-gram and context. The size of the finished tables is bounded by the sample, so they are sorted
-once, broadcast, and joined to the n-grams of all documents batch by batch where the texts are;
-joining by shuffle would move every n-gram of the corpus. A document is kept if its perplexity is
-at most a quantile of the trusted documents of its language that the model has not seen.
+The model is fitted on all trusted documents but those held out for the limits. Counting is Spark
+work: trigram counts, continuation counts, discounts and interpolation are aggregations and joins,
+sharded by n-gram and context. Finished tables of up to ``BROADCAST_NGRAMS`` rows are sorted once,
+broadcast, and joined to the n-grams of all documents batch by batch where the texts are. Larger ones
+stay sharded. Then a text's log probability is written as a sum of weights of its words, bigrams and
+trigrams, and one join by n-gram finds them. A document is kept if its perplexity is at most a
+quantile of the trusted documents of its language that the model has not seen.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from trawlight.llm.common import release_memory
 from trawlight.session import materialise
 
-TRAIN_DOCS = 2000
-TRAIN_CHARS = 50_000
+# Tables with more rows than this are joined by shuffle; with fewer, the driver and the workers hold them.
+BROADCAST_NGRAMS = 4_000_000
 QUANTILE = 0.99
 SLACK = 1.25
 MIN_WORDS = 20
@@ -143,9 +144,31 @@ def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     return values[places] if len(values) else np.zeros(len(places))
 
 
+@dataclass
+class Tables:
+    """The same model as stored tables: ``words (w3, p, back)``, ``pairs (a, b, p, lower, back)``, ``triples (w1, w2, w3, p, lower)``.
+
+    ``back`` is the mass that a word or pair leaves as a context, ``lower`` what an n-gram's probability would be
+    by its context's mass and the next shorter n-gram. Padding is the word 0.
+    """
+
+    words: DataFrame
+    pairs: DataFrame
+    triples: DataFrame
+    unknown: float
+
+    def size(self) -> int:
+        return sum(table.count() for table in (self.words, self.pairs, self.triples))
+
+
 def fit(texts: DataFrame) -> Model:
+    """The model of the ``text`` column in memory; its size must suit the driver."""
+    return _in_memory(fit_tables(texts))
+
+
+def fit_tables(texts: DataFrame) -> Tables:
     """Interpolated modified Kneser-Ney of order 3 over the ``text`` column. Without words every
-    word is unknown. ``texts`` must be of bounded size: the tables reach the driver."""
+    word is unknown."""
     tri = materialise(trigrams(texts), "trigrams")
     # A lower order counts the different words before an n-gram; nothing stands before padding.
     bi = materialise(
@@ -160,31 +183,36 @@ def fit(texts: DataFrame) -> Model:
     size, total, held = size or 0, total or 1, held or 1.0
     unknown = held / total / (size + 1)
 
-    def interpolated(counts: DataFrame, context: list[str], d: list[float]) -> DataFrame:
-        over = Window.partitionBy(*context)
-        mass = F.sum(_discount(d)).over(over) / F.sum("c").over(over)
-        own = (F.col("c") - _discount(d)) / F.sum("c").over(over)
-        return counts.select(*context, "w3", own.alias("own"), mass.alias("mass"))
-
+    mass = F.sum(_discount(d2)) / F.sum("c")
+    contexts = materialise(bi.groupBy("w2").agg(F.sum("c").alias("sum"), mass.alias("mass")), "contexts")
     uni_p = uni.select("w3", ((F.col("c") - _discount(d1)) / total + unknown).alias("p"))
-    bi_own = interpolated(bi, ["w2"], d2)
+    own = (F.col("c") - _discount(d2)) / F.col("sum")
     bi_p = materialise(
-        bi_own.join(uni_p, "w3").select("w2", "w3", (F.col("own") + F.col("mass") * F.col("p")).alias("p"), "mass"),
+        bi.join(contexts, "w2")
+        .join(uni_p, "w3")
+        .select("w2", "w3", (own + F.col("mass") * F.col("p")).alias("p"), (F.col("mass") * F.col("p")).alias("lower")),
         "bigram-p",
     )
+    over = Window.partitionBy("w1", "w2")
+    own = (F.col("c") - _discount(d3)) / F.sum("c").over(over)
     tri_p = materialise(
-        interpolated(tri, ["w1", "w2"], d3)
-        .join(bi_p.select("w2", "w3", "p"), ["w2", "w3"])
-        .select("w1", "w2", "w3", (F.col("own") + F.col("mass") * F.col("p")).alias("p"), "mass"),
+        tri.select("w1", "w2", "w3", own.alias("own"), (F.sum(_discount(d3)).over(over) / F.sum("c").over(over)).alias("mass"))
+        .join(bi_p.drop("lower"), ["w2", "w3"])
+        .select(
+            *["w1", "w2", "w3"],
+            (F.col("own") + F.col("mass") * F.col("p")).cast("float").alias("p"),
+            F.col("mass").cast("float").alias("mass"),
+            (F.col("mass") * F.col("p")).cast("float").alias("lower"),
+        ),
         "trigram-p",
     )
-    words = uni_p.join(bi_p.groupBy(F.col("w2").alias("w3")).agg(F.first("mass").alias("back")), "w3", "full")
-    pairs = bi_p.select(F.col("w2").alias("a"), F.col("w3").alias("b"), "p").join(
+    words = uni_p.join(contexts.select(F.col("w2").alias("w3"), F.col("mass").alias("back")), "w3", "full")
+    pairs = bi_p.select(F.col("w2").alias("a"), F.col("w3").alias("b"), "p", "lower").join(
         tri_p.groupBy(F.col("w1").alias("a"), F.col("w2").alias("b")).agg(F.first("mass").alias("back")),
         ["a", "b"],
         "full",
     )
-    return _tables(words, pairs, tri_p, unknown)
+    return Tables(materialise(words, "words"), materialise(pairs, "pairs"), tri_p, unknown)
 
 
 def _columns(table: DataFrame, keys: list[str], logs: list[str], empty: dict[str, float]) -> list[np.ndarray]:
@@ -194,7 +222,8 @@ def _columns(table: DataFrame, keys: list[str], logs: list[str], empty: dict[str
     return [found.column(name).to_numpy() for name in (*keys, *logs)]
 
 
-def _tables(words: DataFrame, pairs: DataFrame, triples: DataFrame, unknown: float) -> Model:
+def _in_memory(tables: Tables) -> Model:
+    words, pairs, triples, unknown = tables.words, tables.pairs, tables.triples, tables.unknown
     hashes, word_p, word_back = _columns(words, ["w3"], ["p", "back"], {"p": unknown})
     is_pad = hashes == _PAD
     pad_back = word_back[is_pad][:1] if is_pad.any() else np.zeros(1, "f4")
@@ -257,8 +286,114 @@ def perplexity() -> Column:
     return F.when(F.col("_tl_n") > 0, F.exp(-F.col("_tl_log_p") / F.col("_tl_n")))
 
 
-def scores(docs: DataFrame, model: Model | Broadcast) -> DataFrame:
+def _features(texts: DataFrame) -> DataFrame:
+    """``(slot, key, times)``: words, bigrams and trigrams of texts ``(slot, text)`` that look up a weight.
+
+    ``times`` is how often an n-gram ends with a word of the text, times 2**32, plus how often it
+    is the context of the next one.
+    """
+    schema = "slot long, w1 long, w2 long, w3 long, times long"
+    names = ["slot", "w1", "w2", "w3", "times"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for block in text_blocks(batch.column(1)):
+                slots = batch.column(0).slice(first, len(block)).to_numpy()
+                first += len(block)
+                hashes, codes, bounds = _word_codes(block)
+                if not len(codes):
+                    continue
+                words, owner = hashes[codes], np.repeat(np.arange(len(block)), np.diff(bounds))
+                before, earlier = _history(words, bounds, 1, _PAD), _history(words, bounds, 2, _PAD)
+                begins = bounds[:-1][np.diff(bounds) > 0]
+                goes_on = np.ones(len(words), np.int64)
+                goes_on[bounds[1:][np.diff(bounds) > 0] - 1] = 0
+                # Of a text's words each once, and the padding in front of it as contexts.
+                coded = owner * len(hashes) + codes
+                distinct, inverse = np.unique(coded, return_inverse=True)
+                ends, follows = np.bincount(inverse), np.bincount(inverse, goes_on).astype(np.int64)
+                at = slots[owner]
+                pads = slots[owner[begins]]
+                zero = np.zeros(len(begins), np.int64)
+                unigrams = [
+                    np.concatenate([slots[distinct // len(hashes)], pads]),
+                    None,
+                    None,
+                    np.concatenate([hashes[distinct % len(hashes)], zero]),
+                    np.concatenate([(ends << 32) + follows, zero + 1]),
+                ]
+                bigrams = [
+                    np.concatenate([at, pads]),
+                    None,
+                    np.concatenate([before, zero]),
+                    np.concatenate([words, zero]),
+                    np.concatenate([(1 << 32) + goes_on, zero + 1]),
+                ]
+                for columns in (unigrams, bigrams, [at, earlier, before, words, np.full(len(words), 1 << 32)]):
+                    arrays = [pa.nulls(len(columns[0]), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+        release_memory()
+
+    return texts.select("slot", "text").mapInArrow(found, schema).select("slot", _key("w1", "w2", "w3"), "times")
+
+
+def _key(*words: str | Column) -> Column:
+    """An n-gram's hash; null words, in front, are left out."""
+    return F.xxhash64(*words).alias("key")
+
+
+def _weights(model: Tables) -> DataFrame:
+    """``(key, ends, follows)``: what an n-gram adds to a log probability where it ends, and where it is a context.
+
+    A word counts from the unknown word on, a bigram from the probability that its word has after the
+    context's mass, a trigram from that of its bigram. So the sum over all known n-grams that end with a word is
+    the logarithm of the interpolated probability of the longest one.
+    """
+    none, zero = F.lit(None).cast("long"), F.lit(0.0)
+    left, above = F.coalesce(F.ln("back"), zero), F.coalesce(F.ln("p") - F.ln("lower"), zero)
+    one = model.words.withColumn("lower", F.lit(model.unknown)).select(_key(none, none, "w3"), above.alias("ends"), left.alias("follows"))
+    two = model.pairs.select(_key(none, "a", "b"), above.alias("ends"), left.alias("follows"))
+    three = model.triples.select(_key("w1", "w2", "w3"), above.alias("ends"), zero.alias("follows"))
+    return one.unionByName(two).unionByName(three)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, lang, slot, _tl_n)`` of every row, stored; ``slot`` is a hash of the text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [np.diff(_word_codes(block)[2]) for block in text_blocks(batch.column(3))]
+            if numbers:
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(np.concatenate(numbers), pa.int64())], ["doc_id", "lang", "slot", "_tl_n"]
+                )
+
+    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("slot"), "text")
+    schema = StructType([*rows.schema.fields[:3], StructField("_tl_n", LongType())])
+    return materialise(rows.mapInArrow(count, schema), "counted-texts")
+
+
+def _joined_scores(docs: DataFrame, model: Tables) -> DataFrame:
+    """``(doc_id, lang, slot, _tl_n, _tl_perplexity)`` of every row, stored; n-grams are joined to the model's.
+
+    Copies of a text add up in one slot, their words as their logarithms.
+    """
+    rows = _counted(docs)
+    ends, follows = F.shiftright("times", 32), F.col("times").bitwiseAND(F.lit((1 << 32) - 1))
+    asked = _features(docs.select(F.xxhash64("text").alias("slot"), "text")).select("slot", "key", "times")
+    known = asked.join(_weights(model), "key").groupBy("slot").agg(F.sum(ends * F.col("ends") + follows * F.col("follows")).alias("known"))
+    words = rows.groupBy("slot").agg(F.sum("_tl_n").alias("words"))
+    mean = F.coalesce("known", F.lit(0.0)) / F.col("words") + math.log(model.unknown)
+    scored = words.where("words > 0").join(known, "slot", "left").select("slot", F.exp(-mean).alias("_tl_perplexity"))
+    scored = materialise(scored, "text-perplexities")
+    return materialise(rows.join(scored, "slot", "left").select("doc_id", "lang", "slot", "_tl_n", "_tl_perplexity"), "scores")
+
+
+def scores(docs: DataFrame, model: Model | Broadcast | Tables) -> DataFrame:
     """``(doc_id, lang, _tl_n, _tl_perplexity)`` of every row, stored; texts are not moved."""
+    if isinstance(model, Tables):
+        return _joined_scores(docs, model).drop("slot")
     scored = with_scores(docs.select(docs["doc_id"], docs["lang"], docs["text"]), model)
     return materialise(scored.select("doc_id", "lang", "_tl_n", perplexity().alias("_tl_perplexity")), "scores")
 
@@ -288,34 +423,31 @@ def _held_out(known: DataFrame) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS
-) -> tuple[Model, DataFrame]:
+    docs: DataFrame, labels: DataFrame, train_docs: int | None = None, broadcast_ngrams: int = BROADCAST_NGRAMS
+) -> tuple[Model | Tables, DataFrame]:
     """A model of trusted documents (``quality`` 1 in ``labels``), and the ids it was fitted on.
 
-    The sample are the ``train_docs`` trusted documents of up to ``train_chars`` characters with the
-    smallest hash of ``doc_id``; this bounds the model. Documents held out for the thresholds are
-    never among them.
+    These are all trusted documents, of any length, that are not held out for the thresholds;
+    with ``train_docs`` only so many, those with the smallest hash of ``doc_id``. A model of more than
+    ``broadcast_ngrams`` n-grams is returned as tables.
     """
     trusted = _trusted(labels)
-    sizes = docs.select(
-        docs["doc_id"].alias("_tl_doc"),
-        docs["lang"].alias("_tl_lang"),
-        F.length(docs["text"]).alias("_tl_chars"),
-        docs["text"].rlike(_JUDGED).alias("_tl_long"),
+    facts = docs.select(
+        docs["doc_id"].alias("_tl_doc"), docs["lang"].alias("_tl_lang"), docs["text"].rlike(_JUDGED).alias("_tl_long")
     )
-    known = materialise(trusted.join(sizes, F.col("_tl_id") == F.col("_tl_doc")).drop("_tl_doc"), "trusted")
+    known = materialise(trusted.join(facts, F.col("_tl_id") == F.col("_tl_doc")).drop("_tl_doc"), "trusted")
     sample = (
         _held_out(known)
         .groupBy("_tl_id")
-        .agg(F.max("_tl_held").alias("_tl_held"), F.min("_tl_chars").alias("_tl_chars"))
-        .where(~F.col("_tl_held") & (F.col("_tl_chars") <= train_chars))
+        .agg(F.max("_tl_held").alias("_tl_held"))
+        .where(~F.col("_tl_held"))
         .select("_tl_id")
-        .orderBy(F.xxhash64("_tl_id"), "_tl_id")
-        .limit(train_docs)
     )
+    if train_docs is not None:
+        sample = sample.orderBy(F.xxhash64("_tl_id"), "_tl_id").limit(train_docs)
     sample = materialise(sample, "sample")
-    texts = docs.where(F.length(docs["text"]) <= train_chars)
-    return fit(texts.join(sample, docs["doc_id"] == sample["_tl_id"], "left_semi").select(docs["text"])), sample
+    tables = fit_tables(docs.join(sample, docs["doc_id"] == sample["_tl_id"], "left_semi").select(docs["text"]))
+    return (tables if tables.size() > broadcast_ngrams else _in_memory(tables)), sample
 
 
 def thresholds(
@@ -377,9 +509,16 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns (none may start with ``_tl_``).
 
-    Texts are scored twice, for the thresholds and to filter, so they are never shuffled.
+    With a model in memory texts are scored twice, for the thresholds and to filter, so they are
+    not shuffled; else they are joined to the hashes of those to keep.
     """
     model, sample = train(docs, labels, **options)
+    if isinstance(model, Tables):
+        scored = _joined_scores(docs, model)
+        judged = _judged(scored, *thresholds(scored, labels, sample, quantile, slack)).where("_tl_kept")
+        kept = materialise(judged.select(F.col("slot").alias("_tl_slot"), F.col("lang").alias("_tl_of")).distinct(), "kept-texts")
+        same = (F.xxhash64(docs["text"]) == F.col("_tl_slot")) & docs["lang"].eqNullSafe(F.col("_tl_of"))
+        return docs.join(kept, same, "left_semi").select(*docs.columns)
     model = docs.sparkSession.sparkContext.broadcast(model)
     limits = thresholds(scores(docs, model), labels, sample, quantile, slack)
     scored = with_scores(docs, model).withColumn("_tl_perplexity", perplexity())
