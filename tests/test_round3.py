@@ -1,8 +1,10 @@
-"""Whole training of the quality classifier."""
+"""Whole training of the quality classifier; what index and batch search move."""
 
 from pyspark.sql import functions as F
 
 from trawlight.llm import quality_model
+from trawlight.operators.index import read_index, write_index
+from trawlight.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,31 @@ def test_a_sharded_quality_model_scores_like_one_in_memory(spark):
     some = quality_model.keep_good(docs, labels, broadcast_ngrams=0)
     assert some.columns == docs.columns
     assert sorted(row["doc_id"] or 0 for row in some.collect()) == sorted(number or 0 for number in kept)
+
+
+def test_an_index_of_short_ranges_moves_texts_and_not_postings(spark, monkeypatch):
+    texts = spark.range(90).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"),
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda n: F.concat(F.lit("w"), (F.col("id") * n % 97).cast("string")))).alias("body"),
+        F.col("id").alias("ingest_seq"),
+    )
+    moved = []
+    repartition = type(texts).repartition
+
+    def noted(frame, *by):
+        moved.append(frame.columns)
+        return repartition(frame, *by)
+
+    monkeypatch.setattr(type(texts), "repartition", noted)
+    found = []
+    for range_rows in (20, 1 << 20):
+        path = scratch_path(spark, "short-ranges")
+        write_index(texts, path, buckets=4, range_rows=range_rows)
+        index = read_index(spark, path)
+        terms = index.terms.groupBy("term").agg(F.sum("df"), F.sum("length"), F.max("most"), F.min("shortest"))
+        rows = index.postings.select("term", "doc_id", "dl", "tf", F.col("places").cast("string"), "term_bucket")
+        found.append((sorted(rows.collect()), sorted(terms.collect())))
+        files = index.postings.select(F.input_file_name().alias("file"), "seq_range", "term_bucket").distinct()
+        assert files.count() == files.select("seq_range", "term_bucket").distinct().count()
+    assert found[0] == found[1] and len(found[0][0]) > 90
+    assert not any("places" in columns for columns in moved[:2]) and any("places" in columns for columns in moved[2:])
