@@ -200,8 +200,8 @@ def fit_tables(texts: DataFrame) -> Tables:
         .join(bi_p.drop("lower"), ["w2", "w3"])
         .select(
             *["w1", "w2", "w3"],
-            (F.col("own") + F.col("mass") * F.col("p")).cast("float").alias("p"),
-            F.col("mass").cast("float").alias("mass"),
+            (F.col("own") + F.col("mass") * F.col("p")).alias("p"),
+            "mass",
             (F.col("mass") * F.col("p")).cast("float").alias("lower"),
         ),
         "trigram-p",
