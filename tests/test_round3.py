@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trawlight.llm import quality_model
+from trawlight.operators import search
 from trawlight.operators.index import read_index, write_index
 from trawlight.session import scratch_path
 
@@ -74,3 +75,29 @@ def test_an_index_of_short_ranges_moves_texts_and_not_postings(spark, monkeypatc
         assert files.count() == files.select("seq_range", "term_bucket").distinct().count()
     assert found[0] == found[1] and len(found[0][0]) > 90
     assert not any("places" in columns for columns in moved[:2]) and any("places" in columns for columns in moved[2:])
+
+
+def test_a_batch_search_moves_only_the_lists_of_its_queries(spark, monkeypatch):
+    texts = spark.range(60).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"),
+        F.concat(F.lit("common w"), (F.col("id") % 7).cast("string"), F.lit(" x"), F.col("id").cast("string")).alias("body"),
+        F.col("id").alias("ingest_seq"),
+    )
+    path = scratch_path(spark, "batch-lists")
+    write_index(texts, path, buckets=1, range_rows=20)
+    queries = spark.createDataFrame([(1, "common x25"), (2, "w3 common"), (3, "absent common")], "query_id long, query string")
+    stored = {}
+
+    def noted(df, label, *more, keep=search.materialise):
+        table = keep(df, label, *more)
+        stored.setdefault(label, []).append(table)
+        return table
+
+    monkeypatch.setattr(search, "materialise", noted)
+    hits = search.search_batch(queries, read_index(spark, path), limit=2)
+    assert {(row["query_id"], row["doc_id"]) for row in hits.collect()} == {(1, 25), (2, 3), (2, 10)}
+    lists = [{(row["seq_range"], row["term"]) for row in table.collect()} for table in stored["needed-lists"]]
+    # In the first round a range has only the terms of the queries that are best there.
+    assert all(term in ("common", "x25", "w3") for some in lists for _, term in some)
+    assert {place for place, term in lists[0] if term == "x25"} == {1} and len(lists[0]) <= 4
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2

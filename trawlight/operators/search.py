@@ -58,7 +58,8 @@ def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT) -
     counted = tokenised.groupBy("query_id", "term").agg(F.count("*").alias("weight"))
     # Stored, so that the planner knows its size and broadcasts it to the index if it is small.
     wanted = materialise(counted, "query-terms")
-    held = index.terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    words = materialise(wanted.select("term").distinct(), "query-words")
+    held = index.terms.join(words, "term", "left_semi")
     held = materialise(held, "query-dictionary")
     postings = index.postings
     if index.buckets:
@@ -89,10 +90,15 @@ def search_batch(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT) -
 
     def matches(ranges: DataFrame) -> DataFrame:
         """``(query_id, doc_id, score)`` of all documents of some ``(query_id, seq_range, rarest)``."""
+        # Only the lists of a range's queries are moved; stored, so that a small table of them is broadcast.
+        needed = ranges.join(weighed.select("query_id", "term"), "query_id").select(RANGE, "term").distinct()
+        needed = materialise(needed, "needed-lists")
+        lists = postings.select(RANGE, "term", "doc_id", "tf", "dl").join(words, "term", "left_semi")
+        lists = lists.join(needed, [RANGE, "term"], "left_semi")
         starts = ranges.select("query_id", RANGE, F.col("rarest").alias("term"))
-        candidates = starts.join(postings.select(RANGE, "term", "doc_id"), [RANGE, "term"]).select("query_id", RANGE, "doc_id")
+        candidates = starts.join(lists.select(RANGE, "term", "doc_id"), [RANGE, "term"]).select("query_id", RANGE, "doc_id")
         looked_up = candidates.join(weighed.select("query_id", "term", "gain", "terms"), "query_id")
-        found = looked_up.join(postings.select(RANGE, "term", "doc_id", "tf", "dl"), [RANGE, "term", "doc_id"])
+        found = looked_up.join(lists, [RANGE, "term", "doc_id"])
         return (
             found.groupBy("query_id", "doc_id")
             .agg(
