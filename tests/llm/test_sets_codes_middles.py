@@ -89,6 +89,45 @@ def test_one_large_cluster_of_near_copies(spark):
     assert rows_of(set_join.similar_sets(table)) == sorted(map(str, classes(rows)))
 
 
+def test_cells_of_a_large_cluster_meet_group_by_group(spark, monkeypatch):
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(640):  # some link, most are too far from each other but share many signatures
+        words = list(base)
+        for _ in range(rnd.choice([1, 3, 4, 5, 6])):
+            words[rnd.randrange(len(words))] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    stored, plain = {}, set_join.materialise
+
+    def noted(df, label, path=None):
+        stored.setdefault(label, []).append(plain(df, label, path))
+        return stored[label][-1]
+
+    monkeypatch.setattr(set_join, "materialise", noted)
+    found = rows_of(set_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == sorted(map(str, classes(rows)))
+    met, shared = stored["matrix"][0].groupBy("part").count(), stored["shared"][0]
+    assert shared.groupBy("part").count().agg(F.max("count")).first()[0] > 2 * set_join.GROUP
+    assert met.agg(F.max("count")).first()[0] <= 640 / set_join.GROUP + 1
+    # Pairs that whole sets are compared for, against those that share a signature.
+    compared = sum(pairs.count() for label in ("first-pairs", "opened-groups") for pairs in stored[label])
+    sharing = shared.alias("a").join(shared.alias("b"), "part").where("a.number < b.number")
+    assert 4 * compared < sharing.select("a.number", "b.number").distinct().count()
+
+
+def test_sketches_differ_in_no_more_bytes_than_sets_in_tokens():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        size = int(rng.integers(9, 900))
+        base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        drop, add = int(rng.integers(0, size // 5 + 2)), int(rng.integers(0, size // 5 + 2))
+        other = np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 64, add, dtype=np.uint64)]))
+        one, two = set_join.sketch(base), set_join.sketch(other)
+        apart = int(set_join.differing(one, two[None, :])[0])
+        assert apart == int(set_join.differing(two, one[None, :])[0]) <= len(np.setxor1d(base, other))
+
+
 def test_sets_within_the_threshold_share_a_signature():
     rng = np.random.default_rng(3)
     for _ in range(400):

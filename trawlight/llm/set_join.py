@@ -12,11 +12,17 @@ chance, ever more of them as a corpus grows, but hardly the eight or so of a who
 Of two sorted sets within the threshold the first ``n - ceil(share * n) + 1`` hashes share one, and what the
 others can add to an overlap is bounded by their number, which gives the bound of a set with a group.
 
-A big cluster of near copies would still open many groups for each of its sets. So groups are opened
-in rounds. Each set is first compared with one other, which is the first at most of its signatures;
-then, round by round, with one member, drawn anew, of each group that qualifies; once few of these pairs are links, with all
-members. What links connect needs no further comparison: a signature whose sets are all connected leaves
-the matrix, and a set passes over groups that are connected with it.
+The matrix is met group by group: a part and a group make one cell, which holds as bits the members that have
+the part, and cells with equal parts meet. So the cells of a big cluster of near copies meet as its square divided by
+that of ``GROUP``, and only bits are aggregated.
+
+A qualifying group is opened in two steps, both exact. A set's sketch has one byte for each of some fine ranges of
+hashes, a sum over the tokens there; as many bytes as differ, so many tokens at least do. Only the pairs whose sketches
+allow a link have their whole sets compared. Still, a big cluster has many links. So groups are opened in
+rounds. Each set is first compared with one other, which is the first at most of its signatures; then with
+the nearest member of each group that qualifies, and last with all members that are left. What links connect needs no
+further comparison: a signature whose sets are all connected leaves the matrix, and a set passes over members that are
+connected with it.
 """
 
 from __future__ import annotations
@@ -38,10 +44,10 @@ from trawlight.session import materialise, number_and_count
 
 WIDTH = 3
 SHARE = 90
-GROUP = 64
-# Rounds end when at most this share of their pairs are links.
-FEW = 0.05
+GROUP = 64  # a group's members are the bits of a long
 _SALT = np.uint64(0xA0761D6478BD642F)
+# A sketch has at least so many bytes for each token in which two sets within the threshold may differ.
+_FINE = 4
 
 
 def size_class(n: int, share: int = SHARE) -> int:
@@ -74,6 +80,65 @@ def signatures(tokens: np.ndarray, share: int = SHARE) -> np.ndarray:
     return np.concatenate(found)
 
 
+def sketch(tokens: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """One byte per equal range of hashes: the sum of its tokens' scrambled hashes. The number of ranges is a power of two."""
+    bits = max(3, math.ceil(math.log2(max(1, _FINE * 2 * (100 - share) * len(tokens) / (100 + share)))))
+    begins = np.searchsorted(tokens, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(tokens), dtype=np.uint64)])
+    return np.diff(sums[np.append(begins, len(tokens))]).astype(np.uint8)
+
+
+def _folded(sketches: np.ndarray, length: int) -> np.ndarray:
+    """Sketches of wider ranges: the sums of ranges beside each other added up."""
+    return sketches.reshape(*sketches.shape[:-1], length, -1).sum(axis=-1, dtype=np.uint8)
+
+
+def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many bytes a sketch differs from each row of others, in the wider ranges of the two."""
+    length = min(one.shape[-1], others.shape[-1])
+    return (_folded(others, length) != _folded(one, length)).sum(axis=1)
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all binary values, and where each one begins."""
+    values = values.cast(pa.large_binary())
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8), at
+
+
+def _nearby(rows: DataFrame, share: int, every: bool) -> DataFrame:
+    """``(a, b, others)``: the pairs whose sketches allow a link, of rows ``(a, n, sketch, members)``.
+
+    Of each row's members all, or the nearest with how many others there are.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own, own_at = _bytes_of(batch.column(2))
+            ends, members = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            other, other_sizes = members.field("number").to_numpy(), members.field("n").to_numpy()
+            data, at = _bytes_of(members.field("sketch"))
+            found = []
+            for row, (first, last) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                both = sizes[row] + other_sizes[first:last]
+                left = both - 2 * -(-share * both // (100 + share))
+                apart, lengths = np.zeros(last - first, np.int64), np.diff(at[first : last + 1])
+                for length in np.unique(lengths):
+                    same = np.flatnonzero(lengths == length)
+                    held = data[at[first + same][:, None] + np.arange(length)]
+                    apart[same] = differing(own[own_at[row] : own_at[row + 1]], held)
+                near = np.flatnonzero(apart <= left)
+                if len(near):
+                    chosen = near if every else near[[np.argmin(apart[near])]]
+                    found.append((np.full(len(chosen), numbers[row]), other[first + chosen], np.full(len(chosen), len(near) - len(chosen))))
+            if found:
+                columns = [pa.array(np.concatenate(column), pa.int64()) for column in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "others"])
+
+    return rows.select("a", "n", "sketch", "members").mapInArrow(compare, "a long, b long, others long")
+
+
 def _rest(n: Column, share: int) -> Column:
     """How many tokens of a set lie behind its prefix."""
     return F.ceil(share * n / 100).cast("long") - 1
@@ -130,12 +195,14 @@ def _group(number: Column) -> Column:
 class _Sets:
     """The distinct sets that share a signature with another one, in groups, with their tokens.
 
-    ``shared`` is ``(part, number, n)``, ``whole`` is ``(number, n, tokens)``.
+    ``shared`` is ``(part, number, n)``, ``whole`` is ``(number, n, tokens, sketch)``.
     """
 
     def __init__(self, docs: DataFrame, rows: DataFrame, distinct: DataFrame, width: int, share: int):
         self.share = share
-        first = rows.where(F.size("parts") > 0).join(distinct.select("slot"), "slot", "left_semi")
+        # Of the rows with equal sets all but one are left out; these are fewer than the rows to keep, so signatures mostly stay in place.
+        copies = materialise(rows.where("n > 0").select("slot").join(distinct.select("slot"), "slot", "left_anti"), "copies")
+        first = rows.where(F.size("parts") > 0).join(copies, "slot", "left_anti")
         parts = first.select("slot", F.explode("parts").alias("part"))
         common = materialise(parts.groupBy("part").count().where("count > 1").select("part"), "shared-parts")
         met = materialise(parts.join(common, "part"), "sets-of-parts")
@@ -149,14 +216,15 @@ class _Sets:
             for _, _, sets, ids in _set_ids(batches, width):
                 ends = np.cumsum([0, *map(len, sets)])
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), tokens], names=["sig", "tokens"])
+                sketches = pa.array([sketch(held, share).tobytes() for held in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), tokens, sketches], names=["sig", "tokens", "sketch"])
 
         wanted = materialise(self.numbers.join(distinct.select("slot", "first"), "slot"), "wanted-sets")
         ids = wanted.select(F.col("first").alias("_tl_id")).distinct()
         texts = doc_text(docs)
         texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_tl_id"]), "left_semi")
-        sets = texts.mapInArrow(whole, "sig binary, tokens array<long>").join(wanted.select("number", "n", "sig"), "sig")
-        self.whole = materialise(sets.dropDuplicates(["sig"]).select("number", "n", "tokens"), "whole-sets")
+        sets = texts.mapInArrow(whole, "sig binary, tokens array<long>, sketch binary").join(wanted.select("number", "n", "sig"), "sig")
+        self.whole = materialise(sets.dropDuplicates(["sig"]).select("number", "n", "tokens", "sketch"), "whole-sets")
 
     def prefix(self) -> Column:
         """The first tokens of a set, one of which any set within the threshold shares."""
@@ -164,8 +232,10 @@ class _Sets:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` of numbers whose whole sets are within the threshold."""
-        of_a = self.whole.select(F.col("number").alias("a"), F.col("tokens").alias("of_a"))
-        of_b = self.whole.select(F.col("number").alias("b"), F.col("tokens").alias("of_b"))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+        whole = self.whole.select("number", "tokens").join(asked, "number", "left_semi")
+        of_a = whole.select(F.col("number").alias("a"), F.col("tokens").alias("of_a"))
+        of_b = whole.select(F.col("number").alias("b"), F.col("tokens").alias("of_b"))
         both = pairs.join(of_a, "a").join(of_b, "b").where(self._within("of_a", "of_b"))
         return materialise(both.select("a", "b"), "set-links")
 
@@ -181,28 +251,42 @@ class _Sets:
         counted = others.groupBy("number", "hub").agg(F.count(F.lit(1)).alias("common"))
         best = Window.partitionBy("number").orderBy(F.desc("common"), "hub")
         chosen = counted.withColumn("_place", F.row_number().over(best)).where("_place = 1")
-        return materialise(chosen.select(F.col("number").alias("a"), F.col("hub").alias("b")), "first-pairs")
+        sketches = self.whole.select("number", "n", "sketch")
+        hub = sketches.select(F.col("number").alias("hub"), F.array(F.struct("number", "n", "sketch")).alias("members"))
+        rows = chosen.select("number", "hub").join(sketches, "number").join(hub, "hub").withColumnRenamed("number", "a")
+        return materialise(_nearby(rows, self.share, every=True).select("a", "b"), "first-pairs")
 
-    def qualifying(self, root: DataFrame, draw: int) -> DataFrame:
-        """``(number, cluster, group, member)``: sets and the groups that they may link to, not connected so far.
+    def qualifying(self, root: DataFrame) -> DataFrame:
+        """``(number, n, cluster, group, members)``: sets and the groups that they may link to, not connected so far.
 
-        A pair is met once: a set meets its own group and those after it. ``member`` is one of the
-        group's sets that share a signature; which one depends on ``draw``.
+        A pair is met once: a set meets its own group and those after it. ``members`` has the bits of those members
+        that share a signature with any set of the set's own group.
         """
         rows = self.shared.join(root, "number", "left").withColumn("cluster", F.coalesce("root", "number")).drop("root")
         ends = rows.groupBy("part").agg(F.min("cluster").alias("lowest"), F.max("cluster").alias("highest"))
-        rows = materialise(rows.join(ends.where("lowest < highest").select("part"), "part", "left_semi"), "open-parts")
-        lot = F.pmod(F.xxhash64("number", F.lit(draw)), F.lit(1 << 27))
-        matrix = rows.groupBy("part", _group(F.col("number")).alias("group")).agg(
+        rows = rows.join(ends.where("lowest < highest").select("part"), "part", "left_semi")
+        cells = rows.groupBy("part", _group(F.col("number")).alias("group")).agg(
             F.min("cluster").alias("lowest"),
             F.max("cluster").alias("highest"),
-            F.max(F.shiftleft(lot, 36).bitwiseOR(F.col("number"))).alias("member"),
+            F.bit_or(F.expr(f"shiftleft(1L, cast(number % {GROUP} as int))")).alias("members"),
+        )
+        cells = materialise(cells, "matrix")
+        asking = cells.select(
+            "part", *[F.col(name).alias(f"own_{name}") for name in ("group", "lowest", "highest", "members")]
+        )
+        apart = F.least("lowest", "own_lowest") < F.greatest("highest", "own_highest")
+        met = asking.join(cells, "part").where((F.col("group") >= F.col("own_group")) & apart)
+        met = met.groupBy("own_group", "group").agg(
+            F.bit_or("own_members").alias("asking"),
+            F.bit_or("members").alias("members"),
+            F.min("lowest").alias("lowest"),
+            F.max("highest").alias("highest"),
         )
-        asking = rows.select("part", "number", "cluster", _group(F.col("number")).alias("own"))
+        place = F.explode(F.filter(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda at: F.getbit("asking", at) == 1))
+        met = met.withColumn("_place", place).withColumn("number", F.col("own_group") * GROUP + F.col("_place"))
+        met = met.join(root, "number", "left").withColumn("cluster", F.coalesce("root", "number"))
         other = (F.col("lowest") != F.col("cluster")) | (F.col("highest") != F.col("cluster"))
-        met = asking.join(matrix, "part").where((F.col("group") >= F.col("own")) & other)
-        met = met.groupBy("number", "cluster", "group").agg(F.max("member").alias("member"))
-        met = materialise(met.withColumn("member", F.col("member").bitwiseAND(F.lit((1 << 36) - 1))), "met-groups")
+        met = materialise(met.where(other).select("number", "cluster", "group", "members"), "met-groups")
         return materialise(self._bounded(met), "qualifying-groups")
 
     def _bounded(self, met: DataFrame) -> DataFrame:
@@ -225,39 +309,33 @@ class _Sets:
         )
         fits = (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("smallest"))
         able = both.where(fits & (most >= _needed(F.col("n"), size, self.share)))
-        return able.select("number", "cluster", "group", "member")
-
-    def members(self, qualified: DataFrame, root: DataFrame) -> DataFrame:
-        """Links of a set with the members of its qualifying groups: the groups are opened, each member compared."""
-        members = self.whole.join(root, "number", "left").select(
-            F.col("number").alias("b"),
-            F.col("n").alias("n_b"),
-            F.col("tokens").alias("of_b"),
-            F.coalesce("root", "number").alias("cluster_b"),
-            _group(F.col("number")).alias("group"),
-        )
-        asks = qualified.join(self.whole, "number").select(
-            F.col("number").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a"), "cluster", "group"
-        )
-        fits = 100 * F.least("n_a", "n_b") >= self.share * F.greatest("n_a", "n_b")
-        apart = (F.col("b") > F.col("a")) & (F.col("cluster") != F.col("cluster_b"))
-        pairs = asks.join(members, (asks["group"] == members["group"]) & apart & fits & self._within("of_a", "of_b"))
-        return materialise(pairs.select("a", "b"), "set-links")
+        return able.select("number", "n", "cluster", "group", "members")
+
+    def opened(self, qualified: DataFrame, root: DataFrame, every: bool) -> DataFrame:
+        """``(a, b, others)``: a set with the members of its qualifying groups whose sketches allow a link, all or the nearest."""
+        held = self.whole.select("number", "n", "sketch").join(root, "number", "left")
+        held = held.withColumn("cluster", F.coalesce("root", "number")).groupBy(_group(F.col("number")).alias("group"))
+        held = held.agg(F.collect_list(F.struct("number", "n", "sketch", "cluster")).alias("held"))
+        asks = qualified.join(self.whole.select("number", "sketch"), "number").withColumnRenamed("number", "a")
+
+        def able(member: Column) -> Column:
+            met = F.getbit("members", (member["number"] % GROUP).cast("int")) == 1
+            fits = 100 * F.least("n", member["n"]) >= self.share * F.greatest("n", member["n"])
+            return met & fits & (member["number"] > F.col("a")) & (member["cluster"] != F.col("cluster"))
+
+        rows = asks.join(held, "group").withColumn("members", F.filter("held", able)).where(F.size("members") > 0)
+        return materialise(_nearby(rows, self.share, every), "opened-groups")
 
     def all_links(self) -> DataFrame:
         """Links that connect whatever links connect, found round by round."""
-        links, draw = self.links(self.first_pairs()), 0
-        while True:
+        links = self.links(self.first_pairs())
+        for every in (False, True):
             root = materialise(components(links), "connected").withColumnRenamed("node", "number")
-            qualified = self.qualifying(root, draw)
-            one = qualified.select(F.col("number").alias("a"), F.col("member").alias("b"), "cluster")
-            apart = one.join(root, one["b"] == root["number"], "left").where(F.col("cluster") != F.coalesce("root", "b"))
-            pairs = materialise(apart.select("a", "b"), "round-pairs")
-            new = self.links(pairs)
-            found = new.count()
-            if found <= FEW * pairs.count():
-                return links.unionByName(new).unionByName(self.members(qualified, root))
-            links, draw = links.unionByName(new), draw + 1
+            pairs = self.opened(self.qualifying(root), root, every)
+            links = links.unionByName(self.links(pairs.select("a", "b")))
+            if not pairs.where("others > 0").head(1):
+                break
+        return links
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
