@@ -200,7 +200,7 @@ class _Sets:
 
     def __init__(self, docs: DataFrame, rows: DataFrame, distinct: DataFrame, width: int, share: int):
         self.share = share
-        # Of the rows with equal sets all but one are left out; these are fewer than the rows to keep, so signatures mostly stay in place.
+        # Of the rows with equal sets all but one are left out. Where these are few, they are broadcast and signatures stay in place.
         copies = materialise(rows.where("n > 0").select("slot").join(distinct.select("slot"), "slot", "left_anti"), "copies")
         first = rows.where(F.size("parts") > 0).join(copies, "slot", "left_anti")
         parts = first.select("slot", F.explode("parts").alias("part"))
