@@ -116,6 +116,29 @@ def test_cells_of_a_large_cluster_meet_group_by_group(spark, monkeypatch):
     assert 4 * compared < sharing.select("a.number", "b.number").distinct().count()
 
 
+def test_rows_of_a_large_cluster_are_pairs_of_groups(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rnd.choice([3, 4, 5])):
+            words[rnd.randrange(len(words))] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    stored, plain = {}, set_join.materialise
+
+    def noted(df, label, path=None):
+        stored.setdefault(label, []).append(plain(df, label, path))
+        return stored[label][-1]
+
+    monkeypatch.setattr(set_join, "materialise", noted)
+    found = rows_of(set_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == sorted(map(str, classes(rows)))
+    groups = -(-500 // set_join.GROUP)
+    for label in ("met-groups", "qualifying-groups"):
+        assert 0 < stored[label][0].count() <= groups * (groups + 1) / 2
+
+
 def test_sketches_differ_in_no_more_bytes_than_sets_in_tokens():
     rng = np.random.default_rng(5)
     for _ in range(300):

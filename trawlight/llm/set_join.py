@@ -14,7 +14,8 @@ others can add to an overlap is bounded by their number, which gives the bound o
 
 The matrix is met group by group: a part and a group make one cell, which holds as bits the members that have
 the part, and cells with equal parts meet. So the cells of a big cluster of near copies meet as its square divided by
-that of ``GROUP``, and only bits are aggregated.
+that of ``GROUP``, and only bits are aggregated. A row of what follows is a pair of groups, too: the sets of the one and the
+bits or members of the other meet inside it.
 
 A qualifying group is opened in two steps, both exact. A set's sketch has one byte for each of some fine ranges of
 hashes, a sum over the tokens there; as many bytes as differ, so many tokens at least do. Only the pairs whose sketches
@@ -107,46 +108,80 @@ def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nearby(rows: DataFrame, share: int, every: bool) -> DataFrame:
-    """``(a, b, others)``: the pairs whose sketches allow a link, of rows ``(a, n, sketch, members)``.
+    """``(a, b, others)``: the pairs whose sketches allow a link, of rows ``(asking, members)``, lists of sets.
 
-    Of each row's members all, or the nearest with how many others there are.
+    A set meets later ones of another cluster. Of the members of a row that it may link to all, or the nearest
+    with how many others there are.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own, own_at = _bytes_of(batch.column(2))
-            ends, members = batch.column(3).offsets.to_numpy(), batch.column(3).values
-            other, other_sizes = members.field("number").to_numpy(), members.field("n").to_numpy()
-            data, at = _bytes_of(members.field("sketch"))
+            (own_ends, own), (ends, held) = (_lists(batch.column(place)) for place in (0, 1))
+            (own_data, own_at), (data, at) = _bytes_of(own["sketch"]), _bytes_of(held["sketch"])
             found = []
-            for row, (first, last) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
-                both = sizes[row] + other_sizes[first:last]
-                left = both - 2 * -(-share * both // (100 + share))
-                apart, lengths = np.zeros(last - first, np.int64), np.diff(at[first : last + 1])
-                for length in np.unique(lengths):
-                    same = np.flatnonzero(lengths == length)
-                    held = data[at[first + same][:, None] + np.arange(length)]
-                    apart[same] = differing(own[own_at[row] : own_at[row + 1]], held)
-                near = np.flatnonzero(apart <= left)
-                if len(near):
-                    chosen = near if every else near[[np.argmin(apart[near])]]
-                    found.append((np.full(len(chosen), numbers[row]), other[first + chosen], np.full(len(chosen), len(near) - len(chosen))))
+            for row in range(batch.num_rows):
+                first, last = ends[row], ends[row + 1]
+                lengths = np.diff(at[first : last + 1])
+                for asker in range(own_ends[row], own_ends[row + 1]):
+                    n, sizes = own["n"][asker], held["n"][first:last]
+                    able = (held["number"][first:last] > own["number"][asker]) & (held["cluster"][first:last] != own["cluster"][asker])
+                    able &= 100 * np.minimum(n, sizes) >= share * np.maximum(n, sizes)
+                    left = n + sizes - 2 * -(-share * (n + sizes) // (100 + share))
+                    apart = np.full(last - first, np.iinfo(np.int64).max)
+                    for length in np.unique(lengths[able]):
+                        same = np.flatnonzero(able & (lengths == length))
+                        bytes_held = data[at[first + same][:, None] + np.arange(length)]
+                        apart[same] = differing(own_data[own_at[asker] : own_at[asker + 1]], bytes_held)
+                    near = np.flatnonzero(apart <= left)
+                    if len(near):
+                        chosen = near if every else near[[np.argmin(apart[near])]]
+                        others = np.full(len(chosen), len(near) - len(chosen))
+                        found.append((np.full(len(chosen), own["number"][asker]), held["number"][first + chosen], others))
             if found:
                 columns = [pa.array(np.concatenate(column), pa.int64()) for column in zip(*found)]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "others"])
 
-    return rows.select("a", "n", "sketch", "members").mapInArrow(compare, "a long, b long, others long")
+    return rows.select("asking", "members").mapInArrow(compare, "a long, b long, others long")
 
 
-def _rest(n: Column, share: int) -> Column:
-    """How many tokens of a set lie behind its prefix."""
-    return F.ceil(share * n / 100).cast("long") - 1
+def _lists(column: pa.Array) -> tuple[np.ndarray, dict]:
+    """Where the list of each row begins, and the fields of all lists' structs, numbers as arrays."""
+    fields = {field.name: column.values.field(field.name) for field in column.type.value_type}
+    return column.offsets.to_numpy(), {name: held.to_numpy() if pa.types.is_integer(held.type) else held for name, held in fields.items()}
 
 
-def _needed(a: Column, b: Column, share: int) -> Column:
-    """The least overlap of two sets of these sizes within the threshold."""
-    return F.ceil(share * (a + b) / (100 + share)).cast("long")
+def _able(rows: DataFrame, share: int) -> DataFrame:
+    """``(own_group, group, asking, members)``: ``asking`` without the sets whose overlap with a group's union allows no link.
+
+    Only first tokens are compared; the rest of a set adds at most its number.
+    """
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_group, group, asking, members, lowest, highest, smallest, largest = (column.to_numpy() for column in batch.columns[:8])
+            ends, own = _lists(batch.column(8))
+            token_ends, tokens = own["tokens"].offsets.to_numpy(), own["tokens"].values.to_numpy()
+            union_ends, unions = batch.column(9).offsets.to_numpy(), batch.column(9).values.to_numpy()
+            left = np.zeros(batch.num_rows, np.int64)
+            for row in range(batch.num_rows):
+                first, last = ends[row], ends[row + 1]
+                n, number, cluster = (own[name][first:last] for name in ("n", "number", "cluster"))
+                able = (asking[row] >> number % GROUP) & 1 == 1
+                able &= (lowest[row] != cluster) | (highest[row] != cluster)
+                able &= (100 * largest[row] >= share * n) & (100 * n >= share * smallest[row])
+                held = np.isin(tokens[token_ends[first] : token_ends[last]], unions[union_ends[row] : union_ends[row + 1]])
+                counts = np.diff(np.concatenate([[0], np.cumsum(held)])[token_ends[first : last + 1] - token_ends[first]])
+                # The smallest size that a member within the threshold can have asks for the least overlap.
+                size = np.maximum(smallest[row], -(-share * n // 100))
+                most = counts + np.maximum(-(-share * n // 100), -(-share * largest[row] // 100)) - 1
+                able &= most >= -(-share * (n + size) // (100 + share))
+                left[row] = np.bitwise_or.reduce(np.int64(1) << number[able] % GROUP, initial=0)
+            some = left != 0
+            arrays = [pa.array(values[some], pa.int64()) for values in (own_group, group, left, members)]
+            yield pa.RecordBatch.from_arrays(arrays, ["own_group", "group", "asking", "members"])
+
+    names = ["own_group", "group", "asking", "members", "lowest", "highest", "smallest", "largest", "own", "union"]
+    return rows.select(*names).mapInArrow(bound, "own_group long, group long, asking long, members long")
 
 
 def _set_ids(batches: Iterator[pa.RecordBatch], width: int):
@@ -251,16 +286,17 @@ class _Sets:
         counted = others.groupBy("number", "hub").agg(F.count(F.lit(1)).alias("common"))
         best = Window.partitionBy("number").orderBy(F.desc("common"), "hub")
         chosen = counted.withColumn("_place", F.row_number().over(best)).where("_place = 1")
-        sketches = self.whole.select("number", "n", "sketch")
-        hub = sketches.select(F.col("number").alias("hub"), F.array(F.struct("number", "n", "sketch")).alias("members"))
-        rows = chosen.select("number", "hub").join(sketches, "number").join(hub, "hub").withColumnRenamed("number", "a")
+        alone = F.array(F.struct("number", "n", "sketch", F.col("number").alias("cluster")))
+        members = self.whole.select("number", alone.alias("members"))
+        asking = self.whole.select(F.col("number").alias("hub"), alone.alias("asking"))
+        rows = chosen.select("number", "hub").join(members, "number").join(asking, "hub")
         return materialise(_nearby(rows, self.share, every=True).select("a", "b"), "first-pairs")
 
     def qualifying(self, root: DataFrame) -> DataFrame:
-        """``(number, n, cluster, group, members)``: sets and the groups that they may link to, not connected so far.
+        """``(own_group, group, asking, members)``: groups whose sets may link and are not connected so far.
 
-        A pair is met once: a set meets its own group and those after it. ``members`` has the bits of those members
-        that share a signature with any set of the set's own group.
+        A pair is met once: a group meets itself and those after it. ``asking`` has the bits of the sets of the first
+        that may link to one of the second, ``members`` of those there that share a signature with any set of the first.
         """
         rows = self.shared.join(root, "number", "left").withColumn("cluster", F.coalesce("root", "number")).drop("root")
         ends = rows.groupBy("part").agg(F.min("cluster").alias("lowest"), F.max("cluster").alias("highest"))
@@ -282,48 +318,35 @@ class _Sets:
             F.min("lowest").alias("lowest"),
             F.max("highest").alias("highest"),
         )
-        place = F.explode(F.filter(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda at: F.getbit("asking", at) == 1))
-        met = met.withColumn("_place", place).withColumn("number", F.col("own_group") * GROUP + F.col("_place"))
-        met = met.join(root, "number", "left").withColumn("cluster", F.coalesce("root", "number"))
-        other = (F.col("lowest") != F.col("cluster")) | (F.col("highest") != F.col("cluster"))
-        met = materialise(met.where(other).select("number", "cluster", "group", "members"), "met-groups")
-        return materialise(self._bounded(met), "qualifying-groups")
-
-    def _bounded(self, met: DataFrame) -> DataFrame:
-        """The pairs of set and group whose overlap with the union of the group allows a link.
-
-        Only first tokens are compared; the rest of a set adds at most its number.
-        """
-        tokens = self.whole.select("number", "n", self.prefix().alias("tokens"))
-        held = tokens.withColumn("group", _group(F.col("number"))).join(met.select("group").distinct(), "group", "left_semi")
-        unions = held.groupBy("group").agg(
+        met = materialise(met, "met-groups")
+        sets = self._clustered(root, "number", "n", self.prefix().alias("tokens"))
+        groups = met.select(F.explode(F.array("own_group", "group")).alias("group")).distinct()
+        held = sets.groupBy("group").agg(
+            F.collect_list(F.struct("number", "n", "cluster", "tokens")).alias("own"),
             F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"),
             F.min("n").alias("smallest"),
             F.max("n").alias("largest"),
         )
-        both = met.join(tokens, "number").join(unions, "group")
-        # The smallest size that a member within the threshold can have asks for the least overlap.
-        size = F.greatest("smallest", F.ceil(self.share * F.col("n") / 100).cast("long"))
-        most = F.size(F.array_intersect("tokens", "union")) + F.greatest(
-            _rest(F.col("n"), self.share), _rest(F.col("largest"), self.share)
-        )
-        fits = (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("smallest"))
-        able = both.where(fits & (most >= _needed(F.col("n"), size, self.share)))
-        return able.select("number", "n", "cluster", "group", "members")
+        held = materialise(held.join(groups, "group", "left_semi"), "prefix-unions")
+        both = met.join(held.drop("own"), "group").join(held.select(F.col("group").alias("own_group"), "own"), "own_group")
+        return materialise(_able(both, self.share), "qualifying-groups")
+
+    def _clustered(self, root: DataFrame, *columns: str | Column) -> DataFrame:
+        """Columns of ``whole``, ``cluster`` and ``group`` of every set; a set that no link connects is a cluster alone."""
+        sets = self.whole.select(*columns).join(root, "number", "left")
+        return sets.withColumn("cluster", F.coalesce("root", "number")).withColumn("group", _group(F.col("number"))).drop("root")
 
     def opened(self, qualified: DataFrame, root: DataFrame, every: bool) -> DataFrame:
         """``(a, b, others)``: a set with the members of its qualifying groups whose sketches allow a link, all or the nearest."""
-        held = self.whole.select("number", "n", "sketch").join(root, "number", "left")
-        held = held.withColumn("cluster", F.coalesce("root", "number")).groupBy(_group(F.col("number")).alias("group"))
-        held = held.agg(F.collect_list(F.struct("number", "n", "sketch", "cluster")).alias("held"))
-        asks = qualified.join(self.whole.select("number", "sketch"), "number").withColumnRenamed("number", "a")
+        sets = self._clustered(root, "number", "n", "sketch")
+        held = sets.groupBy("group").agg(F.collect_list(F.struct("number", "n", "sketch", "cluster")).alias("held"))
 
-        def able(member: Column) -> Column:
-            met = F.getbit("members", (member["number"] % GROUP).cast("int")) == 1
-            fits = 100 * F.least("n", member["n"]) >= self.share * F.greatest("n", member["n"])
-            return met & fits & (member["number"] > F.col("a")) & (member["cluster"] != F.col("cluster"))
+        def among(held: str, bits: str) -> Column:
+            return F.filter(held, lambda member: F.getbit(bits, (member["number"] % GROUP).cast("int")) == 1)
 
-        rows = asks.join(held, "group").withColumn("members", F.filter("held", able)).where(F.size("members") > 0)
+        rows = qualified.join(held, "group").withColumn("members", among("held", "members")).drop("held", "group")
+        own = held.withColumnRenamed("group", "own_group")
+        rows = rows.join(own, "own_group").select(among("held", "asking").alias("asking"), "members")
         return materialise(_nearby(rows, self.share, every), "opened-groups")
 
     def all_links(self) -> DataFrame:
