@@ -49,6 +49,23 @@ def test_a_sharded_quality_model_scores_like_one_in_memory(spark):
     assert sorted(row["doc_id"] or 0 for row in some.collect()) == sorted(number or 0 for number in kept)
 
 
+def test_ngrams_of_documents_are_shuffled_packed(spark):
+    words = spark.range(-5, 2000).select(*[F.xxhash64(F.lit(i), "id").alias(f"w{i}") for i in range(3)])
+    arrays = [words.toArrow().column(f"w{i}").to_numpy() for i in range(3)]
+    for n in (1, 2, 3):
+        expected = words.select(quality_model._key(*[f"w{i}" for i in range(n)])).toArrow().column(0).to_numpy()
+        assert (quality_model._keys(*arrays[:n]) == expected).all()
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select(F.xxhash64("text").alias("slot"), "text")
+    rows = quality_model._asked(texts, 2).collect()
+    moved = sum(len(row[name] or b"") for row in rows for name in ("keys", "places", "times", "slots"))
+    # A row of text, key and number for each n-gram would be 24 bytes.
+    assert moved < 9 * sum(row["n"] for row in rows)
+    for row in rows:
+        keys = quality_model._unpacked(row["keys"], row["n"]).cumsum()
+        assert (keys >> 62 == row["shard"]).all() and (keys[1:] >= keys[:-1]).all()
+    assert {row["shard"] for row in rows} == {-2, -1, 0, 1}
+
+
 def test_an_index_of_short_ranges_moves_texts_and_not_postings(spark, monkeypatch):
     texts = spark.range(90).select(
         F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"),
